@@ -44,13 +44,18 @@ from (
         concat('http://lib.u', {page} % 7, '.ac.at/b?c=1') as kept_url_2,
         concat('http://m.t', {page} % 5, '.x.ck:80/d#e') as kept_url_3
     from (select *, event_id % (select count(*) from pages) as cited from events) e
-    join pages u on u.page_id = e.cited) r
+    left join pages u on u.page_id = e.cited) r
 """
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for name in ("events", "pages"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    """The given tables as views; a table of few files is first spread over all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    for name, columns in (("events", ["event_id", "user_id", "event_type"]), ("pages", None)):
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if columns and len(table.inputFiles()) < cores:
+            table = table.select(*columns).repartition(cores, columns[0])
+        table.createOrReplaceTempView(name)
 
 
 def revisions(spark: SparkSession, sf_dir: str, page: str = PAGE_OF_USER) -> DataFrame:

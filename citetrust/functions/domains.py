@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -55,75 +56,86 @@ DEFAULT_SUFFIXES = tuple(
     """.split()
 )
 
-# Whitespace, one closing wiki bracket pair and again whitespace around a URL are not
-# part of it; a URL with an open template is none; the host is what stands between the scheme, optional
-# user part and port, and the path.
-_EDGES = r"^[\x00-\x20]+|[\x00-\x20]*(?:\}\}|\]\])?[\x00-\x20]*\z"
+# The host is what stands between the scheme, optional user part and port, and the path;
+# whitespace around the URL and one closing wiki bracket pair at its end are not part of it. Possessive
+# repeats keep the match linear, and each URL is scanned once.
+_END = r"[\x00-\x20]*(?:\}\}|\]\])?[\x00-\x20]*\z"
+_HOST_CHARS = r"(?:[^/?#:@\]}\x00-\x20]++|(?!" + _END + r")[\]}\x00-\x20])*+"
 _HOST = (
-    r"(?is)^(?!.*\{\{)(?:https?|ftp|file)://(?:[^/?#@]*@)?([^/?#:@]*)(?::[0-9]*)?(?:[/?#]|\z)"
+    r"^[\x00-\x20]*(?i:https?|ftp|file)://(?:[^/?#@]*@)?"
+    "(" + _HOST_CHARS + r")(?::[0-9]*)?(?:[/?#]|" + _END + ")"
 )
-_EMPTY_LABEL = r"^\.|\.\.|\.\z"
 
 # Rules are carried as literals in every plan that uses them, so their number is checked.
 MAX_SUFFIXES = 50_000
 
 
 def url_host(url: Column) -> Column:
-    """Lower-cased host of ``url``; empty if it is not a URL with a host."""
-    return F.lower(F.regexp_extract(F.regexp_replace(url, _EDGES, ""), _HOST, 1))
+    """Lower-cased host of ``url``; empty or null if it is not a URL or has an open template in it."""
+    return F.when(~url.contains("{{"), F.lower(F.regexp_extract(url, _HOST, 1)))
 
 
-def host_domain(host: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
-    """Registrable domain of a lower-cased host: the longest matching suffix plus one label.
+@lru_cache(maxsize=16)
+def _domain_sql(suffixes: tuple[str, ...]) -> str:
+    """SQL for the registrable domain of the lower-cased host ``h``.
 
-    Null where the host is empty, is itself a suffix, or has an empty label.
+    The longest matching suffix plus one label; null where the host is empty, is itself a suffix, or has
+    an empty label. Written as text because the rules are many literals and Spark parses those faster than
+    it takes them one by one; the optimizer turns the IN lists into hash sets.
     """
-    suffix_labels: dict[int, tuple[list[str], list[str], list[str]]] = defaultdict(
-        lambda: ([], [], [])
-    )
-    rules = list(dict.fromkeys(suffixes))
-    if len(rules) > MAX_SUFFIXES:
-        raise ValueError(f"{len(rules)} suffix rules, at most {MAX_SUFFIXES} are supported")
-    for rule in rules:
+    if len(suffixes) > MAX_SUFFIXES:
+        raise ValueError(f"{len(suffixes)} suffix rules, at most {MAX_SUFFIXES} are supported")
+    exact, wildcard, excepted = defaultdict(set), defaultdict(set), defaultdict(set)
+    for rule in suffixes:
+        n = rule.count(".") + 1
         if rule.startswith("!"):  # the suffix is what follows the exception's first label
-            suffix_labels[rule.count(".")][2].append(rule[1:])
+            excepted[n - 1].add(rule[1:])
         elif rule.startswith("*."):
-            suffix_labels[rule.count(".") + 1][1].append(rule[2:])
+            wildcard[n].add(rule[2:])
         else:
-            suffix_labels[rule.count(".") + 1][0].append(rule)
-
-    def tail(n: int) -> Column:
-        return F.substring_index(host, ".", -n)
+            exact[n].add(rule)
+
+    def tail(n: int) -> str:
+        return f"substring_index(h, '.', -{n})"
+
+    def listed(n: int, rules: set[str]) -> str:
+        quoted = (rule.replace("\\", "\\\\").replace("'", "\\'") for rule in sorted(rules))
+        return f"{tail(n)} IN ({', '.join(f"'{rule}'" for rule in quoted)})"
+
+    branches = [(listed(n + 1, excepted[n]), n) for n in sorted(excepted, reverse=True)]
+    for n in sorted({*exact, *wildcard}, reverse=True):
+        tests = [listed(n, exact[n])] if n in exact else []
+        tests += [listed(n - 1, wildcard[n])] if n in wildcard else []
+        branches.append((" OR ".join(tests), n))
+    branches.append(("true", 1))
+    whens = " ".join(
+        f"WHEN {test} THEN CASE WHEN {tail(n)} <> h THEN {tail(n + 1)} END" for test, n in branches
+    )
+    empty_label = "startswith(h, '.') OR endswith(h, '.') OR contains(h, '..')"
+    return f"CASE WHEN {empty_label} THEN NULL {whens} END"
 
-    def domain_under(n: int) -> Column:
-        return F.when(tail(n) != host, tail(n + 1))
 
-    exceptions, regular = [], []
-    for n in sorted(suffix_labels, reverse=True):
-        exact, wildcard, excepted = suffix_labels[n]
-        if excepted:
-            exceptions.append((tail(n + 1).isin(excepted), n))
-        if exact or wildcard:
-            found = tail(n).isin(exact) if exact else F.lit(False)
-            if wildcard:
-                found = found | tail(n - 1).isin(wildcard)
-            regular.append((found, n))
+def hosts_domains(
+    hosts: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES, other: str | None = None
+) -> Column:
+    """Array of hosts -> array of their registrable domains, without those that have none.
 
-    domain = domain_under(1)
-    for found, n in reversed(exceptions + regular):
-        domain = F.when(found, domain_under(n)).otherwise(domain)
-    return F.when(~host.rlike(_EMPTY_LABEL), domain)
+    Entries that start with ``other`` are no hosts and stay as they are.
+    """
+    domain = _domain_sql(tuple(suffixes))
+    if other is not None:
+        domain = f"CASE WHEN startswith(h, '{other}') THEN h ELSE {domain} END"
+    return F.array_compact(F.call_function("transform", hosts, F.expr(f"h -> {domain}")))
 
 
 def url_domains(urls: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
     """Array of URLs -> array of their registrable domains, without those that have none."""
-    domains = F.transform(F.transform(urls, url_host), lambda h: host_domain(h, suffixes))
-    return F.array_compact(domains)
+    return hosts_domains(F.transform(urls, url_host), suffixes)
 
 
 def load_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Rules from a file in the public suffix list's own format (comments and blank lines skipped)."""
-    lines = spark.read.text(path).select(F.trim(F.split("value", r"\s")[0]).alias("rule"))
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s")[0].alias("rule"))
     rules = lines.where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
     found = rules.limit(MAX_SUFFIXES + 1).collect()
     if len(found) > MAX_SUFFIXES:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citetrust.functions.domains import (
     DEFAULT_SUFFIXES,
-    host_domain,
+    hosts_domains,
     url_domains,
     url_host,
 )
@@ -50,11 +50,15 @@ def template_present(text: Column, template: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def ref_urls(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
-    """Domains of all URLs inside ``<ref>`` elements, in text order and with repeats."""
+def _ref_hosts(text: Column) -> Column:
     refs = F.filter(_find_all(text, REF, 1), lambda r: r != "")
     urls = F.flatten(F.transform(refs, lambda r: _find_all(r, URL)))
-    return _or_none(url_domains(urls, suffixes))
+    return F.transform(urls, url_host)
+
+
+def ref_urls(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
+    """Domains of all URLs inside ``<ref>`` elements, in text order and with repeats."""
+    return _or_none(hosts_domains(_ref_hosts(text), suffixes))
 
 
 def _isbn(cite: Column) -> Column:
@@ -76,15 +80,15 @@ def isbns(text: Column) -> Column:
 
 def extract_sources(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
     """All cited sources: ref URLs, then URL and ISBN of each cite template; first mention kept."""
-    cites = F.transform(
-        _find_all(text, CITE),
-        lambda c: F.struct(url_host(_cite_field(c, URL_FIELD)).alias("host"), _isbn(c).alias("isbn")),
-    )
     cited = F.flatten(
-        F.transform(cites, lambda c: F.array(host_domain(c["host"], suffixes), c["isbn"]))
+        F.transform(
+            _find_all(text, CITE),
+            lambda c: F.array(url_host(_cite_field(c, URL_FIELD)), _isbn(c)),
+        )
     )
-    cited = F.filter(cited, lambda s: s.isNotNull() & (s != ISBN_PREFIX))
-    return _or_none(F.array_distinct(F.concat(ref_urls(text, suffixes), cited)))
+    # No host has a colon, so ISBNs can pass through the list of hosts.
+    sources = hosts_domains(F.concat(_ref_hosts(text), cited), suffixes, other=ISBN_PREFIX)
+    return _or_none(F.array_distinct(F.filter(sources, lambda s: s != ISBN_PREFIX)))
 
 
 def inline_sources(

@@ -42,12 +42,17 @@ def _all_certain(p: str) -> Column:
     return F.every(F.col(p) >= CERTAIN)
 
 
-def _checked() -> Column:
-    """First branches of a when chain: invalid input is an error."""
+def _not_empty() -> Column:
+    """First branch of a when chain: without any source there is nothing to combine."""
+    return F.when(F.count("*") == 0, F.raise_error("no sources to combine"))
+
+
+def _checked(chain: Column) -> Column:
+    """Next branches of a when chain: invalid input is an error."""
     added, removed = F.col(P_ADDED), F.col(P_REMOVED)
     bad_p = F.some((added < 0) | F.isnan(added) | (removed < 0) | F.isnan(removed))
     bad_weight = F.some(F.col("occurrences") < 0)
-    return F.when(bad_p, F.raise_error("probabilities are negative or NaN")).when(
+    return chain.when(bad_p, F.raise_error("probabilities are negative or NaN")).when(
         bad_weight, F.raise_error("weights are negative")
     )
 
@@ -61,7 +66,8 @@ def multiplicative(copies: Column) -> Column:
     """Normalised products. Certain sources that contradict each other give NaN."""
 
     def product(p: str) -> Column:
-        return F.when(copies == 1, F.product(p)).otherwise(F.pow(F.product(p), 1 / copies))
+        whole = F.coalesce(F.product(p), F.lit(1.0))
+        return F.when(copies > 1, F.pow(whole, 1 / copies)).otherwise(whole)
 
     return _shares(product(P_ADDED), product(P_REMOVED))
 
@@ -70,7 +76,8 @@ def logarithmic(copies: Column) -> Column:
     """Normalised sums, except where all sources are certain or one side has no mass at all."""
     added, removed = F.sum(P_ADDED) / copies, F.sum(P_REMOVED) / copies
     return (
-        F.when(_all_certain(P_ADDED), _vector(1.0, 0.0))
+        _not_empty()
+        .when(_all_certain(P_ADDED), _vector(1.0, 0.0))
         .when(_all_certain(P_REMOVED), _vector(0.0, 1.0))
         .when((added == 0) | (removed == 0), _vector(float("nan"), float("nan")))
         .when(added + removed <= MIN_TOTAL, _vector(0.5, 0.5))
@@ -82,7 +89,7 @@ def weighted(copies: Column) -> Column:
     """Mean weighted by how many votes each source has."""
     total = F.sum(occurrence_weight(F.col("occurrences"))) / copies
     return (
-        _checked()
+        _checked(_not_empty())
         .when(_all_certain(P_ADDED), _vector(1.0, 0.0))
         .when(_all_certain(P_REMOVED), _vector(0.0, 1.0))
         .when(total < MIN_WEIGHT, _vector(0.5, 0.5))
@@ -97,14 +104,11 @@ def weighted_sure(copies: Column) -> Column:
     unsure = (F.min("occurrences") < 1) | (votes < MIN_VOTES)
     mean = _weighted_mean(P_ADDED)
     return (
-        F.when(unsure, _vector(*UNSURE))
-        .otherwise(
-            _checked()
-            .when(_all_certain(P_ADDED), _vector(1.0, 0.0))
-            .when(_all_certain(P_REMOVED), _vector(0.0, 1.0))
-            .when(total < MIN_WEIGHT, _vector(*UNSURE))
-            .otherwise(_vector(mean, 1 - mean))
-        )
+        _checked(_not_empty().when(unsure, _vector(*UNSURE)))
+        .when(_all_certain(P_ADDED), _vector(1.0, 0.0))
+        .when(_all_certain(P_REMOVED), _vector(0.0, 1.0))
+        .when(total < MIN_WEIGHT, _vector(*UNSURE))
+        .otherwise(_vector(mean, 1 - mean))
     )
 
 

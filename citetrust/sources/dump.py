@@ -35,7 +35,8 @@ def read_dump(spark: SparkSession, folder: str, pattern: str = "*.bz2") -> DataF
     """Revisions of all dump files in ``folder``, as they stand there.
 
     Columns: ``file``, ``block`` (start of the file split), ``seq`` (ascending inside a block), ``rev_id``,
-    ``text``, and ``page`` (page_id, main: an article and not a redirect) on the first revision of a page.
+    ``text``, and on the first revision of a page ``page`` (page_id, start: its ``seq``, main: whether the
+    page is an article and not a redirect).
     A revision that is not well-formed XML fails the read.
     """
     records = (
@@ -63,7 +64,7 @@ def read_dump(spark: SparkSession, folder: str, pattern: str = "*.bz2") -> DataF
     header = F.substring_index(F.substring_index("value", "<revision>", 1), "<page>", -1)
     page_id = F.coalesce(_header_value(header, "id").try_cast("bigint"), F.lit(-1))
     main = (_header_value(header, "ns") == "0") & ~header.contains("<redirect")
-    page = F.struct(page_id.alias("page_id"), main.alias("main"))
+    page = F.struct(page_id.alias("page_id"), F.col("seq").alias("start"), main.alias("main"))
     starts_page = F.substring_index("value", "<revision>", 1).contains("<page>")
     return records.select(
         "file",
@@ -82,34 +83,26 @@ def read_dump(spark: SparkSession, folder: str, pattern: str = "*.bz2") -> DataF
 
 
 def with_pages(rows: DataFrame) -> DataFrame:
-    """Give every dump row its ``page_id`` and keep articles only.
+    """Give every dump row its ``page_id`` and ``start`` and keep articles only.
 
     Headers are carried forward inside each block; a block's first rows take the last header of the
     blocks before it, which is one row per block. ``rows`` is read twice and should be a stored table.
     """
-    in_block = Window.partitionBy("file", "block").orderBy("seq")
-    in_file = Window.partitionBy("file").orderBy("block")
-    own = F.last("page", ignorenulls=True).over(in_block)
-    carried = (
-        rows.where(F.col("page").isNotNull())
-        .groupBy("file", "block")
-        .agg(F.max_by("page", "seq").alias("page"))
-    )
-    # Every block needs an entry, also one that lies wholly inside a page.
-    blocks = rows.groupBy("file", "block").agg(F.min("seq").alias("seq")).drop("seq")
-    entering = blocks.join(carried, ["file", "block"], "left").select(
-        "file",
-        "block",
-        F.last("page", ignorenulls=True)
-        .over(in_file.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_entering"),
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    in_block = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(*so_far)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    has_page = F.when(F.col("page").isNotNull(), F.col("seq"))
+    entering = (
+        rows.groupBy("file", "block")
+        .agg(F.max_by("page", has_page).alias("page"))
+        .select("file", "block", F.last("page", ignorenulls=True).over(earlier).alias("_entering"))
     )
     return (
-        rows.withColumn("page", own)
+        rows.withColumn("page", F.last("page", ignorenulls=True).over(in_block))
         .join(entering, ["file", "block"])
         .withColumn("page", F.coalesce("page", "_entering"))
         .where("page.main")
-        .withColumn("page_id", F.col("page.page_id"))
+        .withColumns({"page_id": F.col("page.page_id"), "start": F.col("page.start")})
         .drop("page", "_entering")
     )
 
@@ -118,7 +111,9 @@ def _dump_pairs(marked: DataFrame, scratch: str) -> DataFrame:
     """Pair reduced dump rows, which are stored first: the dump itself is decompressed only once."""
     marked.write.parquet(scratch)
     rows = marked.sparkSession.read.schema(marked.schema).parquet(scratch)
-    found = pair_marked(with_pages(rows), ["file", "page_id"], ["block"], ["block", "seq"])
+    found = pair_marked(
+        with_pages(rows), ["file", "start", "page_id"], ["block"], ["block", "seq"]
+    )
     return found.select(
         "page_id",
         F.col("opened.rev_id").alias("rev_id_ta"),

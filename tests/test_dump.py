@@ -1,0 +1,173 @@
+from __future__ import annotations
+
+import bz2
+import random
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
+
+import pytest
+from brute import episodes
+
+from citetrust.sources.dump import dump_block_pairs, dump_inline_pairs, read_dump
+
+T = "{{Circular}} "
+
+
+def revision(rev_id, text, note=""):
+    body = f'<text bytes="1" xml:space="preserve">{escape(text)}</text>' if text is not None else ""
+    return (
+        f"<revision>\n <id>{rev_id}</id><parentid>0</parentid>"
+        f"<contributor><username>u</username><id>77</id></contributor>{note}{body}\n</revision>\n"
+    )
+
+
+def page(page_id, revisions, ns="0", redirect=False):
+    link = '<redirect title="x" />' if redirect else ""
+    return (
+        f"<page>\n<title>P</title>\n<ns>{ns}</ns>\n<id>{page_id}</id>{link}\n"
+        + "".join(revisions)
+        + "</page>\n"
+    )
+
+
+def write(folder, name, pages):
+    head = "<mediawiki><siteinfo><sitename>W</sitename></siteinfo>\n"
+    data = (head + "".join(pages) + "</mediawiki>").encode()
+    (folder / name).write_bytes(bz2.compress(data))
+
+
+def scenario():
+    bad = "<ref>http://www.badsite.com</ref>"
+    return [
+        page(
+            1,
+            [
+                revision(1, None),
+                revision(2, "a template! " + T + bad),
+                revision(3, "none & \"no\" 'template' " + bad),
+                revision(4, T + bad),
+                revision(5, "still " + T),
+                revision(6, "gone " + bad),
+                revision(7, T + bad),
+            ],
+        ),
+        page(3, [revision(998, T + bad), revision(999, bad)], ns="1"),
+        page(8, []),
+        page(11, [revision(11, T + bad), revision(12, bad)], redirect=True),
+        page(12, [revision(13, bad)]),
+    ]
+
+
+def test_scenario(spark, tmp_path):
+    write(tmp_path, "a.xml.bz2", scenario())
+    (tmp_path / "other.txt").write_text("<page><id>5</id><revision><id>1</id></revision></page>")
+    found = dump_block_pairs(spark, str(tmp_path), "circular").collect()
+    assert sorted((r.page_id, r.rev_id_ta, r.rev_id_tr) for r in found) == [(1, 2, 3), (1, 4, 6)]
+    assert all(r.src_ta == r.src_tr == ["badsite.com"] for r in found)
+
+
+def test_rows_of_a_dump(spark, tmp_path):
+    write(tmp_path, "a.xml.bz2", scenario())
+    rows = sorted(read_dump(spark, str(tmp_path)).collect(), key=lambda r: r.seq)
+    assert [r.rev_id for r in rows] == [1, 2, 3, 4, 5, 6, 7, 998, 999, 11, 12, 13]
+    assert [(r.page.page_id, r.page.main) for r in rows if r.page] == [
+        (1, True),
+        (3, False),
+        (11, False),
+        (12, True),
+    ]
+    assert rows[0].text == ""
+    assert rows[2].text == "none & \"no\" 'template' <ref>http://www.badsite.com</ref>"
+
+
+def test_broken_revision_is_an_error(spark, tmp_path):
+    write(tmp_path, "a.xml.bz2", [page(1, [revision(1, "x", note="<comment>")])])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_dump(spark, str(tmp_path)).collect()
+
+
+def random_pages(seed, start):
+    rng = random.Random(seed)
+    pages, rev = [], start
+    for number in range(25):
+        revisions, on = [], False
+        for _ in range(rng.choice([1, 3, 400]) if number != 12 else 3000):
+            rev += rng.randint(1, 4)
+            on = on if rng.random() < 0.8 else not on
+            noise = "".join(rng.choices("abcdefghij ", k=120))
+            refs = f"<ref>http://s{rng.randint(0, 9)}.org</ref>" if rng.random() < 0.9 else ""
+            revisions.append(revision(rev, (T if on else "") + noise + refs))
+        pages.append(
+            page(start + number, revisions, rng.choice("0001"), redirect=rng.random() < 0.1)
+        )
+    return pages
+
+
+def expected_pairs(folder, has):
+    """Pairs found by parsing whole files, page by page."""
+    pairs = {}
+    for path in folder.glob("*.bz2"):
+        for element in ElementTree.fromstring(bz2.decompress(path.read_bytes())).iter("page"):
+            if element.findtext("ns") != "0" or element.find("redirect") is not None:
+                continue
+            history = [
+                (int(r.findtext("id")), r.findtext("text") or "") for r in element.iter("revision")
+            ]
+            for opened, closed in episodes(history, lambda r: has(r[1])):
+                pairs[int(element.findtext("id")), opened[0], closed[0]] = (opened[1], closed[1])
+    return pairs
+
+
+@pytest.fixture
+def split_files(spark):
+    """Splits far smaller than the files, so that pages go on over several of them."""
+    saved = {}
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        saved[key] = spark.conf.get(key)
+        spark.conf.set(key, "60000")
+    yield
+    for key, value in saved.items():
+        spark.conf.set(key, value)
+
+
+def test_long_pages_over_file_splits(spark, tmp_path, split_files):
+    dump = tmp_path / "dump"
+    dump.mkdir()
+    for number in (1, 2):
+        pages = "".join(random_pages(number, 100000 * number))
+        # Small bzip2 blocks: a file can only be split between them.
+        (dump / f"{number}.bz2").write_bytes(bz2.compress(f"<w>{pages}</w>".encode(), 1))
+    rows = read_dump(spark, str(dump))
+    assert rows.select("file", "block").distinct().count() > 8
+    expected = {
+        key: texts
+        for key, texts in expected_pairs(dump, lambda text: T in text).items()
+        if "<ref>" in texts[1]
+    }
+    found = dump_block_pairs(spark, str(dump), "Circular").collect()
+    got = [(r.page_id, r.rev_id_ta, r.rev_id_tr) for r in found]
+    assert sorted(got) == sorted(expected) and len(got) > 500
+    for r in found:
+        assert f"http://{r.src_tr[0]}" in expected[r.page_id, r.rev_id_ta, r.rev_id_tr][1]
+
+
+def test_inline(spark, tmp_path):
+    flag = "{{Bad source|x}}"
+    write(
+        tmp_path,
+        "a.bz2",
+        [
+            page(
+                1,
+                [
+                    revision(1, f"<ref>http://a.org</ref>{flag}\n<ref>http://b.org</ref>{flag}"),
+                    revision(2, "still naming b.org"),
+                ],
+            ),
+            page(2, [revision(3, f"<ref>http://a.org</ref>{flag}"), revision(4, "gone")]),
+        ],
+    )
+    found = dump_inline_pairs(spark, str(tmp_path), "Bad source").collect()
+    assert [(r.page_id, r.rev_id_ta, r.rev_id_tr, r.src_ta, r.src_tr) for r in found] == [
+        (1, 1, 2, ["a.org", "b.org"], ["b.org"])
+    ]
