@@ -102,8 +102,9 @@ def read_source_probs(spark: SparkSession, folder: str) -> DataFrame:
     Columns are found by their header, so three-way files can be read as well. Should a source occur
     twice, the line with more votes is kept.
     """
-    # Source names may hold any character of a URL field, line breaks included.
-    lines = spark.read.option("header", True).option("multiLine", True).csv(folder)
+    # Source names may hold any character of a URL field, line breaks included, and may be empty.
+    reader = spark.read.option("header", True).option("multiLine", True)
+    lines = reader.option("nullValue", "\0").csv(folder)
     p_added = F.col(CSV_ADDED).cast("float").cast("double")
     votes = F.col(CSV_VOTES).cast("bigint")
     return (

@@ -1,0 +1,128 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from citetrust.functions.vectors import is_undecided, occurrence_weight, round_three, round_vector
+from citetrust.operators.combine import COMBINERS
+
+VOTES = "p_added double, p_removed double, occurrences bigint"
+
+
+def combine(spark, combiner, votes):
+    rows = [(v[0], 1 - v[0], v[1]) if len(v) == 2 else v for v in votes]
+    vector = COMBINERS[combiner](F.lit(1)).alias("v")
+    row = spark.createDataFrame(rows, VOTES).agg(vector).select("v.*").first()
+    return row.p_added, row.p_removed
+
+
+def votes(*ps, n=1):
+    return [(p, n) for p in ps]
+
+
+@pytest.mark.parametrize(
+    "ps, expected", [((0.5, 0.5, 0.5), 0.5), ((0.5, 0.5, 0.4), 0.4), ((0.4, 0.6), 0.5), ((0, 0), 0)]
+)
+def test_multiplicative(spark, ps, expected):
+    added, removed = combine(spark, "multiplicative", votes(*map(float, ps)))
+    assert added == pytest.approx(expected, abs=1e-4) and added + removed == pytest.approx(1)
+
+
+def test_multiplicative_edges(spark):
+    assert combine(spark, "multiplicative", []) == (0.5, 0.5)
+    assert all(map(math.isnan, combine(spark, "multiplicative", votes(0.0, 1.0))))
+
+
+@pytest.mark.parametrize(
+    "ps, expected",
+    [
+        ((0.5, 0.5, 0.5), 0.5),
+        ((0.5, 0.5, 0.4), 0.46667),
+        ((0.4, 0.6), 0.5),
+        ((0, 0), 0),
+        ((1, 1), 1),
+        ((0, 1), 0.5),
+    ],
+)
+def test_logarithmic(spark, ps, expected):
+    added, removed = combine(spark, "logarithmic", votes(*map(float, ps)))
+    assert added == pytest.approx(expected, abs=1e-4) and added + removed == pytest.approx(1)
+
+
+def test_logarithmic_edges(spark):
+    assert combine(spark, "logarithmic", [(1e-6, 1e-6, 1)]) == (0.5, 0.5)
+    assert all(map(math.isnan, combine(spark, "logarithmic", [(0.0, 0.4, 1)])))
+    with pytest.raises(Exception, match="no sources"):
+        combine(spark, "logarithmic", [])
+
+
+def test_weighted(spark):
+    assert 0.7 < combine(spark, "weighted", [(0.2, 1), (0.8, 20)])[0] < 0.8
+    assert combine(spark, "weighted", [(0.2, 5), (0.8, 5)])[0] == pytest.approx(0.5, abs=0.05)
+    assert combine(spark, "weighted", [(1e-6, 1), (1e-6, 1)])[0] == pytest.approx(0, abs=0.05)
+    nine_and_one = votes(*[0.5] * 9, 0.1)
+    assert combine(spark, "weighted", nine_and_one)[0] == pytest.approx(0.5, abs=0.05)
+    # Nobody voted: neutral, unless the vectors agree with certainty.
+    assert combine(spark, "weighted", votes(0.3, 0.6, n=0)) == (0.5, 0.5)
+    assert combine(spark, "weighted", votes(1.0, 1.0, n=0)) == (1.0, 0.0)
+
+
+@pytest.mark.parametrize(
+    "vote",
+    [(-0.1, 0.5, 1), (0.5, -0.1, 1), (0.5, 0.5, -1), (math.nan, 0.5, 1), (0.5, math.nan, 1), None],
+)
+def test_weighted_errors(spark, vote):
+    with pytest.raises(Exception, match="negative|no sources"):
+        combine(spark, "weighted", [vote] if vote else [])
+
+
+def test_weighted_sure(spark):
+    unsure = (-0.5, 1.5)
+    assert combine(spark, "weighted_sure", [(0.9, 9), (0.9, 9), (0.9, 9), (0.5, 0)]) == unsure
+    assert combine(spark, "weighted_sure", votes(0.9, 0.9, n=9)) == unsure
+    assert combine(spark, "weighted_sure", votes(1.0, 1.0, 1.0)) == (1.0, 0.0)
+    assert combine(spark, "weighted_sure", votes(0.0, 0.0, 0.0)) == (0.0, 1.0)
+    weights = [100 - 100 * math.exp(-0.05 * min(n, 100)) for n in (1, 10, 500)]
+    mean = sum(p * w for p, w in zip((0.1, 0.5, 0.9), weights, strict=True)) / sum(weights)
+    added, removed = combine(spark, "weighted_sure", [(0.1, 1), (0.5, 10), (0.9, 500)])
+    assert added == pytest.approx(mean, abs=1e-9) and removed == pytest.approx(1 - mean, abs=1e-9)
+    # Too few votes come before invalid values, those before certainty.
+    assert combine(spark, "weighted_sure", [(math.nan, 0.5, 1)]) == unsure
+    with pytest.raises(Exception, match="negative or NaN"):
+        combine(spark, "weighted_sure", [(1.0, 0.0, 1), (1.0, 0.0, 1), (1.0, math.nan, 1)])
+
+
+def test_occurrence_weight(spark):
+    expected = {0: 0, 1: 4.877, 3: 13.929, 5: 22.120, 20: 63.212, 100: 99.326, 5000: 99.326}
+    df = spark.createDataFrame([(n,) for n in expected], "n bigint")
+    for row in df.select("n", occurrence_weight(F.col("n")).alias("w")).collect():
+        assert row.w == pytest.approx(expected[row.n], abs=1e-3)
+
+
+def test_undecided(spark):
+    df = spark.createDataFrame([(0.5, 0.5), (0.50004, 0.49996), (0.5001, 0.4999)], "a double, r double")
+    found = df.select(is_undecided(F.col("a"), F.col("r")).alias("u")).collect()
+    assert [r.u for r in found] == [True, True, False]
+
+
+def test_rounding(spark):
+    rows = [(7 / 20000,), (1 / 3,), (-0.5,), (math.nan,), (0.00005,)]
+    added, removed = round_vector(F.col("p"))
+    df = spark.createDataFrame(rows, "p double").select(added.alias("a"), removed.alias("r"))
+    found = [(str(r.a), str(r.r)) for r in df.collect()]
+    # 7/20000 is 0.00035 only in double precision.
+    assert found == [
+        ("0.0003", "0.9997"),
+        ("0.3333", "0.6667"),
+        ("-0.5000", "1.5000"),
+        ("None", "None"),
+        ("0.0000", "1.0000"),
+    ]
+
+
+def test_three_way_rounding(spark):
+    parts = round_three(F.lit(1 / 3), F.lit(1 / 3))
+    row = spark.range(1).select(*[p.alias(n) for p, n in zip(parts, "aru", strict=True)]).first()
+    assert (str(row.a), str(row.r), str(row.u)) == ("0.3333", "0.3334", "0.3333")

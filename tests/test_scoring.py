@@ -1,0 +1,126 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from citetrust.operators.combine import COMBINERS
+from citetrust.operators.diagnostics import count_unknown_sources
+from citetrust.operators.scoring import rounded_scores, score
+from citetrust.schemas import REVISIONS, SOURCE_PROBS
+
+PROBS = [("a", 0.2, 0.8, 10), ("b", 0.5, 0.5, 10), ("c", 0.8, 0.2, 10), ("d.com", 0.9, 0.1, 5)]
+
+
+def estimates(spark, rows=PROBS):
+    return spark.createDataFrame(rows, SOURCE_PROBS)
+
+
+def revisions(spark, sources, first=1):
+    rows = [
+        (first + i, 100 + i, 1, True, False, True, False, src) for i, src in enumerate(sources)
+    ]
+    return spark.createDataFrame(rows, REVISIONS)
+
+
+def added(scores):
+    return sorted((r.revision_id, round(r.p_added, 4)) for r in scores.collect())
+
+
+def test_score(spark):
+    sources = [
+        ["a", "b", "c"],
+        ["a", "b", "c", "unknown"],
+        ["a", "b"],
+        [],
+        ["a", "a", "c"],
+        ["d.com)", "d.com|x", "d.com"],
+    ]
+    table = revisions(spark, sources)
+    expected = [(1, 0.5), (2, -0.5), (3, -0.5), (4, 0.5), (5, 0.4), (6, -0.5)]
+    assert added(score(table, estimates(spark))) == expected
+    cleaned = dict(added(score(table, estimates(spark), clean=True)))
+    assert cleaned[6] == 0.9
+    multiplied = dict(added(score(table, estimates(spark), "multiplicative")))
+    assert multiplied[4] == 0.5 and multiplied[1] == 0.5
+
+
+def test_own_combiner(spark):
+    def largest(copies):
+        return F.struct(F.max("p_added").alias("p_added"), F.min("p_removed").alias("p_removed"))
+
+    assert added(score(revisions(spark, [["a", "c"]]), estimates(spark), largest)) == [(1, 0.8)]
+
+
+@pytest.mark.parametrize("combiner", list(COMBINERS))
+def test_repeated_revision_rows(spark, combiner):
+    """Equal rows stay separate results; the same revision in two pairs is scored twice."""
+    one = revisions(spark, [["a", "b", "c"], ["a", "c"], []])
+    other_pair = one.withColumn("pair_id", F.lit(7).cast("bigint"))
+    alone = added(score(one, estimates(spark), combiner))
+    together = score(one.union(one).union(one).union(other_pair), estimates(spark), combiner)
+    assert added(together) == sorted(alone * 4)
+    two = votes_of_two(spark, combiner)
+    assert two == pytest.approx(dict(alone)[2], abs=1e-4)
+
+
+def votes_of_two(spark, combiner):
+    """The combiner on the two votes of the second revision, without any look-up."""
+    df = estimates(spark).where(F.col("src").isin("a", "c"))
+    return df.agg(COMBINERS[combiner](F.lit(1)).alias("v")).select("v.*").first().p_added
+
+
+def test_rounded_scores(spark):
+    probs = estimates(spark, [("x", 0.0, 1.0, 3), ("y", 1.0, 0.0, 3)])
+    scores = score(revisions(spark, [["x", "y"], ["x", "x"]]), probs, "multiplicative")
+    found = {r.revision_id: (r.p_added, r.p_removed) for r in rounded_scores(scores).collect()}
+    assert found[1] == (None, None)
+    assert tuple(map(str, found[2])) == ("0.0000", "1.0000")
+
+
+def test_unknown_sources(spark):
+    table = revisions(spark, [["a", "x"], ["a", "b"], ["x", "y", "z", "a"], []])
+    row = count_unknown_sources(table, estimates(spark)).first()
+    assert tuple(row) == (4, 2, 50.0, pytest.approx((1 / 2 + 3 / 4) / 2))
+    row = count_unknown_sources(table.union(table), estimates(spark)).first()
+    assert tuple(row) == (8, 4, 50.0, pytest.approx((1 / 2 + 3 / 4) / 2))
+    row = count_unknown_sources(revisions(spark, []), estimates(spark)).first()
+    assert (row.revisions, row.with_unknown, row.mean_unknown_share) == (0, 0, 0.0)
+    assert math.isnan(row.percentage)
+
+
+def test_hot_source_is_split(spark):
+    """A source that most revisions cite: without a broadcast its join partition is cut into several."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    saved = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        table = spark.range(0, 40000, 1, 8).select(
+            F.col("id").alias("revision_id"),
+            (F.col("id") + 1).alias("pair_id"),
+            F.array(F.lit("hot"), F.concat(F.lit("s"), F.col("id") % 5000)).alias("src"),
+        )
+        probs = spark.range(5000).select(
+            F.concat(F.lit("s"), "id").alias("src"),
+            F.lit(0.25).alias("p_added"),
+            F.lit(10).cast("bigint").alias("occurrences"),
+        )
+        hot = probs.limit(1).withColumn("src", F.lit("hot"))
+        result = score(table, probs.union(hot), "weighted")
+        rows = result.agg(F.count("*"), F.min("p_added"), F.max("p_added"))
+        ((count, low, high),) = rows.collect()
+        assert count == 40000 and low == pytest.approx(0.25) and high == pytest.approx(0.25)
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in saved.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
