@@ -271,6 +271,7 @@ def oracle() -> dict[str, str]:
         "cleanup_source": f"{text}, found as (select rev_id, domain as src from ref_links "
         f"join dom using (link)) select rev_id, src, {CLEANED} as cleaned from found",
         "pairs_block": f"{pairs}, {LISTS} {FLAT_PAIRS}",
+        "pairs_block_rare": f"{pairs}, {LISTS} {FLAT_PAIRS}",
         "pairs_inline": f"{text}, {episodes('Disputed inline')}, {INLINE_PAIRS}",
         "pairs_to_revisions": f"{pairs}, {LISTS} {flat_revisions()}",
         "train_split": f"{pairs}, {LISTS} {FLAT_PAIRS} where p.ta < {SPLIT}",

@@ -13,6 +13,7 @@ from citetrust.fixtures.tables import (
     INLINE_TEMPLATE,
     PAGE_OF_RUN,
     SUFFIXES,
+    given_table,
     revisions,
 )
 from citetrust.functions import text as t
@@ -59,16 +60,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str) -> Column:
     """Revision id that leaves about 70 % of the revisions before it."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given_table(spark, sf_dir, "events")
     return events.select(F.floor(F.max("event_id") * 7 / 10).cast("bigint").alias("split")).scalar()
 
 
-def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return before_split(_pairs(spark, sf_dir), _split(spark, sf_dir))
-
-
-def _test_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_to_revisions(from_split(_pairs(spark, sf_dir), _split(spark, sf_dir)))
+def _train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs before the split, and the revisions of the pairs from it on."""
+    pairs, split = _pairs(spark, sf_dir), _split(spark, sf_dir)
+    return before_split(pairs, split), pairs_to_revisions(from_split(pairs, split))
 
 
 def _estimates(found: DataFrame) -> DataFrame:
@@ -93,8 +92,9 @@ def _estimate_query(estimate: Callable[[DataFrame], DataFrame], of_revisions: bo
 
 def _score_query(combiner: str, clean: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        estimates = _estimates(source_stats.estimate_from_changes(_train(spark, sf_dir)))
-        scored = score(_test_revisions(spark, sf_dir), estimates, combiner, clean)
+        train, test = _train_test(spark, sf_dir)
+        estimates = _estimates(source_stats.estimate_from_changes(train))
+        scored = score(test, estimates, combiner, clean)
         return _numbers(rounded_scores(scored))
 
     return query
@@ -110,7 +110,7 @@ def template_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given URLs, as they are and mangled the way wikitext mangles them."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = given_table(spark, sf_dir, "pages")
     url = F.col("url")
     rest = F.regexp_replace(url, "^https?://", "")
     forms = {
@@ -150,6 +150,12 @@ def pairs_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_pairs(_pairs(spark, sf_dir))
 
 
+def pairs_block_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs by the plan that reads the texts of the pairs' ends separately."""
+    revs = revisions(spark, sf_dir)
+    return _flat_pairs(block_pairs(revs, BLOCK_TEMPLATE, SUFFIXES, rare=True))
+
+
 def pairs_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_pairs(inline_pairs(revisions(spark, sf_dir), INLINE_TEMPLATE, SUFFIXES))
 
@@ -175,11 +181,11 @@ def pairs_to_revisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_pairs(_train(spark, sf_dir))
+    return _flat_pairs(_train_test(spark, sf_dir)[0])
 
 
 def test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_revisions(_test_revisions(spark, sf_dir))
+    return _flat_revisions(_train_test(spark, sf_dir)[1])
 
 
 def labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +253,9 @@ def count_source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    estimates = _estimates(source_stats.estimate_from_changes(_train(spark, sf_dir)))
-    found = diagnostics.count_unknown_sources(_test_revisions(spark, sf_dir), estimates)
+    train, test = _train_test(spark, sf_dir)
+    estimates = _estimates(source_stats.estimate_from_changes(train))
+    found = diagnostics.count_unknown_sources(test, estimates)
     return found.withColumns({c: F.round(c, 6) for c in ("percentage", "mean_unknown_share")})
 
 
@@ -264,6 +271,7 @@ QUERIES: dict[str, Query] = {
     "extract_sources": _text_query(lambda c: t.extract_sources(c, SUFFIXES)),
     "cleanup_source": cleanup_source,
     "pairs_block": pairs_block,
+    "pairs_block_rare": pairs_block_rare,
     "pairs_inline": pairs_inline,
     "pairs_to_revisions": pairs_to_revisions_query,
     "train_split": train_split,

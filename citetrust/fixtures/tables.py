@@ -48,14 +48,25 @@ from (
 """
 
 
+# The columns that are used, so that reading needs no look at the files first.
+SCHEMAS = {
+    "events": "event_id bigint, user_id bigint, event_type string",
+    "pages": "page_id bigint, url string",
+}
+
+
+def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """The given tables as views; a table of few files is first spread over all cores."""
+    """The given tables as views; events in few files are first spread over all cores."""
+    events = given_table(spark, sf_dir, "events")
     cores = spark.sparkContext.defaultParallelism
-    for name, columns in (("events", ["event_id", "user_id", "event_type"]), ("pages", None)):
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if columns and len(table.inputFiles()) < cores:
-            table = table.select(*columns).repartition(cores, columns[0])
-        table.createOrReplaceTempView(name)
+    if len(events.inputFiles()) < cores:
+        events = events.repartition(cores, "event_id")
+    events.createOrReplaceTempView("events")
+    given_table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
 
 
 def revisions(spark: SparkSession, sf_dir: str, page: str = PAGE_OF_USER) -> DataFrame:

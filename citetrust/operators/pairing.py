@@ -1,6 +1,7 @@
 """Episodes of a warning template: from the revision that adds it to the first one without it.
 
-Every revision is first reduced to (has template, sources), so texts are read once and never shuffled.
+Every revision is first reduced to (has template, sources), so what is shuffled are flags and names, not
+texts.
 The order inside a page can then be followed piece by piece: a page's history is cut into chunks of
 bounded length, chunks are paired in parallel, and only what is left open at chunk edges (at most two
 rows per chunk) is followed across the whole page. A page with a third of all revisions is thereby
@@ -17,10 +18,16 @@ from pyspark.sql.window import Window
 
 from citetrust.functions.domains import DEFAULT_SUFFIXES
 from citetrust.functions.text import extract_sources, inline_sources, template_present
+from citetrust.session import scratch_folder
 
 # A chunk covers 2^18 positions, so a window group holds at most that many reduced revisions.
 CHUNK_BITS = 18
 
+# At most that many keys (two numbers each) are broadcast.
+MAX_BROADCAST_KEYS = 1_000_000
+
+REVISION_OF_PAGE = ["page_id", "revision_id"]
+
 
 def mark_block(
     revisions: DataFrame, template: str, suffixes: Iterable[str] = DEFAULT_SUFFIXES
@@ -138,7 +145,7 @@ def _table_pairs(marked: DataFrame, position_bits: int) -> DataFrame:
     return pair_marked(marked.withColumns(pieces), ["page_id"], chunks, ["pos"])
 
 
-def _as_pairs(found: DataFrame) -> DataFrame:
+def as_pairs(found: DataFrame) -> DataFrame:
     return found.select(
         "page_id",
         F.col("opened.rev_id").alias("rev_id_ta"),
@@ -158,14 +165,36 @@ def block_pairs(
     template: str,
     suffixes: Iterable[str] = DEFAULT_SUFFIXES,
     position_bits: int = 40,
+    rare: bool = False,
+    scratch: str | None = None,
 ) -> DataFrame:
     """Pairs of a block template from ``revisions(page_id, rev_id, pos, text)``.
 
     ``pos`` is the revision's place in its page's document order and unique there. ``position_bits``
     is the size of the largest position; from 41 bits on one more level of pieces is used.
+
+    Texts are read once, and the sources of all revisions are worked out. With ``rare``, for a template
+    that few revisions have, the pairs are found from flags alone and stored in ``scratch``; the texts
+    are then read a second time and only those of the pairs are looked into.
     """
-    marked = mark_block(revisions, template, suffixes)
-    return with_closing_sources(_as_pairs(_table_pairs(marked, position_bits)))
+    if not rare:
+        marked = mark_block(revisions, template, suffixes)
+        return with_closing_sources(as_pairs(_table_pairs(marked, position_bits)))
+    no_sources = F.array().cast("array<string>")
+    flagged = as_pairs(_table_pairs(_mark(revisions, template, no_sources), position_bits))
+    ends = pairs_to_revisions(_stored(flagged, scratch)).select("page_id", "revision_id", "pair_id", "ta")
+    texts = texts_of(revisions.withColumnRenamed("rev_id", "revision_id"), ends, REVISION_OF_PAGE)
+    sourced = ends.join(texts, REVISION_OF_PAGE).withColumn(
+        "src", extract_sources(F.col("text"), suffixes)
+    )
+    pair = F.when(F.col("ta"), F.col("revision_id")).otherwise(F.col("pair_id"))
+    # The two rows of a pair meet again; no group is larger than that.
+    paired = sourced.groupBy("page_id", pair.alias("rev_id_ta")).agg(
+        F.max(F.when(~F.col("ta"), F.col("revision_id"))).alias("rev_id_tr"),
+        F.max(F.when(F.col("ta"), F.col("src"))).alias("src_ta"),
+        F.max(F.when(~F.col("ta"), F.col("src"))).alias("src_tr"),
+    )
+    return with_closing_sources(paired)
 
 
 def inline_pairs(
@@ -173,23 +202,26 @@ def inline_pairs(
     template: str,
     suffixes: Iterable[str] = DEFAULT_SUFFIXES,
     position_bits: int = 40,
+    scratch: str | None = None,
 ) -> DataFrame:
     """Pairs of an inline template. Sources of the opening revision are the refs the template marks."""
     marked = mark_inline(revisions, template, suffixes)
-    opened = _as_pairs(_table_pairs(marked, position_bits))
-    closing = revisions.select("page_id", F.col("rev_id").alias("rev_id_tr"), "text")
-    return keep_still_cited(opened, closing, ["page_id", "rev_id_tr"])
+    opened = as_pairs(_table_pairs(marked, position_bits))
+    closing = revisions.withColumnRenamed("rev_id", "rev_id_tr")
+    return keep_still_cited(opened, closing, ["page_id", "rev_id_tr"], scratch)
 
 
-def keep_still_cited(opened: DataFrame, closing: DataFrame, keys: Sequence[str]) -> DataFrame:
+def keep_still_cited(
+    opened: DataFrame, closing: DataFrame, keys: Sequence[str], scratch: str | None = None
+) -> DataFrame:
     """Closing sources of inline pairs: the opening sources whose name still occurs in the text.
 
     Only pairs with an opening source look for their closing text; without one they would be dropped
     afterwards anyway.
     """
-    candidates = opened.where(F.size("src_ta") > 0).drop("src_tr")
+    candidates = _stored(opened.where(F.size("src_ta") > 0).drop("src_tr"), scratch)
     text = F.coalesce("text", F.lit(""))
-    found = candidates.join(closing, list(keys)).select(
+    found = candidates.join(texts_of(closing, candidates, keys), list(keys)).select(
         "page_id",
         "rev_id_ta",
         "rev_id_tr",
@@ -199,6 +231,25 @@ def keep_still_cited(opened: DataFrame, closing: DataFrame, keys: Sequence[str])
     return with_closing_sources(found)
 
 
+def _stored(df: DataFrame, scratch: str | None) -> DataFrame:
+    """``df`` written and read back: what follows knows its size and does not compute it again."""
+    folder = scratch or scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and ``text`` of at least the wanted revisions.
+
+    A bounded number of keys is sent to the texts, so that only the wanted texts are moved by a join that
+    follows. With more keys all texts are returned, and that join decides.
+    """
+    narrow = texts.select(*keys, "text")
+    if wanted.count() > MAX_BROADCAST_KEYS:
+        return narrow
+    return narrow.join(F.broadcast(wanted.select(*keys)), list(keys), "left_semi")
+
+
 def pairs_to_revisions(pairs: DataFrame) -> DataFrame:
     """Each pair as its two revisions, labelled by what happened to the template."""
 

@@ -35,16 +35,22 @@ def estimate_from_revisions(revisions: DataFrame) -> DataFrame:
 
 
 def _sides(pairs: DataFrame, src_ta: Column, src_tr: Column) -> DataFrame:
-    """One row per pair and source: on which sides the pair cites it."""
-    sides = pairs.select(src_ta.alias("src_ta"), src_tr.alias("src_tr"))
-    exploded = sides.select(
-        F.explode(F.array_union("src_ta", "src_tr")).alias("src"), "src_ta", "src_tr"
-    )
-    return exploded.select(
-        "src",
-        F.array_contains("src_ta", F.col("src")).alias("in_ta"),
-        F.array_contains("src_tr", F.col("src")).alias("in_tr"),
+    """One row per pair and source: on which sides the pair cites it.
+
+    The two lists are compared by hashing before the explode, so a long list is not carried along and
+    searched once per source.
+    """
+
+    def on(sources: Column, in_ta: bool, in_tr: bool) -> Column:
+        sides = (F.lit(in_ta).alias("in_ta"), F.lit(in_tr).alias("in_tr"))
+        return F.transform(sources, lambda s: F.struct(s.alias("src"), *sides))
+
+    found = F.concat(
+        on(F.array_except("src_ta", "src_tr"), True, False),
+        on(F.array_except("src_tr", "src_ta"), False, True),
+        on(F.array_intersect("src_ta", "src_tr"), True, True),
     )
+    return pairs.select(src_ta.alias("src_ta"), src_tr.alias("src_tr")).select(F.inline(found))
 
 
 def estimate_from_pairs(pairs: DataFrame) -> DataFrame:

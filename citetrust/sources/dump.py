@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from citetrust.functions.domains import DEFAULT_SUFFIXES
 from citetrust.operators.pairing import (
+    as_pairs,
     keep_still_cited,
     mark_block,
     mark_inline,
@@ -111,16 +112,8 @@ def _dump_pairs(marked: DataFrame, scratch: str) -> DataFrame:
     """Pair reduced dump rows, which are stored first: the dump itself is decompressed only once."""
     marked.write.parquet(scratch)
     rows = marked.sparkSession.read.schema(marked.schema).parquet(scratch)
-    found = pair_marked(
-        with_pages(rows), ["file", "start", "page_id"], ["block"], ["block", "seq"]
-    )
-    return found.select(
-        "page_id",
-        F.col("opened.rev_id").alias("rev_id_ta"),
-        F.col("closed.rev_id").alias("rev_id_tr"),
-        F.col("opened.src").alias("src_ta"),
-        F.col("closed.src").alias("src_tr"),
-    )
+    scope = ["file", "start", "page_id"]
+    return as_pairs(pair_marked(with_pages(rows), scope, ["block"], ["block", "seq"]))
 
 
 def dump_block_pairs(
@@ -151,6 +144,7 @@ def dump_inline_pairs(
     """Pairs of an inline template from a dump folder; closing texts are read from the dump again."""
     dump = read_dump(spark, folder, pattern)
     marked = mark_inline(dump, template, suffixes)
-    opened = _dump_pairs(marked, scratch or scratch_folder(spark))
-    closing = dump.select(F.col("rev_id").alias("rev_id_tr"), "text")
-    return keep_still_cited(opened, closing, ["rev_id_tr"])
+    scratch = scratch or scratch_folder(spark)
+    opened = _dump_pairs(marked, f"{scratch}/marked")
+    closing = dump.withColumnRenamed("rev_id", "rev_id_tr")
+    return keep_still_cited(opened, closing, ["rev_id_tr"], f"{scratch}/opened")

@@ -4,6 +4,7 @@ import re
 
 from test_dump import page, revision, write
 
+from citetrust.__main__ import main
 from citetrust.plans import jobs
 from citetrust.sources import tables
 
@@ -66,3 +67,19 @@ def test_from_dump_to_scores(spark, tmp_path):
     assert sorted(map(tuple, labels.collect())) == sorted(
         map(tuple, spark.read.csv(pair_labels, header=True).collect())
     )
+
+
+def test_command_line(spark, tmp_path, capsys):
+    dump, data = tmp_path / "dump", tmp_path / "data"
+    dump.mkdir()
+    write(dump, "d.bz2", [history(1, ["a.b", "x"], ["x"])])
+    rules = tmp_path / "rules"
+    rules.write_text("org\nb.org\n")
+    main(["parse_pairs", str(data), str(dump), "Circular", "--suffixes", str(rules)])
+    pairs = capsys.readouterr().out.strip()
+    assert tables.read_pairs(spark, pairs).first().src_ta == ["a.b.org", "x.org"]
+    main(["count_source_changes", pairs])
+    assert "|1      |0        |" in capsys.readouterr().out
+    main(["evaluate_pair_sources", str(data), pairs, "Circular", "--split", "11", "--single_file"])
+    probs = capsys.readouterr().out.strip()
+    assert tables.read_source_probs(spark, probs).count() == 1

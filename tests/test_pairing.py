@@ -105,6 +105,16 @@ def test_chunks_do_not_change_the_pairs(spark, monkeypatch, seed, spread, positi
     assert len(expected) > 50
 
 
+@pytest.mark.parametrize("most_keys", [1_000_000, 3])
+def test_rare_template(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(pairing, "MAX_BROADCAST_KEYS", most_keys)
+    revisions = table(spark, random_history(5, 4, 40, 3))
+    plain = block_pairs(revisions, "Circular")
+    rare = block_pairs(revisions, "Circular", rare=True)
+    assert rare.columns == plain.columns
+    assert sorted(map(str, rare.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_texts_are_not_shuffled(spark):
     """Two exchanges, and what goes through them has no text column."""
     plan = block_pairs(table(spark, [(1, 1, 1, T)]), "Circular")._jdf.queryExecution().toString()
@@ -115,7 +125,9 @@ def test_texts_are_not_shuffled(spark):
     assert "text#" not in windows
 
 
-def test_inline(spark):
+@pytest.mark.parametrize("most_keys", [1_000_000, 0])
+def test_inline(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(pairing, "MAX_BROADCAST_KEYS", most_keys)
     flag = "{{Bad source}}"
     rows = [
         # Of two marked sources one is still named in the closing text, outside any ref.

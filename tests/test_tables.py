@@ -7,6 +7,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from citetrust.operators.diagnostics import count_source_changes
+from citetrust.operators.labels import before_split, from_split, labels
 from citetrust.operators.pairing import pairs_to_revisions
 from citetrust.operators.source_stats import rounded
 from citetrust.schemas import PAIRS, REVISIONS
@@ -117,9 +119,27 @@ def test_revision_probs(spark, tmp_path):
 def test_labels_in_one_file(spark, tmp_path):
     folder = str(tmp_path / "labels")
     pairs = spark.createDataFrame([(1, 2, 3, ["a"], ["b"])] * 8, PAIRS).repartition(4)
-    from citetrust.operators.labels import labels
-
     tables.write_labels(labels(pairs_to_revisions(pairs)), folder, single_file=True)
     (lines,) = csv_lines(folder)
     assert lines[0] == ["revision_id", "pair_id", "templateAdded", "templateRemoved"]
     assert len(lines) == 17
+
+
+def scan(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if "FileScan" in line)
+
+
+def test_splits_and_columns_reach_the_scan(spark, tmp_path):
+    pairs, revisions = str(tmp_path / "p"), str(tmp_path / "r")
+    tables.write_pairs(spark.createDataFrame([(1, 2, 3, ["a"], ["b"])], PAIRS), pairs)
+    tables.write_revisions(pairs_to_revisions(tables.read_pairs(spark, pairs)), revisions)
+    train = scan(before_split(tables.read_pairs(spark, pairs), 10))
+    assert "LessThan(revIdTA,10)" in train
+    test = scan(from_split(tables.read_revisions(spark, revisions), 10, "revision_id"))
+    assert "GreaterThanOrEqual(revId,10)" in test
+    assert "ReadSchema: struct<revId:bigint,pairId:bigint,tA_GT:string,tR_GT:string>" in scan(
+        labels(tables.read_revisions(spark, revisions))
+    )
+    changes = scan(count_source_changes(tables.read_pairs(spark, pairs)))
+    assert "ReadSchema: struct<srcTA:array<string>,srcTR:array<string>>" in changes
