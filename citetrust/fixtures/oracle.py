@@ -171,8 +171,8 @@ def votes(revisions: str, src: str = "src") -> str:
     """CTE ``votes``: one row per scored revision and source, or one with a null source."""
     return f"""
 votes as (select revision_id, pair_id, s.src, e.src is not null as known,
-              coalesce(cast(cast(e.p as float) as double), 0.5) as pa,
-              coalesce(cast(1 - cast(e.p as float) as double), 0.5) as pr,
+              coalesce(cast(e.p as double), 0.5) as pa,
+              coalesce(cast(1 - e.p as double), 0.5) as pr,
               coalesce(e.occurrences, 0) as n,
               100 - 100 * exp(-0.05 * least(coalesce(e.occurrences, 0), 100)) as w
           from {revisions} r left join (select rev_id, {src} as src from srcs) s on rev_id = revision_id

@@ -60,7 +60,7 @@ DEFAULT_SUFFIXES = tuple(
 # whitespace around the URL and one closing wiki bracket pair at its end are not part of it. Possessive
 # repeats keep the match linear, and each URL is scanned once.
 _END = r"[\x00-\x20]*(?:\}\}|\]\])?[\x00-\x20]*\z"
-_HOST_CHARS = r"(?:[^/?#:@\]}\x00-\x20]++|(?!" + _END + r")[\]}\x00-\x20])*+"
+_HOST_CHARS = r"(?:[^/?#:@\]}\x00-\x20]++|(?!" + _END + r")(?:[\x00-\x20]++|[\]}]))*+"
 _HOST = (
     r"^[\x00-\x20]*(?i:https?|ftp|file)://(?:[^/?#@]*@)?"
     "(" + _HOST_CHARS + r")(?::[0-9]*)?(?:[/?#]|" + _END + ")"

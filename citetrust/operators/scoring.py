@@ -30,15 +30,16 @@ def look_up_sources(
     cited = revisions.select(
         "revision_id",
         "pair_id",
-        F.size("src").alias("n_sources"),
+        F.coalesce(F.size("src"), F.lit(0)).alias("n_sources"),
         F.xxhash64("src").alias("src_hash"),
         F.explode_outer(src).alias("src"),
     )
-    p_added = F.col("p_added").cast("float")
+    # Four decimals as doubles: means that fall on a rounding tie then do so in any order of summing.
+    p_added = F.col("p_added").cast("double")
     known = estimates.select(
         "src",
-        p_added.cast("double").alias("p_added"),
-        (1 - p_added).cast("float").cast("double").alias("p_removed"),
+        p_added.alias("p_added"),
+        (1 - p_added).alias("p_removed"),
         "occurrences",
         F.lit(True).alias("known"),
     )

@@ -105,7 +105,7 @@ def read_source_probs(spark: SparkSession, folder: str) -> DataFrame:
     # Source names may hold any character of a URL field, line breaks included, and may be empty.
     reader = spark.read.option("header", True).option("multiLine", True)
     lines = reader.option("nullValue", "\0").csv(folder)
-    p_added = F.col(CSV_ADDED).cast("float").cast("double")
+    p_added = F.col(CSV_ADDED).cast("double")
     votes = F.col(CSV_VOTES).cast("bigint")
     return (
         lines.select("src", p_added.alias("p"), votes.alias("votes"))

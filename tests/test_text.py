@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,48 @@ def test_cleanup_source(spark, source, expected):
 
 def test_template_slug():
     assert t.template_slug("Unreliable Source") == "unreliable-source"
+
+
+def plain_domain(url):
+    """Registrable domain in plain Python, for hosts below the few suffixes used here."""
+    url = re.sub(r"(\}\}|\]\])$", "", url.strip()).strip()
+    match = re.match(r"https?://([^/?#:@]*)(:[0-9]*)?([/?#]|$)", url)
+    if not match or "{{" in url:
+        return None
+    labels = match.group(1).lower().split(".")
+    n = 2 if labels[-2:] in (["co", "uk"], ["ac", "at"]) else 1
+    return ".".join(labels[-n - 1 :]) if len(labels) > n and "" not in labels else None
+
+
+def plain_sources(text):
+    found = []
+    for ref in re.findall(t.REF, text):
+        found += [plain_domain(u) for u in re.findall(t.URL, ref[0])]
+    for cite in re.finditer(t.CITE.replace("(?i)", ""), text, re.IGNORECASE):
+        url, isbn = re.search(t.URL_FIELD, cite[0]), re.search(t.ISBN_FIELD, cite[0])
+        found.append(plain_domain(url[1]) if url else None)
+        digits = re.sub(t.NOT_ISBN, "", isbn[1]) if isbn else ""
+        found.append(f"ISBN:{digits}" if digits else None)
+    return list(dict.fromkeys(s for s in found if s))
+
+
+def test_random_texts(spark):
+    """Fragments thrown together, against the same patterns run by Python."""
+    rng = random.Random(11)
+    urls = ["http://a.org", "https://www.B.co.uk/x?y=1", "http://c.ac.at:80", "http://d..com", "http://e"]
+    ends = ["", "/", ")", "]]", "}}", "|x", " ", "}}}}", "{{x", "#f"]
+    fragments = ["<ref>", "<ref name=q>", "</ref>", "<REF/>", "{{cite web|", "{{Citation |", "}}", "|"]
+    fragments += ["url=", "URL = ", "|isbn=97-8X x", "|isbn= 12", "\n", " ", "text", "&lt;ref&gt;"]
+    texts = []
+    for _ in range(1500):
+        parts = []
+        for _ in range(rng.randint(1, 25)):
+            link = rng.choice(urls) + rng.choice(ends)
+            whole = [link, f"<ref>{link}</ref>", f"{{{{cite web|url={link}|isbn=1X{len(parts)}}}}}"]
+            parts.append(rng.choice(whole) if rng.random() < 0.35 else rng.choice(fragments))
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    rows = df.select("text", t.extract_sources(F.col(C)).alias("src")).collect()
+    wrong = [(r.text, r.src, plain_sources(r.text)) for r in rows if r.src != plain_sources(r.text)]
+    assert not wrong, wrong[:3]
+    assert sum(len(r.src) for r in rows) > 1000
