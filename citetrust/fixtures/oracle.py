@@ -201,6 +201,17 @@ select revision_id, pair_id, cast(p as double) as p_added, cast(1 - p as double)
 """
 
 
+AS_STORED = """
+select revision_id, coalesce(cast(cast(p_added as decimal(10, 4)) as varchar), 'NaN') as p_added,
+    coalesce(cast(cast(p_removed as decimal(10, 4)) as varchar), 'NaN') as p_removed from final
+"""
+
+
+def nested(query: str) -> str:
+    """A statement that begins with a CTE, for use inside another one."""
+    return f"with {query}"
+
+
 TRAIN_TEST = f"""
 train as (select * from pairs where ta < {SPLIT}),
 test_revs as (select * from revisions where (case when ta then revision_id else pair_id end) >= {SPLIT})
@@ -243,6 +254,7 @@ from per_revision
 
 def oracle() -> dict[str, str]:
     text, pairs = texts(), block_pairs()
+    in_dump = block_pairs(PAGE_OF_RUN, IN_DUMP)
     stored = "select *, true as gt from masked union all "
     stored += "select * replace (ta as ta_gt, tr as tr_gt), false as gt from masked"
     voted = counted("ta", "tr and not ta", "cited")
@@ -256,9 +268,12 @@ def oracle() -> dict[str, str]:
         return f"{pairs}, {LEARNED}, {votes('test_revs', src)}, {scores(combiner)}"
 
     return {
-        "dump_pairs": f"{block_pairs(PAGE_OF_RUN, IN_DUMP)}, {LISTS} {FLAT_PAIRS}",
+        "dump_pairs": f"{in_dump}, {LISTS} {FLAT_PAIRS}",
         "dump_pairs_inline": f"{texts(PAGE_OF_RUN)}, {episodes('Disputed inline', IN_DUMP)}, "
         f"{INLINE_PAIRS}",
+        "dump_revisions": f"{in_dump}, {LISTS} {flat_revisions()}",
+        "jobs_end_to_end": f"{in_dump}, {LEARNED}, {votes('test_revs')}, "
+        f"final as ({nested(scores('weighted_sure'))}) {AS_STORED}",
         "template_present": f"with revs as ({revisions_sql()}) select rev_id, "
         f"{_has('Disputed')} as block, {_has('Disputed inline')} as inline from revs",
         "registrable_domain": f"{URL_FORMS} {domains('links')} "
@@ -282,6 +297,11 @@ def oracle() -> dict[str, str]:
         "pairs_roundtrip": f"{pairs}, {LISTS} {FLAT_PAIRS}",
         "revisions_roundtrip": f"{pairs}, {LISTS}, masked as ({MASKED}) {stored}",
         "source_probs_roundtrip": f"{pairs}, {sides(CLEANED)}, {CHANGES}, {ESTIMATES} {FLAT_ESTIMATES}",
+        "source_probs_unchanged_roundtrip": f"{pairs}, {sides()}, "
+        f"three_way as ({nested(UNCHANGED)}) select src, p_added, round(1 - p_added, 4) as p_removed, "
+        "occurrences from three_way",
+        "revision_probs_roundtrip": f"{pairs}, {LEARNED}, {votes('test_revs')}, "
+        f"final as ({nested(scores('multiplicative'))}) {AS_STORED}",
         "source_eval_revisions": f"{pairs}, {REVISION_VOTES}, {voted}, {ESTIMATES} {FLAT_ESTIMATES}",
         "source_eval_pairs": f"{pairs}, {sides()}, {counted('not in_tr', 'in_tr', 'sides')}, "
         f"{ESTIMATES} {FLAT_ESTIMATES}",

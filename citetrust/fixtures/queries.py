@@ -23,6 +23,7 @@ from citetrust.operators import diagnostics, source_stats
 from citetrust.operators.labels import before_split, from_split, labels, mask_labels
 from citetrust.operators.pairing import block_pairs, inline_pairs, pairs_to_revisions
 from citetrust.operators.scoring import rounded_scores, score
+from citetrust.plans import jobs
 from citetrust.session import scratch_folder
 from citetrust.sources import tables
 from citetrust.sources.dump import dump_block_pairs, dump_inline_pairs
@@ -171,6 +172,27 @@ def dump_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_pairs(found)
 
 
+def dump_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dump_block_pairs(spark, _dump(spark, sf_dir), BLOCK_TEMPLATE, SUFFIXES)
+    return _flat_revisions(pairs_to_revisions(found))
+
+
+def jobs_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dump to stored pairs to stored estimates to stored scores, each job reading the last one's files."""
+    data = scratch_folder(spark)
+    (split,) = spark.range(1).select(_split(spark, sf_dir)).first()
+    pairs = jobs.parse_pairs(spark, data, _dump(spark, sf_dir), BLOCK_TEMPLATE, suffixes=SUFFIXES)
+    probs = jobs.evaluate_pair_sources(spark, data, pairs, BLOCK_TEMPLATE, split)
+    scores = jobs.evaluate_pair_revisions(spark, data, pairs, probs, BLOCK_TEMPLATE, split)
+    return _stored_scores(spark, scores)
+
+
+def _stored_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers as they stand in the files: four decimals, or NaN."""
+    schema = "revision_id bigint, p_added string, p_removed string"
+    return spark.read.schema(schema).option("header", True).csv(folder)
+
+
 def dump_pairs_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dump_inline_pairs(spark, _dump(spark, sf_dir), INLINE_TEMPLATE, SUFFIXES)
     return _flat_pairs(found)
@@ -226,6 +248,23 @@ def source_probs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.withColumns({c: F.round(c, 4) for c in ("p_added", "p_removed")})
 
 
+def source_probs_unchanged_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-way estimates, stored, and read as the two-way estimates scoring uses."""
+    folder = scratch_folder(spark)
+    found = _estimates(source_stats.estimate_with_unchanged(_pairs(spark, sf_dir)))
+    tables.write_source_probs(found, folder)
+    stored = tables.read_source_probs(spark, folder)
+    return stored.withColumns({c: F.round(c, 4) for c in ("p_added", "p_removed")})
+
+
+def revision_probs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    train, test = _train_test(spark, sf_dir)
+    estimates = _estimates(source_stats.estimate_from_changes(train))
+    tables.write_revision_probs(rounded_scores(score(test, estimates, "multiplicative")), folder)
+    return _stored_scores(spark, folder)
+
+
 def occurrence_weight_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = source_stats.estimate_from_revisions(pairs_to_revisions(_pairs(spark, sf_dir)))
     weight = F.round(occurrence_weight(F.col("occurrences")), 6)
@@ -262,6 +301,8 @@ def count_unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "dump_pairs": dump_pairs,
     "dump_pairs_inline": dump_pairs_inline,
+    "dump_revisions": dump_revisions,
+    "jobs_end_to_end": jobs_end_to_end,
     "template_present": template_present,
     "registrable_domain": registrable_domain,
     "src_ref_urls": _text_query(lambda c: t.ref_urls(c, SUFFIXES)),
@@ -281,6 +322,8 @@ QUERIES: dict[str, Query] = {
     "pairs_roundtrip": pairs_roundtrip,
     "revisions_roundtrip": revisions_roundtrip,
     "source_probs_roundtrip": source_probs_roundtrip,
+    "source_probs_unchanged_roundtrip": source_probs_unchanged_roundtrip,
+    "revision_probs_roundtrip": revision_probs_roundtrip,
     "source_eval_revisions": _estimate_query(source_stats.estimate_from_revisions, True),
     "source_eval_pairs": _estimate_query(source_stats.estimate_from_pairs),
     "source_eval_changed": _estimate_query(source_stats.estimate_from_changes),
