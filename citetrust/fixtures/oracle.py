@@ -181,7 +181,8 @@ votes as (select revision_id, pair_id, s.src, e.src is not null as known,
 
 
 COMBINED = {
-    "multiplicative": "product(pa) / nullif(product(pa) + product(pr), 0)",
+    "multiplicative": """cast(cast(product(pa) as float) as double) / nullif(
+        cast(cast(product(pa) as float) as double) + cast(cast(product(pr) as float) as double), 0)""",
     "logarithmic": """case when bool_and(pa >= 0.999999) then 1 when bool_and(pr >= 0.999999) then 0
         when sum(pa) = 0 or sum(pr) = 0 then null when sum(pa) + sum(pr) <= 1e-5 then 0.5
         else sum(pa) / (sum(pa) + sum(pr)) end""",

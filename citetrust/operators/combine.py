@@ -63,11 +63,15 @@ def _weighted_mean(p: str) -> Column:
 
 
 def multiplicative(copies: Column) -> Column:
-    """Normalised products. Certain sources that contradict each other give NaN."""
+    """Normalised products. Certain sources that contradict each other give NaN.
+
+    Products are kept in 32 bits, so NaN is also what very many sources give on both sides.
+    """
 
     def product(p: str) -> Column:
         whole = F.coalesce(F.product(p), F.lit(1.0))
-        return F.when(copies > 1, F.pow(whole, 1 / copies)).otherwise(whole)
+        once = F.when(copies > 1, F.pow(whole, 1 / copies)).otherwise(whole)
+        return once.cast("float").cast("double")
 
     return _shares(product(P_ADDED), product(P_REMOVED))
 

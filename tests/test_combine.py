@@ -33,6 +33,8 @@ def test_multiplicative(spark, ps, expected):
 def test_multiplicative_edges(spark):
     assert combine(spark, "multiplicative", []) == (0.5, 0.5)
     assert all(map(math.isnan, combine(spark, "multiplicative", votes(0.0, 1.0))))
+    assert all(map(math.isnan, combine(spark, "multiplicative", votes(*[0.5] * 200))))
+    assert combine(spark, "multiplicative", votes(*[0.5] * 100)) == (0.5, 0.5)
 
 
 @pytest.mark.parametrize(
