@@ -171,3 +171,33 @@ def test_inline(spark, tmp_path):
     assert [(r.page_id, r.rev_id_ta, r.rev_id_tr, r.src_ta, r.src_tr) for r in found] == [
         (1, 1, 2, ["a.org", "b.org"], ["b.org"])
     ]
+
+
+@pytest.mark.parametrize(
+    "element, expected",
+    [
+        ("<text>a &amp; b</text>", "a & b"),
+        ('<text xml:space="preserve">x</text>', "x"),
+        ("<text></text>", ""),
+        ("<text/>", ""),
+        ('<text deleted="deleted" />', ""),
+        ("<text>&#33;&#x21;&quot;&apos;</text>", "!!\"'"),
+        ("<text>&amp;lt;ref&amp;gt;</text>", "&lt;ref&gt;"),
+        ("<text>  {{T}}\n\n</text>", "{{T}}"),
+        ("<comment>&lt;text&gt;no&lt;/text&gt;</comment><text>yes</text>", "yes"),
+        ("<text>é 漢 \U0001f600</text>", "é 漢 \U0001f600"),
+        ("", ""),
+    ],
+)
+def test_text_elements(spark, tmp_path, element, expected):
+    body = f"<page><ns>0</ns><id>5</id><redirect/><revision><id>1</id>{element}</revision></page>"
+    (tmp_path / "a.bz2").write_bytes(bz2.compress(body.encode()))
+    (row,) = read_dump(spark, str(tmp_path)).collect()
+    assert (row.rev_id, row.text, row.page.main) == (1, expected, False)
+
+
+def test_page_that_occurs_twice(spark, tmp_path):
+    """An episode ends with its page element, even if the same page comes again."""
+    bad = "<ref>http://www.badsite.com</ref>"
+    write(tmp_path, "a.bz2", [page(1, [revision(1, T + bad)]), page(1, [revision(2, bad)])])
+    assert dump_block_pairs(spark, str(tmp_path), "circular").count() == 0
