@@ -2,10 +2,10 @@
 
 Every revision is first reduced to (has template, sources), so what is shuffled are flags and names, not
 texts.
-The order inside a page can then be followed piece by piece: a page's history is cut into chunks of
-bounded length, chunks are paired in parallel, and only what is left open at chunk edges (at most two
-rows per chunk) is followed across the whole page. A page with a third of all revisions is thereby
-spread over many tasks.
+The order inside a page can then be followed piece by piece: a long history is cut into chunks of bounded
+length, chunks are paired in parallel, and only what is left open at chunk edges (at most two rows per
+chunk) is followed across the whole page. A page with a third of all revisions is thereby spread over many
+tasks.
 """
 
 from __future__ import annotations
@@ -137,12 +137,25 @@ def pair_marked(
 
 
 def _table_pairs(marked: DataFrame, position_bits: int) -> DataFrame:
-    pieces = {"_piece": F.shiftright("pos", CHUNK_BITS)}
-    chunks = ["_piece"]
+    """Pair a revision table. Only pages longer than a chunk are cut up.
+
+    Finding those pages reads the page ids alone. At most one page per 2^18 revisions can be that long, so
+    their list stays small enough to broadcast.
+    """
+    n_revisions = marked.groupBy("page_id").agg(F.count("*").alias("n"))
+    long_pages = n_revisions.where(F.col("n") > 2**CHUNK_BITS).select(
+        "page_id", F.lit(True).alias("_long")
+    )
+    pieces = {"_piece": CHUNK_BITS}
     if position_bits > 2 * CHUNK_BITS + 4:
-        pieces["_part"] = F.shiftright("pos", 2 * CHUNK_BITS)
-        chunks = ["_part", "_piece"]
-    return pair_marked(marked.withColumns(pieces), ["page_id"], chunks, ["pos"])
+        pieces = {"_part": 2 * CHUNK_BITS, **pieces}
+    cut = marked.join(F.broadcast(long_pages), "page_id", "left").withColumns(
+        {
+            name: F.when(F.col("_long"), F.shiftright("pos", bits)).otherwise(F.lit(0))
+            for name, bits in pieces.items()
+        }
+    )
+    return pair_marked(cut.drop("_long"), ["page_id"], list(pieces), ["pos"])
 
 
 def as_pairs(found: DataFrame) -> DataFrame:

@@ -82,10 +82,18 @@ def random_history(seed, pages, steps, spread):
     return rows
 
 
-@pytest.mark.parametrize("seed, spread, position_bits", [(1, 1, 40), (2, 9, 40), (3, 40, 63)])
-def test_chunks_do_not_change_the_pairs(spark, monkeypatch, seed, spread, position_bits):
-    """Tiny chunks, so that episodes begin, end and last across many of them."""
-    monkeypatch.setattr(pairing, "CHUNK_BITS", 2)
+@pytest.mark.parametrize(
+    "seed, spread, position_bits, chunk_bits",
+    [(1, 1, 40, 2), (2, 9, 40, 2), (3, 40, 63, 2), (4, 3, 40, 7), (5, 3, 63, 7)],
+)
+def test_chunks_do_not_change_the_pairs(
+    spark, monkeypatch, seed, spread, position_bits, chunk_bits
+):
+    """Small chunks, so that episodes begin, end and last across many of them.
+
+    With 7 bits only the first page is long enough to be cut.
+    """
+    monkeypatch.setattr(pairing, "CHUNK_BITS", chunk_bits)
     rows = random_history(seed, 6, 60, spread)
     expected = []
     for page in {r[0] for r in rows}:
@@ -115,14 +123,22 @@ def test_rare_template(spark, monkeypatch, most_keys):
     assert sorted(map(str, rare.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_texts_are_not_shuffled(spark):
-    """Two exchanges, and what goes through them has no text column."""
-    plan = block_pairs(table(spark, [(1, 1, 1, T)]), "Circular")._jdf.queryExecution().toString()
-    physical = plan.split("== Physical Plan ==")[1]
-    exchanges = [line for line in physical.splitlines() if "Exchange" in line]
-    assert len(exchanges) == 2
-    windows = physical.split("Exchange")[0]
-    assert "text#" not in windows
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Two exchanges of reduced revisions and one for page lengths; none carries a text."""
+    table(spark, [(1, 1, 1, T)]).write.parquet(str(tmp_path / "t"))
+    pairs = block_pairs(spark.read.parquet(str(tmp_path / "t")), "Circular")
+    plan = pairs._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    nodes = [node.strip() for node in plan.split("\n\n") if node.strip()]
+
+    def named(name):
+        return [node for node in nodes if f") {name}" in node.splitlines()[0]]
+
+    exchanges = named("Exchange")
+    assert len(exchanges) == 3 and all("hashpartitioning" in node for node in exchanges)
+    assert not any("text#" in node for node in exchanges)
+    assert sorted("text:string" in node for node in named("Scan parquet")) == [False, True]
 
 
 @pytest.mark.parametrize("most_keys", [1_000_000, 0])
