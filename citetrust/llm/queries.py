@@ -6,20 +6,69 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citetrust.llm import oracle
 from citetrust.llm.bpe import encode_decode
+from citetrust.llm.language import learn_and_identify
+from citetrust.llm.mil import quality as mil_quality
+from citetrust.llm.neighbours import nearest
+from citetrust.llm.ngram_join import join
 from citetrust.llm.packing import pack_documents
+from citetrust.llm.quality_rules import quality as line_quality
+from citetrust.llm.repeats import remove_repeats
+from citetrust.llm.url_filter import RULES, judge
 from citetrust.llm.work import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=90)
+
+
+def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return mil_quality(table(spark, sf_dir, "documents", "doc_id", "text"), labels)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bpe, op10_best_two_fit)
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_mil_quality,
+        op3_url_filter,
+        op4_bpe,
+        op5_suffix_dedup,
+        op6_language,
+        op8_line_rules,
+        op9_neighbours,
+        op10_best_two_fit,
+    )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_ngram_join": oracle.NGRAM_JOIN, "op3_url_filter": oracle.URL_FILTER, "op8_line_rules": oracle.LINE_RULES}

@@ -27,37 +27,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 # A random number for each byte value, and the multiplier of the polynomial.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, np.uint64)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers = np.ones((2, 1), np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """1, BASE, BASE^2, ... (n numbers); the longest that was asked for is kept."""
+    """The first ``n`` powers of BASE and of its inverse; the most that were asked for are kept."""
     global _powers
-    if len(_powers) < n:
-        made = np.full(max(n, 1 << 22), BASE, np.uint64)
-        made[0] = 1
-        _powers = np.cumprod(made, dtype=np.uint64)
-    return _powers[:n]
+    if _powers.shape[1] < n:
+        made = np.ones((2, max(n, 1 << 21)), np.uint64)
+        made[:, 1:] = [[BASE], [INVERSE]]
+        _powers = np.cumprod(made, axis=1, dtype=np.uint64)
+    return _powers[:, :n]
 
 
 class Rolling:
     """Hashes of any stretches of ``data``; equal bytes give equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
-        self.pw = powers(len(data) + 1)
+        up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[data] * self.pw[:-1], out=self.sums[1:])
+        np.cumsum(BYTES[data] * up[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        shift = self.pw[len(self.sums) - 1 - start]
-        return mix((self.sums[end] - self.sums[start]) * shift + (end - start).astype(np.uint64) * ODD)
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD)
 
     def fixed(self, width: int) -> np.ndarray:
         """Of every stretch of ``width`` bytes."""
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.pw[:n][::-1])
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
 
 def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +81,11 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, sorted, and where each text's begin (one entry more than texts).
+    """The distinct shingles of each text (A-Z in lower case), sorted, and where each text's begin (one entry more than texts).
 
     A text with fewer than ``width`` words has its whole sequence as the only shingle, one without words none.
     """
-    word, first = word_hashes(data, at)
+    word, first = word_hashes(LOWER[data], at)
     count = np.diff(first)
     long = np.maximum(count - width + 1, 0)
     size = np.where(count >= width, long, (count > 0).astype(np.int64))
@@ -97,7 +97,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     last = first[1:][text]
     for k in range(width):
         there = place + k < last
-        factor = ODD * np.uint64(2 * k + 1)
+        factor = np.uint64(int(ODD) * (2 * k + 1) % (1 << 64))
         made[there] = mix(made[there] + word[place[there] + k] * factor + np.uint64(k + 1))
     for a, b in zip(begin[:-1], begin[1:], strict=True):
         if b - a > 1:
