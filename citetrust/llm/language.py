@@ -16,6 +16,7 @@ from citetrust.llm.work import by_slices, held_out, slices, utf8
 LONGEST = 3  # bytes of an n-gram
 RANKS = 300  # n-grams of a profile
 UNKNOWN = "und"
+LEAST = 0.1  # score of a text that is taken to be in its language
 
 LETTER = np.zeros(256, bool)
 LETTER[ord("a") : ord("z") + 1] = True
@@ -131,6 +132,26 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
+def predict(texts: pa.Array, profiles: dict[str, list[int]], ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray]:
+    """The predicted language of each text, and its score."""
+    names = sorted(profiles)
+    data, at = utf8(texts)
+    top, begin = most_frequent(*ngrams(data, at), ranks)
+    plain = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(LETTER[LOWER[data]] & (data < 0x80), out=plain[1:])
+    letters = plain[at[1:]] > plain[at[:-1]]
+    for k in np.flatnonzero(~letters).tolist():
+        letters[k] = at[k + 1] > at[k] and has_letter(texts[k].as_py())
+    size = np.diff(begin)
+    known = letters & (size > 0) & bool(names)
+    pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if names:
+        far = np.stack([out_of_place(top, begin, profiles[n], ranks) for n in names])
+        pred[known] = np.array(names, object)[far.argmin(0)[known]]
+        score[known] = 1 - far.min(0)[known] / (size[known] * ranks)
+    return pred, score
+
+
 def identify(documents: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS) -> DataFrame:
     """(doc_id, lang_pred, score) of each row of ``documents`` (doc_id, text): the language with the nearest profile.
 
@@ -138,25 +159,9 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], ranks: int =
     the first by name. A null text, one without a letter, or no profile at all gives ``und`` and 0. Null ids stay
     null, repeated rows are judged each, other columns are not read. One scan, no shuffle.
     """
-    names = sorted(profiles)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = utf8(part.column(1))
-        top, begin = most_frequent(*ngrams(data, at), ranks)
-        plain = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(LETTER[LOWER[data]] & (data < 0x80), out=plain[1:])
-        letters = plain[at[1:]] > plain[at[:-1]]
-        for k in np.flatnonzero(~letters).tolist():
-            letters[k] = at[k + 1] > at[k] and has_letter(part.column(1)[k].as_py())
-        size = np.diff(begin)
-        known = letters & (size > 0) & bool(names)
-        pred = np.full(part.num_rows, UNKNOWN, object)
-        score = np.zeros(part.num_rows)
-        if names:
-            far = np.stack([out_of_place(top, begin, profiles[n], ranks) for n in names])
-            best = far.argmin(0)
-            pred[known] = np.array(names, object)[best[known]]
-            score[known] = 1 - far.min(0)[known] / (size[known] * ranks)
+        pred, score = predict(part.column(1), profiles, ranks)
         return pa.RecordBatch.from_arrays(
             [part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
         )
@@ -171,3 +176,21 @@ def learn_and_identify(documents: DataFrame) -> DataFrame:
     profiles = learn_profiles(documents.where(~held_out(F.col("doc_id"))))
     found = identify(documents, profiles)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def understood(documents: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``documents``, with all their columns, in one of the languages learned from them.
+
+    Rejected are texts without a letter and those that have next to nothing in common with any profile. If nothing
+    can be learned, all rows stay.
+    """
+    profiles = learn_profiles(documents.where(~held_out(F.col("doc_id"))))
+    if not profiles:
+        return documents
+    text = documents.columns.index("text")
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        pred, score = predict(part.column(text), profiles)
+        return part.filter(pa.array((pred != UNKNOWN) & (score >= least)))
+
+    return documents.mapInArrow(by_slices("text", work), documents.schema)

@@ -200,3 +200,17 @@ def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
         "score",
         (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
     )
+
+
+def accepted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score ``accept`` or more; all rows without a model."""
+    model = learn(documents, labels, sample)
+    if model is None:
+        return documents
+    text = documents.columns.index("text")
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows, to = passages(*utf8(part.column(text)))
+        return part.filter(pa.array(model.score(rows.astype(np.float64), to) >= accept))
+
+    return documents.mapInArrow(by_slices("text", work, 2 << 20), documents.schema)

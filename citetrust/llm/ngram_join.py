@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citetrust.llm.components import components
@@ -23,6 +23,7 @@ from citetrust.llm.work import binary, by_slices, slices, stored, utf8
 BUCKET_ENTRIES = 2_000_000  # signatures of a bucket, about
 TILE_SHINGLES = 1 << 19  # of all documents of one side of a tile, about
 TILE_ROWS = 512  # documents of one side of a tile, at most
+NUMBER = "_number_of_repeated_row"
 
 
 def size_bands(percent: int, limit: int = 1 << 40) -> np.ndarray:
@@ -292,11 +293,11 @@ def _verified(documents: DataFrame, members: DataFrame, width: int, percent: int
     count = lambda k: F.coalesce(F.element_at("blocks", F.col("band") + k), F.lit(0))
     laid = laid.withColumn("n", F.array(count(-1), F.greatest(count(0), F.lit(1)), count(1))).withColumn("own", own)
 
-    def partners(k: int) -> F.Column:
+    def partners(k: int) -> Column:
         """Tiles of the own block with the blocks of a band: (band, block, band, block, side), the lower one first."""
         there = F.filter(F.sequence(F.lit(0), F.get("n", F.lit(k + 1)) ), lambda y: y < F.get("n", F.lit(k + 1)))
 
-        def tile(y: F.Column) -> F.Column:
+        def tile(y: Column) -> Column:
             mine, other = (F.col("band"), F.col("own")), (F.col("band") + k, y)
             first = F.lit(k > 0) if k else y >= F.col("own")
             pick = lambda a, b: F.when(first, a).otherwise(b)
@@ -375,3 +376,15 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with all their columns, of each group of linked ones only the one with the smallest doc_id.
+
+    Of repeated rows one stays. Rows without doc_id can't be told apart and all stay.
+    """
+    found = join(documents, width, percent)
+    first = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    known = documents.join(first, "doc_id", "left_semi").withColumn(NUMBER, number).where(F.col(NUMBER) == 1)
+    return known.select(*documents.columns).unionByName(documents.where("doc_id is null"))

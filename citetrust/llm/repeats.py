@@ -29,6 +29,7 @@ NO_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 SPANS = "id bigint, text_hash bigint, starts binary, ends binary"
 KEYS = ["id", "text_hash"]
+STARTS, ENDS = "_span_starts", "_span_ends"  # names that no column of documents has
 
 
 def sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -401,15 +402,15 @@ def _from_number(x: Column) -> Column:
 
 
 def _with_spans(documents: DataFrame, length: int, width: int) -> DataFrame:
-    """``documents`` with (starts, ends), arrays of binary pieces, null where nothing is repeated."""
+    """``documents`` with (STARTS, ENDS), arrays of binary pieces, null where nothing is repeated."""
     spans = repeated_spans(documents, length, width).groupBy(*KEYS).agg(
-        F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")
+        F.collect_list("starts").alias(STARTS), F.collect_list("ends").alias(ENDS)
     )
-    spans = spans.withColumnsRenamed({"id": "span_id", "text_hash": "span_hash"})
+    spans = spans.withColumnsRenamed({"id": "_span_id", "text_hash": "_span_hash"})
     return documents.join(
         spans,
-        (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == spans["span_id"])
-        & (F.xxhash64(documents["text"]) == spans["span_hash"]),
+        (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == spans["_span_id"])
+        & (F.xxhash64(documents["text"]) == spans["_span_hash"]),
         "left",
     )
 
@@ -451,22 +452,33 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, width: int = ANCH
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    rows = _with_spans(documents.select("doc_id", "text"), length, width).select("doc_id", "text", "starts", "ends")
+    rows = _with_spans(documents.select("doc_id", "text"), length, width).select("doc_id", "text", STARTS, ENDS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return rows.mapInArrow(by_slices("text", work), schema)
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, width: int = ANCHOR) -> DataFrame:
-    """``documents`` with all its columns, ``text`` without repeats. Of a character cut in two nothing stays; a null
-    text stays null."""
+    """``documents`` with all its columns, ``text`` without repeats, and ``n_chars``, if it is there, to match.
+
+    Of a character cut in two nothing stays; a null text stays null, with its ``n_chars`` as it is.
+    """
+    names = documents.columns
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
             t if t is None or not s else _cut(t.encode(), s, e)[0].decode("utf-8", "ignore")
-            for t, s, e in zip(*[part.column(c).to_pylist() for c in ("text", "starts", "ends")], strict=True)
+            for t, s, e in zip(*[part.column(c).to_pylist() for c in ("text", STARTS, ENDS)], strict=True)
         ]
-        columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in documents.columns]
-        return pa.RecordBatch.from_arrays(columns, documents.columns)
-
-    rows = _with_spans(documents, length, width).select(*[documents[c] for c in documents.columns], "starts", "ends")
+        columns = []
+        for name in names:
+            column = part.column(name)
+            if name == "text":
+                column = pa.array(texts, pa.string())
+            elif name == "n_chars":
+                counts = zip(texts, column.to_pylist(), strict=True)
+                column = pa.array([n if t is None else len(t) for t, n in counts], column.type)
+            columns.append(column)
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    rows = _with_spans(documents, length, width).select(*[documents[c] for c in names], STARTS, ENDS)
     return rows.mapInArrow(by_slices("text", work), documents.schema)

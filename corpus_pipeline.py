@@ -1,19 +1,49 @@
-"""A training corpus from ``documents``: filtering, near-duplicate and repeat removal, packing."""
+"""A training corpus from ``documents``: filtering, near-duplicate and repeat removal, packing.
+
+Every stage works on all rows that the stage before kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citetrust.llm.packing import pack_documents
-from citetrust.llm.work import stored
+from citetrust.llm import language, mil, ngram_join, packing, repeats
+from citetrust.llm.work import stored, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance classifier, learned from ``labels``, accepts."""
+    return mil.accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told."""
+    return language.understood(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that 5-word shingles link at a Jaccard index of 0.8 or more."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without what an earlier one holds in 50 bytes or more; ``n_chars`` follows the text."""
+    return repeats.without_repeats(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences, see ``packing.pack_documents``."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", suffix_dedup),
+    ("best-fit packing", best_two_fit),
+]
+ORACLE_SQL = None  # no stage can be said in SQL; tests hold each against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, name)
+            docs = stored(docs, name.replace(" ", "-"))
     return docs
