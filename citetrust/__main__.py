@@ -38,12 +38,12 @@ def parser() -> argparse.ArgumentParser:
         command.set_defaults(run=job)
         for name, given in list(inspect.signature(job).parameters.items())[1:]:
             kind = int if name == "split" else str
-            if given.default is inspect.Parameter.empty:
+            if name == "suffixes":
+                command.add_argument("--suffixes", required=True, help="the public suffix list, a file")
+            elif given.default is inspect.Parameter.empty:
                 command.add_argument(name, type=kind)
             elif isinstance(given.default, bool):
                 command.add_argument(f"--{name}", action="store_true")
-            elif name == "suffixes":
-                command.add_argument("--suffixes", help="file in the public suffix list's format")
             else:
                 command.add_argument(f"--{name}", type=kind, default=given.default)
     return top
@@ -53,10 +53,8 @@ def main(arguments: list[str] | None = None) -> None:
     options = vars(parser().parse_args(arguments))
     run, _ = options.pop("run"), options.pop("job")
     spark = session()
-    if options.get("suffixes"):
+    if "suffixes" in options:
         options["suffixes"] = load_suffixes(spark, options["suffixes"])
-    else:
-        options.pop("suffixes", None)
     result = run(spark, **options)
     if isinstance(result, DataFrame):
         result.show(truncate=False)

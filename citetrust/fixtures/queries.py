@@ -152,9 +152,9 @@ def pairs_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_block_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pairs by the plan that reads the texts of the pairs' ends separately."""
-    revs = revisions(spark, sf_dir)
-    return _flat_pairs(block_pairs(revs, BLOCK_TEMPLATE, SUFFIXES, rare=True))
+    """The same pairs from a history whose positions lie far apart, as time stamps do."""
+    sparse = revisions(spark, sf_dir).withColumn("pos", F.col("pos") * 2**20)
+    return _flat_pairs(block_pairs(sparse, BLOCK_TEMPLATE, SUFFIXES))
 
 
 def pairs_inline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citetrust.functions.domains import DEFAULT_SUFFIXES
+from citetrust.fixtures.suffixes import SHORT_SUFFIXES
 
 BLOCK_TEMPLATE = "Disputed"
 INLINE_TEMPLATE = "Disputed inline"
 # Hosts of ``pages`` end in these; as suffixes they leave one more label to tell sources apart.
-SUFFIXES = (*DEFAULT_SUFFIXES, "example.com", "example.net", "example.org")
+SUFFIXES = (*SHORT_SUFFIXES, "example.com", "example.net", "example.org")
 
 # The page of an event, and pages of at most 40 revisions for dumps, where a page is one stretch of text.
 PAGE_OF_USER = "user_id"
@@ -60,13 +60,9 @@ def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """The given tables as views; events in few files are first spread over all cores."""
-    events = given_table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores:
-        events = events.repartition(cores, "event_id")
-    events.createOrReplaceTempView("events")
-    given_table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    """The given tables as views."""
+    for name in SCHEMAS:
+        given_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def revisions(spark: SparkSession, sf_dir: str, page: str = PAGE_OF_USER) -> DataFrame:

@@ -1,7 +1,8 @@
 """URL -> registrable domain as one row-local Column expression.
 
-The suffix rules are a small configuration list, so they travel inside the plan as hashed IN sets: no
-explode, no join and no shuffle, and the caller's arrays stay whole.
+The suffix rules are a configuration list that the caller passes (domains are wrong under an incomplete one, so there
+is no default). They travel inside the plan as hashed IN sets: no explode, no join and no shuffle, and the caller's
+arrays stay whole.
 """
 
 from __future__ import annotations
@@ -13,49 +14,6 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Public suffixes of more than one label, in the published list's notation
-# ("*." any label, "!" exception). A last label that is not listed counts as a suffix by itself.
-DEFAULT_SUFFIXES = tuple(
-    """
-    ac.at co.at gv.at or.at
-    asn.au com.au edu.au gov.au id.au net.au org.au
-    ac.be
-    com.br edu.br gov.br net.br org.br
-    *.ck !www.ck
-    ac.cn com.cn edu.cn gov.cn net.cn org.cn
-    com.co edu.co gov.co
-    com.eg edu.eg
-    asso.fr gouv.fr
-    com.gr edu.gr gov.gr
-    com.hk edu.hk gov.hk org.hk
-    ac.id co.id go.id or.id
-    ac.il co.il gov.il org.il
-    ac.in co.in edu.in gov.in net.in nic.in org.in res.in
-    ac.ir
-    gov.it edu.it
-    ac.jp co.jp ed.jp go.jp gr.jp lg.jp ne.jp or.jp
-    ac.ke co.ke
-    ac.kr co.kr go.kr or.kr re.kr
-    com.mx edu.mx gob.mx org.mx
-    com.my edu.my gov.my
-    com.ng edu.ng gov.ng
-    ac.nz co.nz geek.nz govt.nz net.nz org.nz school.nz
-    com.ph edu.ph gov.ph
-    com.pk edu.pk gov.pk
-    com.pl edu.pl gov.pl net.pl org.pl
-    com.pt edu.pt gov.pt
-    com.ru edu.ru gov.ru
-    com.sa edu.sa gov.sa
-    com.sg edu.sg gov.sg
-    ac.th co.th go.th or.th
-    com.tr edu.tr gov.tr k12.tr org.tr
-    com.tw edu.tw gov.tw org.tw
-    com.ua edu.ua gov.ua
-    ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk police.uk *.sch.uk
-    ac.za co.za gov.za net.za org.za
-    """.split()
-)
-
 # The host is what stands between the scheme, optional user part and port, and the path;
 # whitespace around the URL and one closing wiki bracket pair at its end are not part of it. Possessive
 # repeats keep the match linear, and each URL is scanned once.
@@ -66,9 +24,6 @@ _HOST = (
     "(" + _HOST_CHARS + r")(?::[0-9]*)?(?:[/?#]|" + _END + ")"
 )
 
-# Rules are carried as literals in every plan that uses them, so their number is checked.
-MAX_SUFFIXES = 50_000
-
 
 def url_host(url: Column) -> Column:
     """Lower-cased host of ``url``; empty or null if it is not a URL or has an open template in it."""
@@ -83,8 +38,8 @@ def _domain_sql(suffixes: tuple[str, ...]) -> str:
     an empty label. Written as text because the rules are many literals and Spark parses those faster than
     it takes them one by one; the optimizer turns the IN lists into hash sets.
     """
-    if len(suffixes) > MAX_SUFFIXES:
-        raise ValueError(f"{len(suffixes)} suffix rules, at most {MAX_SUFFIXES} are supported")
+    if not suffixes:
+        raise ValueError("no suffix rules: pass those of the public suffix list, see load_suffixes")
     exact, wildcard, excepted = defaultdict(set), defaultdict(set), defaultdict(set)
     for rule in suffixes:
         n = rule.count(".") + 1
@@ -116,7 +71,7 @@ def _domain_sql(suffixes: tuple[str, ...]) -> str:
 
 
 def hosts_domains(
-    hosts: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES, other: str | None = None
+    hosts: Column, suffixes: Iterable[str], other: str | None = None
 ) -> Column:
     """Array of hosts -> array of their registrable domains, without those that have none.
 
@@ -128,7 +83,7 @@ def hosts_domains(
     return F.array_compact(F.call_function("transform", hosts, F.expr(f"h -> {domain}")))
 
 
-def url_domains(urls: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
+def url_domains(urls: Column, suffixes: Iterable[str]) -> Column:
     """Array of URLs -> array of their registrable domains, without those that have none."""
     return hosts_domains(F.transform(urls, url_host), suffixes)
 
@@ -137,7 +92,5 @@ def load_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Rules from a file in the public suffix list's own format (comments and blank lines skipped)."""
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s")[0].alias("rule"))
     rules = lines.where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
-    found = rules.limit(MAX_SUFFIXES + 1).collect()
-    if len(found) > MAX_SUFFIXES:
-        raise ValueError(f"more than {MAX_SUFFIXES} suffix rules in {path}")
-    return tuple(row.rule.lower() for row in found)
+    # A list of rules is configuration: its size doesn't depend on the data.
+    return tuple(row.rule.lower() for row in rules.toLocalIterator())

@@ -7,12 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citetrust.functions.domains import (
-    DEFAULT_SUFFIXES,
-    hosts_domains,
-    url_domains,
-    url_host,
-)
+from citetrust.functions.domains import hosts_domains, url_domains, url_host
 
 # The patterns that decide what counts as a citation.
 REF = r"(?i)(?:<ref[^>]*>(.*?)</ref>|&lt;ref[^&]*&gt;(.*?)&lt;/ref&gt;)"
@@ -56,7 +51,7 @@ def _ref_hosts(text: Column) -> Column:
     return F.transform(_find_all(refs, URL), url_host)
 
 
-def ref_urls(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
+def ref_urls(text: Column, suffixes: Iterable[str]) -> Column:
     """Domains of all URLs inside ``<ref>`` elements, in text order and with repeats."""
     return _or_none(hosts_domains(_ref_hosts(text), suffixes))
 
@@ -66,7 +61,7 @@ def _isbn(cite: Column) -> Column:
     return F.concat(F.lit(ISBN_PREFIX), digits)
 
 
-def cite_urls(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
+def cite_urls(text: Column, suffixes: Iterable[str]) -> Column:
     """Domain of the first ``url=`` value of every cite template."""
     urls = F.transform(_find_all(text, CITE), lambda c: _cite_field(c, URL_FIELD))
     return _or_none(url_domains(urls, suffixes))
@@ -78,7 +73,7 @@ def isbns(text: Column) -> Column:
     return _or_none(F.filter(found, lambda i: i != ISBN_PREFIX))
 
 
-def extract_sources(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) -> Column:
+def extract_sources(text: Column, suffixes: Iterable[str]) -> Column:
     """All cited sources: ref URLs, then URL and ISBN of each cite template; first mention kept."""
     cited = F.flatten(
         F.transform(
@@ -92,7 +87,7 @@ def extract_sources(text: Column, suffixes: Iterable[str] = DEFAULT_SUFFIXES) ->
 
 
 def inline_sources(
-    text: Column, template: str, suffixes: Iterable[str] = DEFAULT_SUFFIXES
+    text: Column, template: str, suffixes: Iterable[str]
 ) -> Column:
     """Domains of refs that are a bare URL and stand directly before ``{{template``."""
     flagged = REF + r"\s*?\{\{\Q" + template + r"\E"

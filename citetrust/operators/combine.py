@@ -1,7 +1,7 @@
 """Combine the vectors of a revision's sources into one, as aggregates over (revision, source) rows.
 
-A combiner maps ``copies`` (how often the very same revision row was present) to one aggregate Column,
-a struct (p_added, p_removed). Inputs are the columns ``p_added``, ``p_removed``, ``occurrences``.
+A combiner returns one aggregate Column, a struct (p_added, p_removed). Inputs are the columns ``p_added``,
+``p_removed``, ``occurrences`` of one revision's sources.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ MIN_WEIGHT = 1e-3
 MIN_VOTES = 3
 UNSURE = (-0.5, 1.5)
 
-Combiner = Callable[[Column], Column]
+Combiner = Callable[[], Column]
 
 P_ADDED, P_REMOVED = "p_added", "p_removed"
 
@@ -62,23 +62,21 @@ def _weighted_mean(p: str) -> Column:
     return F.try_divide(F.sum(F.col(p) * weight), F.sum(weight))
 
 
-def multiplicative(copies: Column) -> Column:
+def multiplicative() -> Column:
     """Normalised products. Certain sources that contradict each other give NaN.
 
     Products are kept in 32 bits, so NaN is also what very many sources give on both sides.
     """
 
     def product(p: str) -> Column:
-        whole = F.coalesce(F.product(p), F.lit(1.0))
-        once = F.when(copies > 1, F.pow(whole, 1 / copies)).otherwise(whole)
-        return once.cast("float").cast("double")
+        return F.coalesce(F.product(p), F.lit(1.0)).cast("float").cast("double")
 
     return _shares(product(P_ADDED), product(P_REMOVED))
 
 
-def logarithmic(copies: Column) -> Column:
+def logarithmic() -> Column:
     """Normalised sums, except where all sources are certain or one side has no mass at all."""
-    added, removed = F.sum(P_ADDED) / copies, F.sum(P_REMOVED) / copies
+    added, removed = F.sum(P_ADDED), F.sum(P_REMOVED)
     return (
         _not_empty()
         .when(_all_certain(P_ADDED), _vector(1.0, 0.0))
@@ -89,9 +87,9 @@ def logarithmic(copies: Column) -> Column:
     )
 
 
-def weighted(copies: Column) -> Column:
+def weighted() -> Column:
     """Mean weighted by how many votes each source has."""
-    total = F.sum(occurrence_weight(F.col("occurrences"))) / copies
+    total = F.sum(occurrence_weight(F.col("occurrences")))
     return (
         _checked(_not_empty())
         .when(_all_certain(P_ADDED), _vector(1.0, 0.0))
@@ -101,10 +99,10 @@ def weighted(copies: Column) -> Column:
     )
 
 
-def weighted_sure(copies: Column) -> Column:
+def weighted_sure() -> Column:
     """Weighted mean, or the unsure vector if a source has no votes or there are too few sources."""
-    votes = F.count("*") / copies
-    total = F.sum(occurrence_weight(F.col("occurrences"))) / copies
+    votes = F.count("*")
+    total = F.sum(occurrence_weight(F.col("occurrences")))
     unsure = (F.min("occurrences") < 1) | (votes < MIN_VOTES)
     mean = _weighted_mean(P_ADDED)
     return (

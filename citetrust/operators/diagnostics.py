@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetrust.operators.scoring import REVISION_KEY, copies_of, look_up_sources
+from citetrust.operators.scoring import VOTES_KEY, distinct_revisions, look_up_sources
 
 
 def count_source_changes(pairs: DataFrame) -> DataFrame:
@@ -20,14 +20,22 @@ def count_source_changes(pairs: DataFrame) -> DataFrame:
 
 def count_unknown_sources(revisions: DataFrame, estimates: DataFrame) -> DataFrame:
     """One row: revisions, those with an unknown source, their percentage, their mean unknown share."""
-    cited = look_up_sources(revisions, estimates)
-    unknown = F.count_if(F.col("src").isNotNull() & ~F.col("known"))
-    per_revision = cited.groupBy(*REVISION_KEY).agg(
-        unknown.alias("n_unknown"), F.count("src").alias("n_cited"), copies_of().alias("copies")
+    distinct = distinct_revisions(revisions)
+    cited = look_up_sources(distinct, estimates)
+    per_revision = (
+        cited.groupBy(*VOTES_KEY)
+        .agg(F.count_if(~F.col("known")).alias("n_unknown"), F.count("*").alias("n_cited"))
+        .select("n_unknown", "n_cited", F.lit(0).cast("bigint").alias("revisions"), "copies")
+    )
+    # All revisions are counted apart, so that those without sources don't go through the look-up.
+    counted = distinct.agg(F.sum("copies").alias("revisions"))
+    none = F.lit(0).cast("bigint")
+    per_revision = per_revision.unionByName(
+        counted.select(none.alias("n_unknown"), none.alias("n_cited"), "revisions", none.alias("copies"))
     )
     share = F.try_divide("n_unknown", "n_cited")
     hit = F.col("n_unknown") > 0
-    n, n_hit = F.sum("copies"), F.sum(F.when(hit, F.col("copies")))
+    n, n_hit = F.sum("revisions"), F.sum(F.when(hit, F.col("copies")))
     total = F.coalesce(n, F.lit(0))
     with_unknown = F.coalesce(n_hit, F.lit(0))
     mean = F.try_divide(F.sum(F.when(hit, share * F.col("copies"))), with_unknown)

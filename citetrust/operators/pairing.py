@@ -1,11 +1,10 @@
 """Episodes of a warning template: from the revision that adds it to the first one without it.
 
-Every revision is first reduced to (has template, sources), so what is shuffled are flags and names, not
-texts.
-The order inside a page can then be followed piece by piece: a long history is cut into chunks of bounded
-length, chunks are paired in parallel, and only what is left open at chunk edges (at most two rows per
-chunk) is followed across the whole page. A page with a third of all revisions is thereby spread over many
-tasks.
+Pairs are found from flags: of every revision only its place and whether it has the template are stored, and only
+these few bytes are shuffled. They are cut into ranges of places with about as many revisions each, whatever the
+places are, ranges are paired in parallel, and only what is left open at their ends (at most two rows per range and
+page) is followed across a page. A page with a third of all revisions is thereby spread over many tasks. Texts are
+then read a second time, and sources are worked out for the revisions at both ends of an episode alone.
 """
 
 from __future__ import annotations
@@ -16,47 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citetrust.functions.domains import DEFAULT_SUFFIXES
 from citetrust.functions.text import extract_sources, inline_sources, template_present
 from citetrust.session import scratch_folder
 
-# A chunk covers 2^18 positions, so a window group holds at most that many reduced revisions.
-CHUNK_BITS = 18
+# What a place in a revision table is made of.
+TABLE_PLACE = ["page_id", "pos"]
 
-# At most that many keys (two numbers each) are broadcast.
-MAX_BROADCAST_KEYS = 1_000_000
 
-REVISION_OF_PAGE = ["page_id", "revision_id"]
-
-
-def mark_block(
-    revisions: DataFrame, template: str, suffixes: Iterable[str] = DEFAULT_SUFFIXES
-) -> DataFrame:
-    """Replace ``text`` by ``has`` and ``src`` (all sources the text cites)."""
-    return _mark(revisions, template, extract_sources(F.col("text"), suffixes))
-
-
-def mark_inline(
-    revisions: DataFrame, template: str, suffixes: Iterable[str] = DEFAULT_SUFFIXES
-) -> DataFrame:
-    """Replace ``text`` by ``has`` and ``src`` (only refs directly before the template)."""
-    return _mark(revisions, template, inline_sources(F.col("text"), template, suffixes))
-
-
-def _mark(revisions: DataFrame, template: str, sources: Column) -> DataFrame:
+def flags(revisions: DataFrame, template: str) -> DataFrame:
+    """Replace ``text`` by ``has``: whether the revision has the template."""
     kept = [c for c in revisions.columns if c != "text"]
-    return revisions.select(
-        *kept, template_present(F.col("text"), template).alias("has"), sources.alias("src")
-    )
+    return revisions.select(*kept, template_present(F.col("text"), template).alias("has"))
 
 
-def _pair_in_chunks(
-    marked: DataFrame, scope: Sequence[str], chunk: str, order: Sequence[str]
-) -> DataFrame:
+def _pair_in_chunks(marked: DataFrame, scope: Sequence[str], chunk: str, order: Sequence[str]) -> DataFrame:
     """Openings and closings of each chunk, paired where both lie in it.
 
-    Returns rows (scope, chunk, order, opened, closed, edge). ``edge`` marks what earlier or later
-    chunks may still change: the first closing of a chunk and an opening that its chunk never closes.
+    Returns rows (scope, chunk, order, has, opened, closed, edge). ``edge`` marks what earlier or later chunks may
+    still change: the first closing of a chunk and an opening that its chunk never closes.
     """
     keys = [*scope, chunk] if chunk not in order else list(scope)
     in_chunk = Window.partitionBy(*scope, chunk).orderBy(*order)
@@ -64,7 +40,7 @@ def _pair_in_chunks(
     turns = marked.withColumn("_before", before).where(
         F.col("_before").isNull() | (F.col("_before") != F.col("has"))
     )
-    revision = F.struct(*order, "rev_id", "src")
+    revision = F.struct(*[c for c in marked.columns if c not in (*scope, chunk, "has") or c in order])
     turns = turns.select(*keys, *order, "has", revision.alias("revision"))
     # Turns alternate between with and without template, so a closing follows its opening.
     turns = turns.select(
@@ -79,188 +55,150 @@ def _pair_in_chunks(
     return turns.where(~F.col("has") | F.col("_last")).select(
         *keys,
         *order,
+        "has",
         F.when(F.col("has"), F.col("revision")).otherwise(F.col("_opened")).alias("opened"),
         F.when(~F.col("has"), F.col("revision")).alias("closed"),
         (F.col("has") | (F.col("_turn") <= 2)).alias("edge"),
     )
 
 
-def _join_edges(
-    found: DataFrame, scope: Sequence[str], within: Sequence[str], chunk: str, order: Sequence[str]
-) -> DataFrame:
-    """Follow the edges of ``chunk`` through the wider group (scope, within).
+def pair_marked(marked: DataFrame, scope: Sequence[str], chunk: str, order: Sequence[str]) -> DataFrame:
+    """Pair flagged revisions inside each ``scope`` along ``order``.
 
-    Finished pairs stay in a group of their own chunk, so only edges meet in one window.
+    ``chunk`` names a column that cuts a scope into consecutive pieces. Returns scope columns, ``opened`` and
+    ``closed``: structs of all columns of ``marked`` but scope, chunk and ``has``.
     """
-    keys = [*scope, *within]
-    group = F.when(~F.col("edge"), F.col(chunk))
-    in_group = Window.partitionBy(*keys, "_group").orderBy(*order)
-    closed_before = F.count("closed").over(in_group.rowsBetween(Window.unboundedPreceding, -1))
-    stretches = (
-        found.withColumn("_group", group)
-        .withColumn("_stretch", closed_before)
-        .groupBy(*keys, "_group", "_stretch")
-        .agg(
-            F.min("opened").alias("opened"),
-            F.max("closed").alias("closed"),
-        )
+    found = _pair_in_chunks(marked, scope, chunk, order)
+    # Edges of a scope meet in one group; finished pairs stay in a group of their own chunk.
+    found = found.withColumn("_group", F.when(~F.col("edge"), F.col(chunk)))
+    along = Window.partitionBy(*scope, "_group").orderBy(*order)
+    # Of openings that follow each other the first counts; a closing then follows its opening, if it has one.
+    first = found.withColumn("_before", F.lag("has").over(along)).where(
+        ~F.col("has") | F.col("_before").isNull() | ~F.col("_before")
     )
-    edge = F.col("_group").isNull() & (F.col("closed").isNull() | (F.col("_stretch") == 0))
-    last = F.coalesce("closed", "opened")
-    return stretches.select(
-        *keys,
-        *[last[c].alias(c) for c in order],
-        "opened",
-        "closed",
-        edge.alias("edge"),
+    open_before = F.lag(F.when(F.col("has"), F.col("opened"))).over(along)
+    return (
+        first.withColumn("opened", F.coalesce(open_before, "opened"))
+        .where(~F.col("has") & F.col("opened").isNotNull())
+        .select(*scope, "opened", "closed")
     )
 
 
-def pair_marked(
-    marked: DataFrame, scope: Sequence[str], chunks: Sequence[str], order: Sequence[str]
-) -> DataFrame:
-    """Pair marked revisions inside each ``scope`` along ``order``.
+def _table_pairs(revisions: DataFrame, template: str, scratch: str) -> DataFrame:
+    """Pair a revision table: flags are stored and dealt out in ranges of (page, position)."""
+    narrow = revisions.select("page_id", "rev_id", "pos", "text")
+    marked = _stored(flags(narrow, template), f"{scratch}/flags")
+    dealt = marked.repartitionByRange(*TABLE_PLACE).withColumn("_range", F.spark_partition_id())
+    return pair_marked(dealt, ["page_id"], "_range", ["pos"])
 
-    ``chunks`` names columns that cut a scope into consecutive pieces, coarse to fine; every finer piece
-    lies inside one coarser piece. Returns scope columns, ``opened`` and ``closed`` (revision structs).
-    """
-    *coarser, finest = chunks
-    found = _pair_in_chunks(marked, [*scope, *coarser], finest, order)
-    while True:
-        found = _join_edges(found, scope, coarser, finest, order)
-        if not coarser:
-            break
-        *coarser, finest = coarser
-    return found.where(F.col("opened").isNotNull() & F.col("closed").isNotNull()).select(
-        *scope, "opened", "closed"
-    )
 
+def with_closing_sources(pairs: DataFrame) -> DataFrame:
+    """Drop pairs whose closing revision cites nothing: such a removal counts as vandalism."""
+    return pairs.where(F.size("src_tr") > 0)
 
-def _table_pairs(marked: DataFrame, position_bits: int) -> DataFrame:
-    """Pair a revision table. Only pages longer than a chunk are cut up.
 
-    Finding those pages reads the page ids alone. At most one page per 2^18 revisions can be that long, so
-    their list stays small enough to broadcast.
-    """
-    n_revisions = marked.groupBy("page_id").agg(F.count("*").alias("n"))
-    long_pages = n_revisions.where(F.col("n") > 2**CHUNK_BITS).select(
-        "page_id", F.lit(True).alias("_long")
-    )
-    pieces = {"_piece": CHUNK_BITS}
-    if position_bits > 2 * CHUNK_BITS + 4:
-        pieces = {"_part": 2 * CHUNK_BITS, **pieces}
-    cut = marked.join(F.broadcast(long_pages), "page_id", "left").withColumns(
-        {
-            name: F.when(F.col("_long"), F.shiftright("pos", bits)).otherwise(F.lit(0))
-            for name, bits in pieces.items()
-        }
-    )
-    return pair_marked(cut.drop("_long"), ["page_id"], list(pieces), ["pos"])
+def pair_ends(found: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Both ends of each pair: (pair: place of its opening, ta, place..., rev_id)."""
+    # A place lies in the scope (columns of ``found``) or in the revision structs.
+    def at(side: str) -> list[Column]:
+        return [(F.col(c) if c in found.columns else F.col(f"{side}.{c}")).alias(c) for c in place]
 
+    def end(side: str, added: bool) -> Column:
+        return F.struct(
+            F.struct(*at("opened")).alias("pair"),
+            F.lit(added).alias("ta"),
+            *at(side),
+            "page_id" if "page_id" not in place else F.lit(None).cast("bigint").alias("_none"),
+            F.col(f"{side}.rev_id").alias("rev_id"),
+        )
 
-def as_pairs(found: DataFrame) -> DataFrame:
-    return found.select(
-        "page_id",
-        F.col("opened.rev_id").alias("rev_id_ta"),
-        F.col("closed.rev_id").alias("rev_id_tr"),
-        F.col("opened.src").alias("src_ta"),
-        F.col("closed.src").alias("src_tr"),
-    )
+    both = F.array(end("opened", True), end("closed", False))
+    return found.select(F.inline(both)).drop("_none")
 
 
-def with_closing_sources(pairs: DataFrame) -> DataFrame:
-    """Drop pairs whose closing revision cites nothing: such a removal counts as vandalism."""
-    return pairs.where(F.size("src_tr") > 0)
+def at_ends(ends: DataFrame, texts: DataFrame, place: Sequence[str]) -> DataFrame:
+    """``ends`` with their ``text``, found by place.
 
+    Spark chooses the join by the size of the stored ends. If that is no broadcast, a runtime filter on the places
+    drops most texts where they are read; Spark makes one only from a scan with a condition, hence the one on ``ta``.
+    """
+    wanted = ends.where(F.col("ta").isin(True, False))
+    return wanted.join(texts.select(*place, "text"), list(place))
 
-def block_pairs(
-    revisions: DataFrame,
-    template: str,
-    suffixes: Iterable[str] = DEFAULT_SUFFIXES,
-    position_bits: int = 40,
-    rare: bool = False,
-    scratch: str | None = None,
-) -> DataFrame:
-    """Pairs of a block template from ``revisions(page_id, rev_id, pos, text)``.
 
-    ``pos`` is the revision's place in its page's document order and unique there. ``position_bits``
-    is the size of the largest position; from 41 bits on one more level of pieces is used.
+def paired(ends: DataFrame) -> DataFrame:
+    """The two ends of each pair in one row again: (page_id, rev_id_ta, rev_id_tr, src_ta, src_tr)."""
 
-    Texts are read once, and the sources of all revisions are worked out. With ``rare``, for a template
-    that few revisions have, the pairs are found from flags alone and stored in ``scratch``; the texts
-    are then read a second time and only those of the pairs are looked into.
-    """
-    if not rare:
-        marked = mark_block(revisions, template, suffixes)
-        return with_closing_sources(as_pairs(_table_pairs(marked, position_bits)))
-    no_sources = F.array().cast("array<string>")
-    flagged = as_pairs(_table_pairs(_mark(revisions, template, no_sources), position_bits))
-    ends = pairs_to_revisions(_stored(flagged, scratch)).select("page_id", "revision_id", "pair_id", "ta")
-    texts = texts_of(revisions.withColumnRenamed("rev_id", "revision_id"), ends, REVISION_OF_PAGE)
-    sourced = ends.join(texts, REVISION_OF_PAGE).withColumn(
-        "src", extract_sources(F.col("text"), suffixes)
-    )
-    pair = F.when(F.col("ta"), F.col("revision_id")).otherwise(F.col("pair_id"))
-    # The two rows of a pair meet again; no group is larger than that.
-    paired = sourced.groupBy("page_id", pair.alias("rev_id_ta")).agg(
-        F.max(F.when(~F.col("ta"), F.col("revision_id"))).alias("rev_id_tr"),
-        F.max(F.when(F.col("ta"), F.col("src"))).alias("src_ta"),
-        F.max(F.when(~F.col("ta"), F.col("src"))).alias("src_tr"),
+    def one(added: bool, column: str) -> Column:
+        return F.any_value(F.when(F.col("ta") == added, F.col(column)), True)
+
+    return (
+        ends.groupBy("pair")
+        .agg(
+            F.any_value("page_id").alias("page_id"),
+            one(True, "rev_id").alias("rev_id_ta"),
+            one(False, "rev_id").alias("rev_id_tr"),
+            one(True, "src").alias("src_ta"),
+            one(False, "src").alias("src_tr"),
+        )
+        .drop("pair")
     )
-    return with_closing_sources(paired)
 
 
-def inline_pairs(
-    revisions: DataFrame,
-    template: str,
-    suffixes: Iterable[str] = DEFAULT_SUFFIXES,
-    position_bits: int = 40,
-    scratch: str | None = None,
+def block_sources(
+    found: DataFrame, texts: DataFrame, place: Sequence[str], suffixes: Iterable[str], scratch: str
 ) -> DataFrame:
-    """Pairs of an inline template. Sources of the opening revision are the refs the template marks."""
-    marked = mark_inline(revisions, template, suffixes)
-    opened = as_pairs(_table_pairs(marked, position_bits))
-    closing = revisions.withColumnRenamed("rev_id", "rev_id_tr")
-    return keep_still_cited(opened, closing, ["page_id", "rev_id_tr"], scratch)
+    """Pairs of a block template with all sources that their two revisions cite; the ends are stored in ``scratch``."""
+    ends = at_ends(_stored(pair_ends(found, place), f"{scratch}/ends"), texts, place)
+    sourced = ends.withColumn("src", extract_sources(F.col("text"), suffixes)).drop("text")
+    return with_closing_sources(paired(sourced))
 
 
-def keep_still_cited(
-    opened: DataFrame, closing: DataFrame, keys: Sequence[str], scratch: str | None = None
+def inline_sources_of(
+    found: DataFrame, texts: DataFrame, place: Sequence[str], template: str, suffixes: Iterable[str], scratch: str
 ) -> DataFrame:
-    """Closing sources of inline pairs: the opening sources whose name still occurs in the text.
+    """Pairs of an inline template: sources that it marks when it opens, and those of them still named at the end.
 
-    Only pairs with an opening source look for their closing text; without one they would be dropped
-    afterwards anyway.
+    The two texts of a pair meet once; no group is larger than that.
     """
-    candidates = _stored(opened.where(F.size("src_ta") > 0).drop("src_tr"), scratch)
-    text = F.coalesce("text", F.lit(""))
-    found = candidates.join(texts_of(closing, candidates, keys), list(keys)).select(
-        "page_id",
-        "rev_id_ta",
-        "rev_id_tr",
-        "src_ta",
-        F.filter("src_ta", lambda s: F.contains(text, s)).alias("src_tr"),
+    ends = at_ends(_stored(pair_ends(found, place), f"{scratch}/ends"), texts, place)
+    marked = F.when(F.col("ta"), inline_sources(F.col("text"), template, suffixes))
+    pairs = paired(ends.withColumn("src", F.struct(marked.alias("src"), F.when(~F.col("ta"), F.col("text")).alias("text"))))
+    text = F.coalesce("src_tr.text", F.lit(""))
+    still = F.filter("src_ta.src", lambda s: F.contains(text, s))
+    kept = pairs.where(F.size("src_ta.src") > 0).select(
+        "page_id", "rev_id_ta", "rev_id_tr", F.col("src_ta.src").alias("src_ta"), still.alias("src_tr")
     )
-    return with_closing_sources(found)
+    return with_closing_sources(kept)
 
 
-def _stored(df: DataFrame, scratch: str | None) -> DataFrame:
-    """``df`` written and read back: what follows knows its size and does not compute it again."""
-    folder = scratch or scratch_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def block_pairs(
+    revisions: DataFrame, template: str, suffixes: Iterable[str], scratch: str | None = None
+) -> DataFrame:
+    """Pairs of a block template from ``revisions(page_id, rev_id, pos, text)``.
 
+    ``pos`` is the revision's place in its page's document order and unique there. ``revisions`` is read twice: for
+    flags, which are stored below ``scratch`` (a new folder below ``spark.checkpoint.dir`` by default), and for the
+    texts at the ends of episodes.
+    """
+    scratch = scratch or scratch_folder(revisions.sparkSession)
+    found = _table_pairs(revisions, template, scratch)
+    return block_sources(found, revisions, TABLE_PLACE, suffixes, scratch)
 
-def texts_of(texts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys`` and ``text`` of at least the wanted revisions.
 
-    A bounded number of keys is sent to the texts, so that only the wanted texts are moved by a join that
-    follows. With more keys all texts are returned, and that join decides.
-    """
-    narrow = texts.select(*keys, "text")
-    if wanted.count() > MAX_BROADCAST_KEYS:
-        return narrow
-    return narrow.join(F.broadcast(wanted.select(*keys)), list(keys), "left_semi")
+def inline_pairs(
+    revisions: DataFrame, template: str, suffixes: Iterable[str], scratch: str | None = None
+) -> DataFrame:
+    """Pairs of an inline template. Sources of the opening revision are the refs the template marks."""
+    scratch = scratch or scratch_folder(revisions.sparkSession)
+    found = _table_pairs(revisions, template, scratch)
+    return inline_sources_of(found, revisions, TABLE_PLACE, template, suffixes, scratch)
+
+
+def _stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written and read back: what follows does not compute it again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def pairs_to_revisions(pairs: DataFrame) -> DataFrame:

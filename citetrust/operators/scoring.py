@@ -2,37 +2,39 @@
 
 Sources are looked up by a left join. No broadcast is forced: Spark broadcasts the estimates when their
 measured size allows it, and otherwise sorts and merges, splitting the partitions of sources that very
-many revisions cite (adaptive skew join).
+many revisions cite (adaptive skew join). Equal revision rows are counted first and scored once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citetrust.functions.text import cleanup_source
 from citetrust.functions.vectors import round_vector
 from citetrust.operators.combine import COMBINERS, Combiner
 
-# A revision row is known by its ids and its source list; the same revision may be in several pairs.
-REVISION_KEY = ["revision_id", "pair_id", "n_sources", "src_hash"]
+# A revision row is known by its ids and its sources; ``copies`` counts equal rows.
+REVISION = ["revision_id", "pair_id", "src"]
+VOTES_KEY = ["revision_id", "pair_id", "list", "copies"]
 
 
-def look_up_sources(
-    revisions: DataFrame, estimates: DataFrame, clean: bool = False
-) -> DataFrame:
-    """One row per revision and source with that source's estimate, ``known`` or the neutral default.
+def distinct_revisions(revisions: DataFrame) -> DataFrame:
+    """Each revision row once, with the number of its ``copies``; the same revision may be in several pairs."""
+    src = F.coalesce("src", F.array().cast("array<string>")).alias("src")
+    return revisions.select("revision_id", "pair_id", src).groupBy(*REVISION).agg(F.count("*").alias("copies"))
+
+
+def look_up_sources(distinct: DataFrame, estimates: DataFrame, clean: bool = False) -> DataFrame:
+    """One row per distinct revision and source with that source's estimate, ``known`` or the neutral default.
 
-    Names are looked up as cited. Estimates learned from changes carry cleaned names; ``clean`` cleans
-    the cited ones as well. A revision without sources keeps one row with ``src`` null.
+    Names are looked up as cited. Estimates learned from changes carry cleaned names; ``clean`` cleans the cited ones
+    as well. Revisions without sources have no rows here, so they don't meet in one task of the join.
     """
-    src = F.transform("src", cleanup_source) if clean else F.col("src")
-    cited = revisions.select(
-        "revision_id",
-        "pair_id",
-        F.coalesce(F.size("src"), F.lit(0)).alias("n_sources"),
-        F.xxhash64("src").alias("src_hash"),
-        F.explode_outer(src).alias("src"),
+    names = F.transform("src", cleanup_source) if clean else F.col("src")
+    # ``list`` tells lists of the same revision and pair apart.
+    cited = distinct.select(
+        "revision_id", "pair_id", F.xxhash64("src").alias("list"), "copies", F.explode(names).alias("src")
     )
     # Four decimals as doubles: means that fall on a rounding tie then do so in any order of summing.
     p_added = F.col("p_added").cast("double")
@@ -44,7 +46,7 @@ def look_up_sources(
         F.lit(True).alias("known"),
     )
     return cited.join(known, "src", "left").select(
-        *REVISION_KEY,
+        *VOTES_KEY,
         "src",
         F.coalesce("p_added", F.lit(0.5)).alias("p_added"),
         F.coalesce("p_removed", F.lit(0.5)).alias("p_removed"),
@@ -53,15 +55,8 @@ def look_up_sources(
     )
 
 
-def copies_of() -> Column:
-    """How many identical revision rows a group holds."""
-    return (F.count("*") / F.greatest("n_sources", F.lit(1))).cast("bigint")
-
-
-def _repeat(df: DataFrame, *columns: str) -> DataFrame:
-    """As many output rows as there were revision rows."""
-    once = df.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return once.drop("_copy")
+def without_sources(distinct: DataFrame) -> DataFrame:
+    return distinct.where(F.size("src") == 0)
 
 
 def score(
@@ -76,14 +71,18 @@ def score(
     Revisions without sources get (0.5, 0.5); the others what the combiner makes of their sources.
     """
     combine = COMBINERS[combiner] if isinstance(combiner, str) else combiner
-    votes = look_up_sources(revisions, estimates, clean)
+    distinct = distinct_revisions(revisions)
+    votes = look_up_sources(distinct, estimates, clean)
+    combined = votes.groupBy(*VOTES_KEY).agg(combine().alias("vector"))
     neutral = F.struct(F.lit(0.5).alias("p_added"), F.lit(0.5).alias("p_removed"))
-    combined = votes.groupBy(*REVISION_KEY).agg(
-        F.when(F.col("n_sources") < 1, neutral).otherwise(combine(copies_of())).alias("vector"),
-        copies_of().alias("copies"),
+    columns = ["revision_id", "pair_id", "vector", "copies"]
+    both = combined.select(*columns).unionByName(
+        without_sources(distinct).withColumn("vector", neutral).select(*columns)
     )
-    flat = combined.select("revision_id", "pair_id", "vector.*", "copies")
-    return _repeat(flat, "revision_id", "pair_id", "p_added", "p_removed")
+    # As many output rows as there were revision rows.
+    return both.select(
+        "revision_id", "pair_id", "vector.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    ).drop("_copy")
 
 
 def rounded_scores(scores: DataFrame) -> DataFrame:

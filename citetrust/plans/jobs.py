@@ -11,7 +11,6 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citetrust.functions.domains import DEFAULT_SUFFIXES
 from citetrust.functions.text import template_slug
 from citetrust.operators import diagnostics, source_stats
 from citetrust.operators.labels import before_split, from_split, labels, mask_labels
@@ -39,7 +38,8 @@ def parse_pairs(
     dump_folder: str,
     template: str,
     inline: bool = False,
-    suffixes: Iterable[str] = DEFAULT_SUFFIXES,
+    *,
+    suffixes: Iterable[str],
 ) -> str:
     """Dump -> revision pairs."""
     out = artifact(data_folder, "revision-pairs", template_slug(template))
@@ -53,7 +53,8 @@ def parse_revisions(
     dump_folder: str,
     template: str,
     inline: bool = False,
-    suffixes: Iterable[str] = DEFAULT_SUFFIXES,
+    *,
+    suffixes: Iterable[str],
 ) -> str:
     """Dump -> the two labelled revisions of every pair."""
     out = artifact(data_folder, "revisions", template_slug(template))

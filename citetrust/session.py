@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,13 +24,8 @@ def session(app_name: str = "citetrust") -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of ``spark.checkpoint.dir``.
-
-    Without that setting only a local session gets one (in the temporary folder of this machine).
-    """
+    """A new folder name below the shared folder of ``spark.checkpoint.dir``, which has to be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.gettempdir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/citetrust-{uuid.uuid4().hex}"

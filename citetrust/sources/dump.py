@@ -14,19 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citetrust.functions.domains import DEFAULT_SUFFIXES
-from citetrust.operators.pairing import (
-    as_pairs,
-    keep_still_cited,
-    mark_block,
-    mark_inline,
-    pair_marked,
-    with_closing_sources,
-)
+from citetrust.operators.pairing import block_sources, flags, inline_sources_of, pair_marked
 from citetrust.session import scratch_folder
 
 REVISION_SCHEMA = "id bigint, text struct<_VALUE:string>"
 
+# What tells a revision of a dump apart: its file, the split it is read in, and its number there.
+DUMP_PLACE = ["file", "block", "seq"]
+
 
 def _header_value(header: Column, tag: str) -> Column:
     return F.regexp_extract(header, rf"<{tag}>\s*([^<]*?)\s*</{tag}>", 1)
@@ -108,43 +103,43 @@ def with_pages(rows: DataFrame) -> DataFrame:
     )
 
 
-def _dump_pairs(marked: DataFrame, scratch: str) -> DataFrame:
-    """Pair reduced dump rows, which are stored first: the dump itself is decompressed only once."""
-    marked.write.parquet(scratch)
-    rows = marked.sparkSession.read.schema(marked.schema).parquet(scratch)
-    scope = ["file", "start", "page_id"]
-    return as_pairs(pair_marked(with_pages(rows), scope, ["block"], ["block", "seq"]))
+def _dump_pairs(dump: DataFrame, template: str, scratch: str) -> DataFrame:
+    """Pair flagged dump rows, which are stored first."""
+    marked = flags(dump, template)
+    marked.write.parquet(f"{scratch}/flags")
+    rows = dump.sparkSession.read.schema(marked.schema).parquet(f"{scratch}/flags")
+    return pair_marked(with_pages(rows), ["file", "start", "page_id"], "block", ["block", "seq"])
 
 
 def dump_block_pairs(
     spark: SparkSession,
     folder: str,
     template: str,
-    suffixes: Iterable[str] = DEFAULT_SUFFIXES,
+    suffixes: Iterable[str],
     pattern: str = "*.bz2",
     scratch: str | None = None,
 ) -> DataFrame:
     """Pairs of a block template from a dump folder.
 
-    ``scratch`` is the folder for the reduced revisions (flags and source names, no texts); by default
-    a new one below ``spark.checkpoint.dir``. The returned DataFrame reads it.
+    ``scratch`` is the folder for the flags of all revisions (no texts); by default a new one below
+    ``spark.checkpoint.dir``. The returned DataFrame reads it, and the texts at the ends of episodes from the dump.
     """
-    marked = mark_block(read_dump(spark, folder, pattern), template, suffixes)
-    return with_closing_sources(_dump_pairs(marked, scratch or scratch_folder(spark)))
+    dump = read_dump(spark, folder, pattern)
+    scratch = scratch or scratch_folder(spark)
+    found = _dump_pairs(dump, template, scratch)
+    return block_sources(found, dump, DUMP_PLACE, suffixes, scratch)
 
 
 def dump_inline_pairs(
     spark: SparkSession,
     folder: str,
     template: str,
-    suffixes: Iterable[str] = DEFAULT_SUFFIXES,
+    suffixes: Iterable[str],
     pattern: str = "*.bz2",
     scratch: str | None = None,
 ) -> DataFrame:
-    """Pairs of an inline template from a dump folder; closing texts are read from the dump again."""
+    """Pairs of an inline template from a dump folder."""
     dump = read_dump(spark, folder, pattern)
-    marked = mark_inline(dump, template, suffixes)
     scratch = scratch or scratch_folder(spark)
-    opened = _dump_pairs(marked, f"{scratch}/marked")
-    closing = dump.withColumnRenamed("rev_id", "rev_id_tr")
-    return keep_still_cited(opened, closing, ["rev_id_tr"], f"{scratch}/opened")
+    found = _dump_pairs(dump, template, scratch)
+    return inline_sources_of(found, dump, DUMP_PLACE, template, suffixes, scratch)

@@ -82,7 +82,10 @@ def write_labels(labels: DataFrame, folder: str, single_file: bool = False) -> N
 
 
 def write_source_probs(estimates: DataFrame, folder: str, single_file: bool = False) -> None:
-    """Rounded estimates, two-way or three-way; fails if the folder exists."""
+    """Rounded estimates, two-way or three-way; fails if the folder exists.
+
+    Line breaks in names are escaped, so that the files can be split when they are read.
+    """
     names = {
         "src": "src",
         "p_added": CSV_ADDED,
@@ -90,31 +93,53 @@ def write_source_probs(estimates: DataFrame, folder: str, single_file: bool = Fa
         "p_unchanged": CSV_UNCHANGED,
         "occurrences": CSV_VOTES,
     }
-    stored = estimates.select(
+    stored = estimates.withColumn("src", _escaped(F.col("src"))).select(
         *[F.col(c).alias(name) for c, name in names.items() if c in estimates.columns]
     )
     _write_csv(stored, folder, "errorifexists", single_file)
 
 
-def read_source_probs(spark: SparkSession, folder: str) -> DataFrame:
+def read_source_probs(spark: SparkSession, folder: str, line_breaks: bool = False) -> DataFrame:
     """Stored estimates; the removed side is what the added side leaves of 1, as in two-way files.
 
-    Columns are found by their header, so three-way files can be read as well. Should a source occur
-    twice, the line with more votes is kept.
+    Columns are found by their header, so three-way files can be read as well. Should a source occur twice, the line
+    with more votes is kept, and of those the one with the larger share added. ``line_breaks`` is for files whose
+    names are written as they are, over several lines if need be; each is then read by one task.
     """
-    # Source names may hold any character of a URL field, line breaks included, and may be empty.
-    reader = spark.read.option("header", True).option("multiLine", True)
-    lines = reader.option("nullValue", "\0").csv(folder)
+    # Written names hold no line breaks (see write_source_probs), so files are split. Names may be empty.
+    reader = spark.read.option("header", True).option("nullValue", "\0").option("multiLine", line_breaks)
+    header = reader.csv(folder).columns  # the first line of one file
+    lines = reader.option("enforceSchema", False).schema(", ".join(f"`{c}` string" for c in header)).csv(folder)
     p_added = F.col(CSV_ADDED).cast("double")
     votes = F.col(CSV_VOTES).cast("bigint")
     return (
-        lines.select("src", p_added.alias("p"), votes.alias("votes"))
+        lines.select((F.col("src") if line_breaks else _unescaped(F.col("src"))).alias("src"), p_added.alias("p"), votes.alias("votes"))
         .groupBy("src")
-        .agg(F.max_by("p", "votes").alias("p_added"), F.max("votes").alias("occurrences"))
-        .select("src", "p_added", (1 - F.col("p_added")).alias("p_removed"), "occurrences")
+        .agg(F.max(F.struct("votes", "p")).alias("best"))
+        .select(
+            "src",
+            F.col("best.p").alias("p_added"),
+            (1 - F.col("best.p")).alias("p_removed"),
+            F.col("best.votes").alias("occurrences"),
+        )
     )
 
 
+def _escaped(name: Column) -> Column:
+    """A source name in one line: a line break becomes a backslash and a letter, a backslash two."""
+    for plain, escape in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        name = F.replace(name, F.lit(plain), F.lit(escape))
+    return name
+
+
+def _unescaped(name: Column) -> Column:
+    # Doubled backslashes wait under a character that no name holds.
+    hidden = F.replace(name, F.lit("\\\\"), F.lit("\0"))
+    for escape, plain in (("\\n", "\n"), ("\\r", "\r"), ("\0", "\\")):
+        hidden = F.replace(hidden, F.lit(escape), F.lit(plain))
+    return hidden
+
+
 def write_revision_probs(scores: DataFrame, folder: str) -> None:
     """Rounded scores, overwriting; a vector that is not a number is stored as NaN."""
 

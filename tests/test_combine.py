@@ -13,7 +13,7 @@ VOTES = "p_added double, p_removed double, occurrences bigint"
 
 def combine(spark, combiner, votes):
     rows = [(v[0], 1 - v[0], v[1]) if len(v) == 2 else v for v in votes]
-    vector = COMBINERS[combiner](F.lit(1)).alias("v")
+    vector = COMBINERS[combiner]().alias("v")
     row = spark.createDataFrame(rows, VOTES).agg(vector).select("v.*").first()
     return row.p_added, row.p_removed
 

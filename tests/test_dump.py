@@ -8,9 +8,10 @@ from xml.sax.saxutils import escape
 import pytest
 from brute import episodes
 
+from citetrust.fixtures.suffixes import SHORT_SUFFIXES
 from citetrust.sources.dump import dump_block_pairs, dump_inline_pairs, read_dump
 
-T = "{{Circular}} "
+T = "{{Doubtful}} "
 
 
 def revision(rev_id, text, note=""):
@@ -37,47 +38,51 @@ def write(folder, name, pages):
 
 
 def scenario():
-    bad = "<ref>http://www.badsite.com</ref>"
+    """Page 40: two finished episodes, an opening that cites nothing, and one that never ends; then pages to skip."""
+    bad = "<ref>http://news.shaky.net</ref>"
     return [
         page(
-            1,
+            40,
             [
-                revision(1, None),
-                revision(2, "a template! " + T + bad),
-                revision(3, "none & \"no\" 'template' " + bad),
-                revision(4, T + bad),
-                revision(5, "still " + T),
-                revision(6, "gone " + bad),
-                revision(7, T + bad),
+                revision(401, "intro " + T),
+                revision(402, "first sources & \"quotes\" " + bad),
+                revision(405, None),
+                revision(409, T + bad),
+                revision(410, "still there " + T + "x"),
+                revision(417, bad + " cleaned up"),
+                revision(420, "again " + T + bad),
             ],
         ),
-        page(3, [revision(998, T + bad), revision(999, bad)], ns="1"),
-        page(8, []),
-        page(11, [revision(11, T + bad), revision(12, bad)], redirect=True),
-        page(12, [revision(13, bad)]),
+        page(55, []),
+        page(56, [revision(561, T + bad), revision(562, bad)], ns="4"),
+        page(57, [revision(571, bad)]),
+        page(60, [revision(601, T + bad), revision(602, bad)], redirect=True),
     ]
 
 
 def test_scenario(spark, tmp_path):
     write(tmp_path, "a.xml.bz2", scenario())
     (tmp_path / "other.txt").write_text("<page><id>5</id><revision><id>1</id></revision></page>")
-    found = dump_block_pairs(spark, str(tmp_path), "circular").collect()
-    assert sorted((r.page_id, r.rev_id_ta, r.rev_id_tr) for r in found) == [(1, 2, 3), (1, 4, 6)]
-    assert all(r.src_ta == r.src_tr == ["badsite.com"] for r in found)
+    found = dump_block_pairs(spark, str(tmp_path), "doubtful", SHORT_SUFFIXES).collect()
+    assert sorted((r.page_id, r.rev_id_ta, r.rev_id_tr) for r in found) == [
+        (40, 401, 402),
+        (40, 409, 417),
+    ]
+    assert sorted((r.src_ta, r.src_tr) for r in found) == [([], ["shaky.net"]), (["shaky.net"], ["shaky.net"])]
 
 
 def test_rows_of_a_dump(spark, tmp_path):
     write(tmp_path, "a.xml.bz2", scenario())
     rows = sorted(read_dump(spark, str(tmp_path)).collect(), key=lambda r: r.seq)
-    assert [r.rev_id for r in rows] == [1, 2, 3, 4, 5, 6, 7, 998, 999, 11, 12, 13]
+    assert [r.rev_id for r in rows] == [401, 402, 405, 409, 410, 417, 420, 561, 562, 571, 601, 602]
     assert [(r.page.page_id, r.page.main) for r in rows if r.page] == [
-        (1, True),
-        (3, False),
-        (11, False),
-        (12, True),
+        (40, True),
+        (56, False),
+        (57, True),
+        (60, False),
     ]
-    assert rows[0].text == ""
-    assert rows[2].text == "none & \"no\" 'template' <ref>http://www.badsite.com</ref>"
+    assert rows[2].text == ""
+    assert rows[1].text == 'first sources & "quotes" <ref>http://news.shaky.net</ref>'
 
 
 def test_broken_revision_is_an_error(spark, tmp_path):
@@ -144,7 +149,7 @@ def test_long_pages_over_file_splits(spark, tmp_path, split_files):
         for key, texts in expected_pairs(dump, lambda text: T in text).items()
         if "<ref>" in texts[1]
     }
-    found = dump_block_pairs(spark, str(dump), "Circular").collect()
+    found = dump_block_pairs(spark, str(dump), "Doubtful", SHORT_SUFFIXES).collect()
     got = [(r.page_id, r.rev_id_ta, r.rev_id_tr) for r in found]
     assert sorted(got) == sorted(expected) and len(got) > 500
     for r in found:
@@ -167,7 +172,7 @@ def test_inline(spark, tmp_path):
             page(2, [revision(3, f"<ref>http://a.org</ref>{flag}"), revision(4, "gone")]),
         ],
     )
-    found = dump_inline_pairs(spark, str(tmp_path), "Bad source").collect()
+    found = dump_inline_pairs(spark, str(tmp_path), "Bad source", SHORT_SUFFIXES).collect()
     assert [(r.page_id, r.rev_id_ta, r.rev_id_tr, r.src_ta, r.src_tr) for r in found] == [
         (1, 1, 2, ["a.org", "b.org"], ["b.org"])
     ]
@@ -198,6 +203,18 @@ def test_text_elements(spark, tmp_path, element, expected):
 
 def test_page_that_occurs_twice(spark, tmp_path):
     """An episode ends with its page element, even if the same page comes again."""
-    bad = "<ref>http://www.badsite.com</ref>"
+    bad = "<ref>http://news.shaky.net</ref>"
     write(tmp_path, "a.bz2", [page(1, [revision(1, T + bad)]), page(1, [revision(2, bad)])])
-    assert dump_block_pairs(spark, str(tmp_path), "circular").count() == 0
+    assert dump_block_pairs(spark, str(tmp_path), "doubtful", SHORT_SUFFIXES).count() == 0
+
+
+def test_same_page_in_two_files_and_revisions_without_id(spark, tmp_path):
+    """Closing texts are found by their place, not by a revision id."""
+    flag = "{{Bad source|x}}"
+    twice = page(1, [revision(1, f"<ref>http://a.org</ref>{flag}"), revision(2, "naming a.org")])
+    no_id = [revision("", f"<ref>http://b.org</ref>{flag}"), revision("", "gone")]
+    other = [revision("", f"<ref>http://c.org</ref>{flag}"), revision("", "b.org and c.org")]
+    write(tmp_path, "a.bz2", [twice, page(2, no_id)])
+    write(tmp_path, "b.bz2", [twice, page(3, other)])
+    found = dump_inline_pairs(spark, str(tmp_path), "Bad source", SHORT_SUFFIXES).collect()
+    assert sorted((r.page_id, r.rev_id_ta, r.src_tr) for r in found) == [(1, 1, ["a.org"]), (1, 1, ["a.org"]), (3, -1, ["c.org"])]

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from test_dump import page, revision, write
 
 from citetrust.__main__ import main
+from citetrust.fixtures.suffixes import SHORT_SUFFIXES
 from citetrust.plans import jobs
 from citetrust.sources import tables
 
@@ -33,10 +35,10 @@ def test_from_dump_to_scores(spark, tmp_path):
             history(7, ["bad", "x", "good"], ["good", "new"]),
         ],
     )
-    pairs = jobs.parse_pairs(spark, data, str(dump), "Circular")
+    pairs = jobs.parse_pairs(spark, data, str(dump), "Circular", suffixes=SHORT_SUFFIXES)
     assert re.fullmatch(r".*/revision-pairs-circular-\d{4}-\d\d-\d\dT\d\d-\d\d-\d\dZ", pairs)
     assert tables.read_pairs(spark, pairs).count() == 4
-    revisions = jobs.parse_revisions(spark, data, str(dump), "Circular")
+    revisions = jobs.parse_revisions(spark, data, str(dump), "Circular", suffixes=SHORT_SUFFIXES)
     assert tables.read_revisions(spark, revisions).count() == 8
 
     assert tuple(jobs.count_source_changes(spark, pairs).first()) == (4, 0)
@@ -69,6 +71,14 @@ def test_from_dump_to_scores(spark, tmp_path):
     )
 
 
+def test_rules_are_required(spark, tmp_path, capsys):
+    with pytest.raises(TypeError, match="suffixes"):
+        jobs.parse_pairs(spark, str(tmp_path), str(tmp_path), "Circular")
+    with pytest.raises(SystemExit):
+        main(["parse_pairs", str(tmp_path), str(tmp_path), "Circular"])
+    assert "--suffixes" in capsys.readouterr().err
+
+
 def test_command_line(spark, tmp_path, capsys):
     dump, data = tmp_path / "dump", tmp_path / "data"
     dump.mkdir()

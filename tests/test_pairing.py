@@ -4,13 +4,15 @@ import random
 
 import pytest
 from brute import episodes
+from pyspark.sql import functions as F
 
+from citetrust.fixtures.suffixes import SHORT_SUFFIXES
 from citetrust.operators import pairing
 from citetrust.operators.pairing import block_pairs, inline_pairs, pairs_to_revisions
 
 REVISIONS = "page_id bigint, rev_id bigint, pos bigint, text string"
-BAD, GOOD = "<ref>http://www.badsite.com</ref>", "<ref>http://good.org</ref>"
-T = "{{Circular}} "
+BAD, GOOD = "<ref>http://news.shaky.net</ref>", "<ref>http://good.org</ref>"
+T = "{{Doubtful}} "
 
 
 def table(spark, rows):
@@ -22,19 +24,13 @@ def ids(pairs):
 
 
 def test_scenario(spark):
-    texts = {
-        1: "",
-        2: T + BAD,
-        3: BAD,
-        4: T + BAD,
-        5: T,
-        6: BAD,
-        7: T + BAD,
-    }
-    found = block_pairs(table(spark, [(1, r, r, x) for r, x in texts.items()]), "circular")
-    assert ids(found) == [(1, 2, 3), (1, 4, 6)]
+    """Two finished episodes; a third begins and never ends."""
+    texts = [T, BAD, "", T + BAD, T, BAD, "x " + T + BAD]
+    found = block_pairs(table(spark, [(40, 400 + k, 3 * k, x) for k, x in enumerate(texts)]), "doubtful", SHORT_SUFFIXES)
+    assert ids(found) == [(40, 400, 401), (40, 403, 405)]
     assert {(tuple(r.src_ta), tuple(r.src_tr)) for r in found.collect()} == {
-        (("badsite.com",), ("badsite.com",))
+        ((), ("shaky.net",)),
+        (("shaky.net",), ("shaky.net",)),
     }
 
 
@@ -46,7 +42,7 @@ def test_rules_of_pairing(spark):
         (1, 3, 3, GOOD),
         # Order is the position, not the id.
         (2, 30, 1, T + BAD),
-        (2, 20, 2, "{{circular|x}}" + GOOD),
+        (2, 20, 2, "{{doubtful|x}}" + GOOD),
         (2, 10, 3, GOOD),
         # A missing text has no template and no sources.
         (3, 1, 1, T + BAD),
@@ -58,10 +54,10 @@ def test_rules_of_pairing(spark):
         (6, 1, 1, T),
         (6, 2, 2, GOOD),
     ]
-    found = block_pairs(table(spark, rows), "Circular")
+    found = block_pairs(table(spark, rows), "Doubtful", SHORT_SUFFIXES)
     assert ids(found) == [(2, 30, 10), (6, 1, 2)]
     by_page = {r.page_id: r for r in found.collect()}
-    assert by_page[2].src_ta == ["badsite.com"] and by_page[2].src_tr == ["good.org"]
+    assert by_page[2].src_ta == ["shaky.net"] and by_page[2].src_tr == ["good.org"]
     assert by_page[6].src_ta == []
 
 
@@ -82,18 +78,19 @@ def random_history(seed, pages, steps, spread):
     return rows
 
 
-@pytest.mark.parametrize(
-    "seed, spread, position_bits, chunk_bits",
-    [(1, 1, 40, 2), (2, 9, 40, 2), (3, 40, 63, 2), (4, 3, 40, 7), (5, 3, 63, 7)],
-)
-def test_chunks_do_not_change_the_pairs(
-    spark, monkeypatch, seed, spread, position_bits, chunk_bits
-):
-    """Small chunks, so that episodes begin, end and last across many of them.
+@pytest.mark.parametrize("seed, spread, parts", [(1, 1, 4), (2, 9, 40), (3, 2**20, 7), (4, 3, 200), (5, 2**40, 25)])
+def test_ranges_do_not_change_the_pairs(spark, seed, spread, parts):
+    """Many small ranges, so that episodes begin, end and last across many of them, also with positions far apart."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges_do_not_change_the_pairs(spark, seed, spread)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
 
-    With 7 bits only the first page is long enough to be cut.
-    """
-    monkeypatch.setattr(pairing, "CHUNK_BITS", chunk_bits)
+def ranges_do_not_change_the_pairs(spark, seed, spread):
     rows = random_history(seed, 6, 60, spread)
     expected = []
     for page in {r[0] for r in rows}:
@@ -103,7 +100,7 @@ def test_chunks_do_not_change_the_pairs(
                 expected.append((page, opened[1], closed[1], opened[3][-12:], closed[3][-12:]))
     got = [
         (r.page_id, r.rev_id_ta, r.rev_id_tr, r.src_ta, r.src_tr)
-        for r in block_pairs(table(spark, rows), "Circular", position_bits=position_bits).collect()
+        for r in block_pairs(table(spark, rows), "Doubtful", SHORT_SUFFIXES).collect()
     ]
     assert sorted(e[:3] for e in expected) == sorted(g[:3] for g in got)
     sides = {e[:3]: e[3:] for e in expected}
@@ -113,37 +110,54 @@ def test_chunks_do_not_change_the_pairs(
     assert len(expected) > 50
 
 
-@pytest.mark.parametrize("most_keys", [1_000_000, 3])
-def test_rare_template(spark, monkeypatch, most_keys):
-    monkeypatch.setattr(pairing, "MAX_BROADCAST_KEYS", most_keys)
-    revisions = table(spark, random_history(5, 4, 40, 3))
-    plain = block_pairs(revisions, "Circular")
-    rare = block_pairs(revisions, "Circular", rare=True)
-    assert rare.columns == plain.columns
-    assert sorted(map(str, rare.collect())) == sorted(map(str, plain.collect()))
+def explained(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return [n.strip() for n in df._jdf.queryExecution().explainString(mode).split("\n\n") if n.strip()]
 
 
-def test_texts_are_not_shuffled(spark, tmp_path):
-    """Two exchanges of reduced revisions and one for page lengths; none carries a text."""
+@pytest.mark.parametrize("pairs_of", [block_pairs, inline_pairs])
+def test_pairs_are_found_from_flags(spark, tmp_path, pairs_of):
+    """What is shuffled to find pairs holds neither texts nor sources; flags are dealt out by ranges of places."""
     table(spark, [(1, 1, 1, T)]).write.parquet(str(tmp_path / "t"))
-    pairs = block_pairs(spark.read.parquet(str(tmp_path / "t")), "Circular")
-    plan = pairs._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
-    nodes = [node.strip() for node in plan.split("\n\n") if node.strip()]
-
-    def named(name):
-        return [node for node in nodes if f") {name}" in node.splitlines()[0]]
-
-    exchanges = named("Exchange")
-    assert len(exchanges) == 3 and all("hashpartitioning" in node for node in exchanges)
-    assert not any("text#" in node for node in exchanges)
-    assert sorted("text:string" in node for node in named("Scan parquet")) == [False, True]
-
-
-@pytest.mark.parametrize("most_keys", [1_000_000, 0])
-def test_inline(spark, monkeypatch, most_keys):
-    monkeypatch.setattr(pairing, "MAX_BROADCAST_KEYS", most_keys)
+    found = pairing._table_pairs(spark.read.parquet(str(tmp_path / "t")), "Doubtful", str(tmp_path / "s"))
+    nodes = explained(spark, found)
+    exchanges = [n for n in nodes if ") Exchange" in n.splitlines()[0]]
+    assert len(exchanges) == 3 and sum("rangepartitioning" in n for n in exchanges) == 1
+    assert not any("text" in n or "src" in n for n in nodes)
+    pairs = pairs_of(spark.read.parquet(str(tmp_path / "t")), "Doubtful", SHORT_SUFFIXES)
+    assert not any("Nested" in n or "Cartesian" in n for n in explained(spark, pairs))
+
+
+def test_texts_are_dropped_before_they_are_shuffled(spark, tmp_path):
+    """Without a broadcast, a runtime filter on the places of the ends stands below the exchange of texts."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    saved = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        table(spark, [(1, k, k, T if k % 2 else GOOD) for k in range(50)]).write.parquet(str(tmp_path / "t"))
+        pairs = block_pairs(spark.read.parquet(str(tmp_path / "t")), "Doubtful", SHORT_SUFFIXES)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in plan
+        assert pairs.count() == 24
+    finally:
+        for key, value in saved.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_edges_of_a_page_with_sparse_positions_are_few(spark):
+    """One long page, positions far apart: only the rows at the ends of ranges meet in the group of the page."""
+    rows = [(1, k, k * 2**20, (T if k % 2 else "") + GOOD) for k in range(2000)]
+    marked = pairing.flags(table(spark, rows), "Doubtful").repartitionByRange(8, "page_id", "pos")
+    chunks = pairing._pair_in_chunks(marked.withColumn("_range", F.spark_partition_id()), ["page_id"], "_range", ["pos"])
+    assert chunks.where("edge").count() <= 2 * 8 and chunks.count() > 900
+
+
+def test_inline(spark):
     flag = "{{Bad source}}"
     rows = [
         # Of two marked sources one is still named in the closing text, outside any ref.
@@ -159,7 +173,7 @@ def test_inline(spark, monkeypatch, most_keys):
         (4, 1, 1, f"<ref>see http://a.org</ref>{flag}"),
         (4, 2, 2, "http://a.org"),
     ]
-    found = inline_pairs(table(spark, rows), "Bad source").collect()
+    found = inline_pairs(table(spark, rows), "Bad source", SHORT_SUFFIXES).collect()
     assert [(r.page_id, r.src_ta, r.src_tr) for r in found] == [(1, ["a.org", "b.org"], ["b.org"])]
 
 

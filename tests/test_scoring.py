@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citetrust.operators.combine import COMBINERS
 from citetrust.operators.diagnostics import count_unknown_sources
-from citetrust.operators.scoring import rounded_scores, score
+from citetrust.operators.scoring import distinct_revisions, look_up_sources, rounded_scores, score
 from citetrust.schemas import REVISIONS, SOURCE_PROBS
 
 PROBS = [("a", 0.2, 0.8, 10), ("b", 0.5, 0.5, 10), ("c", 0.8, 0.2, 10), ("d.com", 0.9, 0.1, 5)]
@@ -47,7 +47,7 @@ def test_score(spark):
 
 
 def test_own_combiner(spark):
-    def largest(copies):
+    def largest():
         return F.struct(F.max("p_added").alias("p_added"), F.min("p_removed").alias("p_removed"))
 
     assert added(score(revisions(spark, [["a", "c"]]), estimates(spark), largest)) == [(1, 0.8)]
@@ -68,7 +68,7 @@ def test_repeated_revision_rows(spark, combiner):
 def votes_of_two(spark, combiner):
     """The combiner on the two votes of the second revision, without any look-up."""
     df = estimates(spark).where(F.col("src").isin("a", "c"))
-    return df.agg(COMBINERS[combiner](F.lit(1)).alias("v")).select("v.*").first().p_added
+    return df.agg(COMBINERS[combiner]().alias("v")).select("v.*").first().p_added
 
 
 def test_rounded_scores(spark):
@@ -124,3 +124,27 @@ def test_hot_source_is_split(spark):
     finally:
         for key, value in saved.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_many_equal_rows_of_many_sources(spark):
+    """Products are taken once, however often the row is there."""
+    probs = estimates(spark, [(f"s{k}", 0.5, 0.5, 9) for k in range(100)])
+    one = revisions(spark, [[f"s{k}" for k in range(100)]])
+    table = one
+    for _ in range(19):
+        table = table.union(one)
+    assert added(score(table, probs, "multiplicative")) == [(1, 0.5)] * 20
+
+
+def test_revisions_without_sources_bypass_the_join(spark):
+    table = spark.range(1000).select(
+        F.col("id").alias("revision_id"),
+        F.col("id").alias("pair_id"),
+        F.when(F.col("id") % 10 == 0, F.array(F.lit("a"))).when(F.col("id") % 2 == 0, F.array().cast("array<string>")).alias("src"),
+    )
+    looked_up = look_up_sources(distinct_revisions(table), estimates(spark))
+    assert looked_up.count() == 100 and looked_up.where("src is null").count() == 0
+    scores = score(table, estimates(spark), "multiplicative")
+    assert scores.count() == 1000 and scores.where("p_added = 0.5").count() == 900
+    row = count_unknown_sources(table, estimates(spark)).first()
+    assert (row.revisions, row.with_unknown) == (1000, 0)

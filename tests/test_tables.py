@@ -68,7 +68,7 @@ def test_missing_folder(spark, tmp_path, read):
 
 def test_source_probs(spark, tmp_path):
     folder = str(tmp_path / "probs")
-    names = ["a.com", 'q"x,y', "line\nbreak", " spaced ", "", "é.org"]
+    names = ["a.com", 'q"x,y', "line\nbreak", "a\r\nb", "back\\slash", "not\\na break", "\\", " spaced ", "", "é.org", 'q\\"z']
     schema = "src string, p_added double, p_removed double, occurrences bigint"
     found = rounded(spark.createDataFrame([(n, 1 / 3, 2 / 3, 3) for n in names], schema))
     tables.write_source_probs(found, folder, single_file=True)
@@ -100,8 +100,17 @@ def test_repeated_source(spark, tmp_path):
     head = "src,probabilityTemplateAdded,probabilityTemplateRemoved,occurences\n"
     (folder / "part-0.csv").write_text(head + "a,0.1000,0.9000,2\nb,0.5000,0.5000,1\n")
     (folder / "part-1.csv").write_text(head + "a,0.7000,0.3000,9\n")
-    stored = {r.src: r.occurrences for r in tables.read_source_probs(spark, str(folder)).collect()}
-    assert stored == {"a": 9, "b": 1}
+    (folder / "part-2.csv").write_text(head + "b,0.2000,0.8000,1\n")
+    stored = {r.src: (r.p_added, r.occurrences) for r in tables.read_source_probs(spark, str(folder)).collect()}
+    assert stored == {"a": (0.7, 9), "b": (0.5, 1)}
+
+
+def test_names_over_several_lines(spark, tmp_path):
+    folder = tmp_path / "probs"
+    folder.mkdir()
+    head = "src,probabilityTemplateAdded,probabilityTemplateRemoved,occurences\n"
+    (folder / "part-0.csv").write_text(head + '"a\nb",0.1000,0.9000,2\n')
+    assert tables.read_source_probs(spark, str(folder), line_breaks=True).first().src == "a\nb"
 
 
 def test_revision_probs(spark, tmp_path):

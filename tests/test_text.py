@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from citetrust.fixtures.suffixes import SHORT_SUFFIXES
 from citetrust.functions import text as t
 
 
@@ -61,7 +62,7 @@ def test_template_name_is_taken_literally(spark):
     ],
 )
 def test_ref_urls(spark, text, expected):
-    assert one(spark, t.ref_urls(F.col(C)), text) == expected
+    assert one(spark, t.ref_urls(F.col(C), SHORT_SUFFIXES), text) == expected
 
 
 @pytest.mark.parametrize(
@@ -77,7 +78,7 @@ def test_ref_urls(spark, text, expected):
     ],
 )
 def test_cite_urls(spark, text, expected):
-    assert one(spark, t.cite_urls(F.col(C)), text) == expected
+    assert one(spark, t.cite_urls(F.col(C), SHORT_SUFFIXES), text) == expected
 
 
 @pytest.mark.parametrize(
@@ -100,9 +101,9 @@ def test_extract_sources_order_and_distinct(spark):
         "<ref>http://z.org</ref> {{cite book|isbn=1|url=http://b.org}} "
         "<ref>{{cite web|url=http://a.org }}</ref> <ref>http://z.org/2</ref> {{cite x|isbn=2}}"
     )
-    found = one(spark, t.extract_sources(F.col(C)), text)
+    found = one(spark, t.extract_sources(F.col(C), SHORT_SUFFIXES), text)
     assert found == ["z.org", "a.org", "b.org", "ISBN:1", "ISBN:2"]
-    assert one(spark, t.extract_sources(F.col(C)), None) == []
+    assert one(spark, t.extract_sources(F.col(C), SHORT_SUFFIXES), None) == []
 
 
 @pytest.mark.parametrize(
@@ -127,7 +128,7 @@ def test_extract_sources_order_and_distinct(spark):
     ],
 )
 def test_inline_sources(spark, text, expected):
-    assert one(spark, t.inline_sources(F.col(C), "Bad source"), text) == expected
+    assert one(spark, t.inline_sources(F.col(C), "Bad source", SHORT_SUFFIXES), text) == expected
 
 
 @pytest.mark.parametrize(
@@ -187,7 +188,7 @@ def test_random_texts(spark):
             parts.append(rng.choice(whole) if rng.random() < 0.35 else rng.choice(fragments))
         texts.append("".join(parts))
     df = spark.createDataFrame([(x,) for x in texts], "text string")
-    rows = df.select("text", t.extract_sources(F.col(C)).alias("src")).collect()
+    rows = df.select("text", t.extract_sources(F.col(C), SHORT_SUFFIXES).alias("src")).collect()
     wrong = [(r.text, r.src, plain_sources(r.text)) for r in rows if r.src != plain_sources(r.text)]
     assert not wrong, wrong[:3]
     assert sum(len(r.src) for r in rows) > 1000
