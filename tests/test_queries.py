@@ -1,7 +1,9 @@
-"""Every registered query against its SQL in DuckDB, over the smallest given tables."""
+"""Every query of the library's own operators against its SQL in DuckDB, over the smallest given tables."""
 
 from __future__ import annotations
 
+import importlib
+import sys
 from collections import Counter
 from pathlib import Path
 
@@ -9,9 +11,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from citetrust.fixtures.oracle import oracle
+from citetrust.fixtures.queries import QUERIES
 
 SF_DIR = Path("/root/testdata/sf0.001")
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+ORACLE = oracle()
 
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="given tables are not here")
 
@@ -26,6 +30,16 @@ def duck():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLE.items() <= entry_points.oracle_sql().items()
+
+
+def test_entry_points_without_the_llm_subpackage(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    with_none = importlib.reload(entry_points)
+    assert set(with_none.queries()) == set(with_none.oracle_sql()) == set(QUERIES)
+    monkeypatch.undo()
+    importlib.reload(entry_points)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
