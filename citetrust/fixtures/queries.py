@@ -161,19 +161,22 @@ def pairs_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_pairs(inline_pairs(revisions(spark, sf_dir), INLINE_TEMPLATE, SUFFIXES))
 
 
-def _dump(spark: SparkSession, sf_dir: str) -> str:
+def written_dump(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_folder(spark)
     write_dump(revisions(spark, sf_dir, PAGE_OF_RUN), folder)
     return folder
 
 
+def pairs_of_dump(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat_pairs(dump_block_pairs(spark, folder, BLOCK_TEMPLATE, SUFFIXES))
+
+
 def dump_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dump_block_pairs(spark, _dump(spark, sf_dir), BLOCK_TEMPLATE, SUFFIXES)
-    return _flat_pairs(found)
+    return pairs_of_dump(spark, written_dump(spark, sf_dir))
 
 
 def dump_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dump_block_pairs(spark, _dump(spark, sf_dir), BLOCK_TEMPLATE, SUFFIXES)
+    found = dump_block_pairs(spark, written_dump(spark, sf_dir), BLOCK_TEMPLATE, SUFFIXES)
     return _flat_revisions(pairs_to_revisions(found))
 
 
@@ -181,7 +184,7 @@ def jobs_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dump to stored pairs to stored estimates to stored scores, each job reading the last one's files."""
     data = scratch_folder(spark)
     (split,) = spark.range(1).select(_split(spark, sf_dir)).first()
-    pairs = jobs.parse_pairs(spark, data, _dump(spark, sf_dir), BLOCK_TEMPLATE, suffixes=SUFFIXES)
+    pairs = jobs.parse_pairs(spark, data, written_dump(spark, sf_dir), BLOCK_TEMPLATE, suffixes=SUFFIXES)
     probs = jobs.evaluate_pair_sources(spark, data, pairs, BLOCK_TEMPLATE, split)
     scores = jobs.evaluate_pair_revisions(spark, data, pairs, probs, BLOCK_TEMPLATE, split)
     return _stored_scores(spark, scores)
@@ -194,7 +197,7 @@ def _stored_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dump_pairs_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dump_inline_pairs(spark, _dump(spark, sf_dir), INLINE_TEMPLATE, SUFFIXES)
+    found = dump_inline_pairs(spark, written_dump(spark, sf_dir), INLINE_TEMPLATE, SUFFIXES)
     return _flat_pairs(found)
 
 

@@ -91,11 +91,8 @@ def inline_sources(
 ) -> Column:
     """Domains of refs that are a bare URL and stand directly before ``{{template``."""
     flagged = REF + r"\s*?\{\{\Q" + template + r"\E"
-    urls = F.transform(
-        _find_all(text, flagged),
-        # Only one of the two forms of a ref matches; the other group is empty.
-        lambda m: F.concat(F.regexp_extract(m, flagged, 1), F.regexp_extract(m, flagged, 2)),
-    )
+    # Only one of the two forms of a ref matches; the other group is empty.
+    urls = F.transform(_find_all(text, flagged), lambda m: F.regexp_replace(m, flagged, "$1$2"))
     return _or_none(F.array_distinct(url_domains(urls, suffixes)))
 
 

@@ -16,6 +16,7 @@ from citetrust.operators import diagnostics, source_stats
 from citetrust.operators.labels import before_split, from_split, labels, mask_labels
 from citetrust.operators.pairing import pairs_to_revisions
 from citetrust.operators.scoring import rounded_scores, score
+from citetrust.session import scratch
 from citetrust.sources import tables
 from citetrust.sources.dump import dump_block_pairs, dump_inline_pairs
 
@@ -26,10 +27,10 @@ def artifact(data_folder: str, kind: str, template: str) -> str:
 
 
 def _parse(
-    spark: SparkSession, dump_folder: str, template: str, inline: bool, suffixes: Iterable[str]
+    spark: SparkSession, dump_folder: str, template: str, inline: bool, suffixes: Iterable[str], folder: str
 ) -> DataFrame:
     read = dump_inline_pairs if inline else dump_block_pairs
-    return read(spark, dump_folder, template, suffixes)
+    return read(spark, dump_folder, template, suffixes, scratch=folder)
 
 
 def parse_pairs(
@@ -43,7 +44,8 @@ def parse_pairs(
 ) -> str:
     """Dump -> revision pairs."""
     out = artifact(data_folder, "revision-pairs", template_slug(template))
-    tables.write_pairs(_parse(spark, dump_folder, template, inline, suffixes), out)
+    with scratch(spark) as folder:
+        tables.write_pairs(_parse(spark, dump_folder, template, inline, suffixes, folder), out)
     return out
 
 
@@ -58,8 +60,9 @@ def parse_revisions(
 ) -> str:
     """Dump -> the two labelled revisions of every pair."""
     out = artifact(data_folder, "revisions", template_slug(template))
-    pairs = _parse(spark, dump_folder, template, inline, suffixes)
-    tables.write_revisions(pairs_to_revisions(pairs), out)
+    with scratch(spark) as folder:
+        pairs = _parse(spark, dump_folder, template, inline, suffixes, folder)
+        tables.write_revisions(pairs_to_revisions(pairs), out)
     return out
 
 

@@ -1,8 +1,10 @@
-"""Session settings the jobs are written for, and the folder for intermediate tables."""
+"""Session settings the jobs are written for, and folders for intermediate tables."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,14 @@ def scratch_folder(spark: SparkSession) -> str:
     if shared is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/citetrust-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder for one job, which is removed when the job is done."""
+    folder = scratch_folder(spark)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

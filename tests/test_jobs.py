@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from test_dump import page, revision, write
@@ -35,9 +36,12 @@ def test_from_dump_to_scores(spark, tmp_path):
             history(7, ["bad", "x", "good"], ["good", "new"]),
         ],
     )
+    before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("citetrust-*"))
     pairs = jobs.parse_pairs(spark, data, str(dump), "Circular", suffixes=SHORT_SUFFIXES)
     assert re.fullmatch(r".*/revision-pairs-circular-\d{4}-\d\d-\d\dT\d\d-\d\d-\d\dZ", pairs)
     assert tables.read_pairs(spark, pairs).count() == 4
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert set(shared.glob("citetrust-*")) == before  # the job's own scratch folder is gone
     revisions = jobs.parse_revisions(spark, data, str(dump), "Circular", suffixes=SHORT_SUFFIXES)
     assert tables.read_revisions(spark, revisions).count() == 8
 
