@@ -15,6 +15,7 @@ from citetrust.llm.ngram_join import join
 from citetrust.llm.packing import pack_documents
 from citetrust.llm.quality_rules import quality as line_quality
 from citetrust.llm.repeats import remove_repeats
+from citetrust.llm.sharding import shards
 from citetrust.llm.url_filter import RULES, judge
 from citetrust.llm.work import table
 
@@ -45,6 +46,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_bpe,
         op5_suffix_dedup,
         op6_language,
+        op7_extendible_shards,
         op8_line_rules,
         op9_neighbours,
         op10_best_two_fit,

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from citetrust.llm import language, mil, neighbours, quality_rules, url_filter
+from citetrust.llm import language, mil, neighbours, quality_rules, sharding, url_filter
 from texts import frame, odd_rows
 
 SF = "/root/testdata/sf0.01"
@@ -196,6 +196,36 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.nearest(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500, 3000, 10**9])
+def test_shards_split_only_where_they_must(spark, limit):
+    rows = odd_rows() + [(800, "same row " * 9)] * 60
+    got = sharding.shards(frame(spark, rows), limit).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.n_bytes) for r in got), key=order) == sorted(((k, len((t or "").encode())) for k, t in rows), key=order)
+    sizes: dict[str, list[int]] = {}
+    for r in got:
+        assert r.depth == len(r.shard)
+        sizes.setdefault(r.shard, []).append(r.n_bytes)
+    least = max(0, (sum(map(sum, sizes.values())) // limit).bit_length() - 4)
+    for shard, own in sizes.items():
+        assert sum(own) <= limit or len(own) == 1
+        assert len(shard) >= least
+        if len(shard) > least:  # the bucket it comes from was too large
+            before = [n for s, other in sizes.items() if s.startswith(shard[:-1]) for n in other]
+            assert sum(before) > limit and len(before) > 1
+        assert not any(s != shard and s.startswith(shard) for s in sizes)
+    assert sharding.shards(frame(spark, []), limit).count() == 0
+
+
+def test_shards_are_written(spark, tmp_path):
+    rows = odd_rows()
+    sharding.write_shards(frame(spark, rows), str(tmp_path / "out"), 3000)
+    read = spark.read.parquet(str(tmp_path / "out"))
+    order = lambda r: (r[0] is None, r[0] or 0, str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in read.collect()), key=order) == sorted(rows, key=order)
+    assert len(list((tmp_path / "out").glob("shard=*"))) > 5
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, docs.count()
