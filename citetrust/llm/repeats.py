@@ -24,6 +24,7 @@ from citetrust.llm.work import by_slices, slices, stored, utf8
 LENGTH = 50  # bytes of a repeat
 ANCHOR = 24  # bytes of an anchor
 BUCKET_ENTRIES = 1_500_000  # anchors of a bucket, about
+RANGES = 8  # parts of a bucket that are looked at one after the other
 SUFFIX_BYTES = 2 << 20  # of surroundings that are sorted at once, about
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
@@ -66,9 +67,9 @@ def pack48(x: np.ndarray) -> bytes:
     return (x >> np.uint64(32)).astype("<u4").tobytes() + (x >> np.uint64(16)).astype("<u2").tobytes()
 
 
-def unpack48(raw: bytes) -> np.ndarray:
+def unpack48(raw: bytes, begin: int, end: int) -> np.ndarray:
     n = len(raw) // 6
-    high, low = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n)
+    high, low = np.frombuffer(raw, "<u4", n)[begin:end], np.frombuffer(raw, "<u2", n, 4 * n)[begin:end]
     return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) << np.uint64(16)
 
 
@@ -133,7 +134,7 @@ def _anchor_blocks(length: int, width: int, buckets: int):
                 if not len(place):
                     continue
                 low, high = np.maximum(place - before, at[text]), np.minimum(place + behind, at[text + 1])
-                anchor = hashes[place]
+                anchor = mix(hashes[place])  # least hashes are small numbers; buckets need even ones
                 around = mix(roll.of(low, high) + (place - low).astype(np.uint64) * np.uint64(1 << 32) + anchor)
                 owner = ids[text]
                 order = np.lexsort([owner, around, anchor])
@@ -181,19 +182,38 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for each kind of surroundings of such an anchor its earliest text.
     """
 
-    def settle(blocks: list[dict]) -> pa.RecordBatch:
-        anchor = np.concatenate([unpack48(b["anchors"]) for b in blocks])
-        around = np.concatenate([unpack48(b["surroundings"]) for b in blocks])
-        place = np.concatenate([np.frombuffer(b["place"], "<u4") for b in blocks]).astype(np.int64)
-        lead, tail = (np.concatenate([np.frombuffer(b[c], np.uint8) for b in blocks]) for c in ("lead", "tail"))
-        ids = np.concatenate([np.frombuffer(b["ids"], np.int64) for b in blocks])
-        hashes = np.concatenate([np.frombuffer(b["hashes"], np.int64) for b in blocks])
-        base, text = 0, []
-        for b in blocks:
-            n = len(b["ids"]) // 8
-            text.append(np.frombuffer(b["text"], "<u4" if n > 1 << 16 else "<u2").astype(np.int64) + base)
-            base += n
-        text = np.concatenate(text)
+    def settle(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+        """A bucket in RANGES parts of its anchors, which are sorted in each block."""
+        tops = [np.frombuffer(b["anchors"], "<u4", len(b["anchors"]) // 6) for b in blocks]
+        low, high = min(int(t[0]) for t in tops), max(int(t[-1]) for t in tops)
+        edges = [low + (high + 1 - low) * k // RANGES for k in range(RANGES + 1)]
+        cuts = [np.searchsorted(t, np.array(edges, np.uint64)).tolist() for t in tops]
+        ids = [np.frombuffer(b["ids"], np.int64) for b in blocks]
+        hashes = [np.frombuffer(b["hashes"], np.int64) for b in blocks]
+        base = np.cumsum([0, *map(len, ids)]).tolist()
+        ids, hashes = np.concatenate(ids), np.concatenate(hashes)
+        # One number for each text, though several blocks may have it.
+        keys, number = np.unique(np.stack([ids, hashes]), axis=1, return_inverse=True)
+        number = number.reshape(-1)
+        for k in range(RANGES):
+            parts = [(b, c[k], c[k + 1], base[j], base[j + 1]) for j, (b, c) in enumerate(zip(blocks, cuts, strict=True))]
+            parts = [p for p in parts if p[1] < p[2]]
+            if parts:
+                yield settle_range(parts, ids, keys, number)
+
+    def settle_range(parts: list[tuple], ids: np.ndarray, keys: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        anchor = np.concatenate([unpack48(b["anchors"], x, y) for b, x, y, _, _ in parts])
+        around = np.concatenate([unpack48(b["surroundings"], x, y) for b, x, y, _, _ in parts])
+        place = np.concatenate([np.frombuffer(b["place"], "<u4")[x:y] for b, x, y, _, _ in parts]).astype(np.int64)
+        lead, tail = (
+            np.concatenate([np.frombuffer(b[c], np.uint8)[x:y] for b, x, y, _, _ in parts]) for c in ("lead", "tail")
+        )
+        text = np.concatenate(
+            [
+                np.frombuffer(b["text"], "<u4" if to - first > 1 << 16 else "<u2")[x:y].astype(np.int64) + first
+                for b, x, y, first, to in parts
+            ]
+        )
         owner = ids[text]
         order = np.lexsort([owner, around, anchor])
         anchor, around, place, lead, tail, text, owner = (
@@ -208,9 +228,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.bincount(np.cumsum(new_anchor) - 1, target) > 0
         source = ~settled & wanted[np.cumsum(new_anchor) - 1] & new_kind
         out = []
-        # One number for each text, though several blocks may have it.
-        keys, first, number = np.unique(np.stack([ids, hashes]), axis=1, return_index=True, return_inverse=True)
-        k = number.reshape(-1)[text]
+        k = number[text]
         at = place[settled]
         for t, s, e in span_rows(k[settled], at - lead[settled], at + tail[settled]):
             out.append((int(keys[0, t]), int(keys[1, t]), s, e, None, None))
@@ -232,11 +250,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if block["bucket"] != bucket:
                 if held:
-                    yield settle(held)
+                    yield from settle(held)
                 bucket, held = block["bucket"], []
             held.append(block)
     if held:
-        yield settle(held)
+        yield from settle(held)
 
 
 def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
