@@ -3,8 +3,9 @@
 Documents whose sets are near enough must agree in parts of their sets: a pair of sizes within the threshold can
 differ in so few shingles that, when the hash range is cut into more parts than that, some part is the same in both.
 Documents that share a part, directly or over others, form a family. Inside a family documents are laid out in tiles
-by bands of size; in a tile, bit counts of hashed bitmaps bound the overlap of two sets from above, and pairs that
-may still link are decided by intersecting their sorted arrays.
+by bands of size. A first round of tiles holds hashed bitmaps only, some thirty times smaller than the sets: bit counts
+bound the overlap of two sets from above, and pairs that may still link form narrower families. In the second round
+of tiles pairs that pass the same bound are decided by intersecting their sorted arrays.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from citetrust.llm.work import binary, by_slices, slices, stored, utf8
 
 BUCKET_ENTRIES = 2_000_000  # signatures of a bucket, about
 TILE_SHINGLES = 1 << 19  # of all documents of one side of a tile, about
-TILE_ROWS = 512  # documents of one side of a tile, at most
+TILE_ROWS = 512  # documents of one side of a tile, about
+MAP_ROWS = 8192  # the same, of a tile of bitmaps
 NUMBER = "_number_of_repeated_row"
 
 
@@ -173,29 +175,63 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle()
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """For each set a bitmap whose bits tell whether an odd number of its shingles hash there."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        odd = np.flatnonzero(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) % 2)
-        np.bitwise_or.at(row, odd // 64, np.uint64(1) << (odd % 64).astype(np.uint64))
-    return out
+def bits_for(size: np.ndarray | int) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, at least twice its size if that is 16,384 or less."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * np.asarray(size), 2))), 8, 15).astype(np.int64)
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Bits that tell whether an odd number of shingles hash there."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def may_link(maps: np.ndarray, one: np.ndarray, sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Which sets may link to ``one`` by their bitmaps: two sets share at most half of (sum of their sizes - bits in
+    which they differ), and have to share I with 100 I >= percent (sum - I)."""
+    total = sizes + size
+    most = (total - np.bitwise_count(maps ^ one).sum(1, dtype=np.int64)) // 2
+    return (100 + percent) * most >= percent * total
+
+
+def map_links(rows: list[bytes], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """As tile_links, of pairs that may link, from (size, bitmap) of each row.
+
+    Bitmaps of twice the length are folded: of sizes within the threshold, the larger has at most twice the bits.
+    """
+    size = np.array([int.from_bytes(r[:8], "little") for r in rows], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    bits, both = bits_for(size), bool(side.any())
+    for level in np.unique(bits).tolist():
+        first, last = np.searchsorted(bits, level), np.searchsorted(bits, 2 * level, side="right")
+        maps = [np.frombuffer(rows[k], np.uint64, offset=8) for k in order[first:last].tolist()]
+        words = level // 64
+        maps = np.stack([m if len(m) == words else m[:words] ^ m[words:] for m in maps])
+        for k in range(first, np.searchsorted(bits, level, side="right")):
+            end = int(np.searchsorted(size, size[k] * 100 // percent, side="right"))
+            if end <= k + 1:
+                continue
+            near = may_link(maps[k + 1 - first : end - first], maps[k - first], size[k + 1 : end], size[k], percent)
+            if both:
+                near &= side[k + 1 : end] != side[k]
+            if near.any():
+                yield int(order[k]), order[k + 1 + np.flatnonzero(near)]
+
+
+def tile_links(rows: list[bytes], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Links in a tile, as (row, later rows it links to). Two sides: only between them; one side (all 0): within it.
 
-    Rows in order of size; for each, the rows up to the largest size that can link are bounded by bit counts: sets
-    share at most half of (sum of sizes - bits in which they differ). What is left is intersected exactly.
+    Rows in order of size; for each, the rows up to the largest size that can link are bounded by bit counts. What is
+    left is intersected exactly.
     """
+    sets = [np.frombuffer(r, np.uint64) for r in rows]
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     size, ranked = size[order], [sets[k] for k in order]
     both = bool(side.any())
-    bits = 256
-    while bits < min(int(size.max(initial=1)), 1 << 14):
-        bits *= 2
-    maps = bitmaps(ranked, bits)
+    bits = int(bits_for(size.max(initial=1)))
+    maps = np.stack([bitmap(x, bits) for x in ranked])
     # Sorted arrays as ranks in the tile's own vocabulary; a row's array is intersected with many at once.
     vocabulary = np.unique(np.concatenate(ranked)) if ranked else np.zeros(0, np.uint64)
     ranks = np.searchsorted(vocabulary, np.concatenate(ranked)) if ranked else np.zeros(0, np.int64)
@@ -209,10 +245,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterat
             later = later[side[order[later]] != side[order[k]]]
         if not len(later) or not size[k]:
             continue
-        differ = np.bitwise_count(maps[later] ^ maps[k]).sum(1, dtype=np.int64)
-        total = size[later] + size[k]
-        most = (total - differ) // 2
-        later = later[(100 + percent) * most >= percent * total]  # 100 I >= percent (total - I)
+        later = later[may_link(maps[later], maps[k], size[later], int(size[k]), percent)]
         if not len(later):
             continue
         inside[ranks[at[k] : at[k + 1]]] = True
@@ -228,7 +261,9 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterat
         inside[ranks[at[k] : at[k + 1]]] = False
 
 
-def _tiles(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tiles(
+    links: Callable[[list[bytes], np.ndarray, int], Iterator[tuple[int, np.ndarray]]], percent: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each tile (rows in order of tile): a spanning forest of its links as (a, b, 0), and each row's number of
     linked documents, copies included, as (a, a, number)."""
 
@@ -244,8 +279,7 @@ def _tiles(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     x = root[x]
                 return x
 
-            sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-            for k, others in tile_links(sets, np.array([r[2] for r in rows], np.int64), percent):
+            for k, others in links([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), percent):
                 number[k] += copies[others].sum()
                 number[others] += copies[k]
                 for other in others.tolist():
@@ -272,8 +306,15 @@ def _tiles(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _verified(documents: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, n_links), see _tiles, over the families in ``members`` (family, doc_id, n_shingles, copies)."""
+def _linked(
+    documents: DataFrame, members: DataFrame, width: int, percent: int, exact: bool
+) -> DataFrame:
+    """(a, b, n_links), see _tiles, over the families in ``members`` (family, doc_id, n_shingles, copies).
+
+    By intersections if ``exact``, otherwise by bitmaps alone, which find some pairs more.
+    """
+    most_rows = TILE_ROWS if exact else MAP_ROWS
+    most_shingles = TILE_SHINGLES if exact else TILE_SHINGLES * 16
     tops = size_bands(percent).tolist()
     band = F.lit(0)
     for top in tops:
@@ -283,10 +324,10 @@ def _verified(documents: DataFrame, members: DataFrame, width: int, percent: int
     members = members.withColumn("band", band)
     # A family that fits is one tile; others are cut into blocks of each band, by hash of the document.
     bands = members.groupBy("family", "band").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("rows") / most_rows), F.ceil(F.col("shingles") / most_shingles)).cast("int")
     bands = bands.withColumn("blocks", blocks).groupBy("family").agg(
         F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"),
-        ((F.sum("rows") <= TILE_ROWS) & (F.sum("shingles") <= TILE_SHINGLES)).alias("whole"),
+        ((F.sum("rows") <= most_rows) & (F.sum("shingles") <= most_shingles)).alias("whole"),
     )
     laid = members.join(bands, "family")
     own = F.pmod(F.xxhash64("doc_id"), F.get("n", F.lit(1))).cast("int")
@@ -314,9 +355,14 @@ def _verified(documents: DataFrame, members: DataFrame, width: int, percent: int
     tiles = F.when(F.col("whole"), none).otherwise(F.concat(partners(-1), partners(0), partners(1)))
     laid = laid.select("doc_id", "family", "copies", tiles.alias("tiles"))
 
+    def row_of(own: np.ndarray) -> bytes:
+        if exact:
+            return own.tobytes()
+        return len(own).to_bytes(8, "little") + bitmap(own, int(bits_for(len(own)))).tobytes()
+
     def sets_of(part: pa.RecordBatch) -> pa.RecordBatch:
         sets, at = shingle_sets(*utf8(part.column(1)), width)
-        rows = [sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        rows = [row_of(sets[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.RecordBatch.from_arrays([part.column(0), binary(rows)], ["doc_id", "shingles"])
 
     texts = documents.join(members.select("doc_id"), "doc_id", "left_semi")
@@ -327,8 +373,17 @@ def _verified(documents: DataFrame, members: DataFrame, width: int, percent: int
     return (
         placed.repartition(*key)
         .sortWithinPartitions(*key)
-        .mapInArrow(_tiles(percent), "a bigint, b bigint, n_links bigint")
+        .mapInArrow(_tiles(tile_links if exact else map_links, percent), "a bigint, b bigint, n_links bigint")
+    )
+
+
+def _members(heads: DataFrame, families: DataFrame) -> DataFrame:
+    """``heads`` (doc_id, ...) with their ``family``, of families with several heads."""
+    members = heads.join(families, heads["doc_id"] == families["node"]).select(
+        F.col("component").alias("family"), *heads.columns
     )
+    several = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family")
+    return members.join(several, "family")
 
 
 def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -357,12 +412,10 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     heads = classes.select(F.col("class_id").alias("doc_id"), "n_shingles", "copies")
     heads = heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.sum("copies").alias("copies"))
-    members = heads.join(families, heads.doc_id == families.node).select(
-        F.col("component").alias("family"), "doc_id", "n_shingles", "copies"
-    )
-    several = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family")
-    members = stored(members.join(several, "family"), "members")
-    links = stored(_verified(rows, members, width, percent), "links")
+    members = stored(_members(heads, families), "members")
+    near = stored(_linked(rows, members, width, percent, exact=False), "near").where("a != b")
+    members = stored(_members(heads, components(near.select("a", "b"))), "members")
+    links = stored(_linked(rows, members, width, percent, exact=True), "links")
     joined = components(links.where("a != b").select("a", "b").unionByName(copies))
     number = links.where("a = b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_links").alias("beyond"))
 

@@ -67,6 +67,7 @@ def test_repeated_rows_are_copies(spark):
 
 def test_large_family_is_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "MAP_ROWS", 11)
     rng = random.Random(8)
     words, rows = sentence(rng, 90).split(), []
     for k in range(70):
