@@ -13,7 +13,7 @@ from citetrust.llm.tokens import UPPER_LATIN
 from citetrust.llm.words import LOWER
 from citetrust.llm.work import by_slices, held_out, slices, utf8
 
-LONGEST = 3  # bytes of an n-gram
+PART_BYTES = 1 << 20  # of text at a time; its n-grams take some 60 times as much
 RANKS = 300  # n-grams of a profile
 UNKNOWN = "und"
 LEAST = 0.1  # score of a text that is taken to be in its language
@@ -88,7 +88,7 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS) -> dict[str, list[in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 codes, at = ngrams(*utf8(part.column(0)))
                 langs = np.array(part.column(1).to_pylist(), object)
                 text = np.repeat(np.arange(part.num_rows), np.diff(at))
@@ -167,7 +167,7 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], ranks: int =
         )
 
     return documents.select("doc_id", "text").mapInArrow(
-        by_slices("text", work), "doc_id bigint, lang_pred string, score double"
+        by_slices("text", work, PART_BYTES), "doc_id bigint, lang_pred string, score double"
     )
 
 
@@ -193,4 +193,4 @@ def understood(documents: DataFrame, least: float = LEAST) -> DataFrame:
         pred, score = predict(part.column(text), profiles)
         return part.filter(pa.array((pred != UNKNOWN) & (score >= least)))
 
-    return documents.mapInArrow(by_slices("text", work), documents.schema)
+    return documents.mapInArrow(by_slices("text", work, PART_BYTES), documents.schema)

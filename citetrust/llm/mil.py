@@ -189,7 +189,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
         found = model.score(rows.astype(np.float64), to) if model else np.full(part.num_rows, 0.5)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(by_slices("text", work, 2 << 20), "doc_id bigint, score double")
+    return documents.select("doc_id", "text").mapInArrow(by_slices("text", work, 1 << 20), "doc_id bigint, score double")
 
 
 def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -213,4 +213,4 @@ def accepted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, acce
         rows, to = passages(*utf8(part.column(text)))
         return part.filter(pa.array(model.score(rows.astype(np.float64), to) >= accept))
 
-    return documents.mapInArrow(by_slices("text", work, 2 << 20), documents.schema)
+    return documents.mapInArrow(by_slices("text", work, 1 << 20), documents.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from citetrust.session import scratch_folder
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
