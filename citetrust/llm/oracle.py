@@ -54,9 +54,9 @@ m as (select doc_id, line, lower(trim(line, ' ')) as low, length(regexp_replace(
     len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n from l),
 f as (select doc_id, sum(n) as lost from m where symbols * 10 >= chars or (cells >= 3 and cells * 4 >= n)
     or (shouts >= 4 and shouts * 2 >= n)
-    or low in ('home', 'menu', 'search', 'login', 'log in', 'sign in', 'sign up', 'register', 'next', 'previous',
+    or length(line) <= 40 and low in ('home', 'menu', 'search', 'login', 'log in', 'sign in', 'sign up', 'register', 'next', 'previous',
         'back to top', 'read more', 'skip to content', 'share', 'print', 'contact', 'about', 'sitemap')
-    or (n < 30 and regexp_matches(low, 'javascript is disabled|enable javascript|lorem ipsum|all rights reserved|cookie policy|privacy policy|terms of use|terms of service|powered by'))
+    or (length(line) < 200 and regexp_matches(low, 'javascript is disabled|enable javascript|lorem ipsum|all rights reserved|cookie policy|privacy policy|terms of use|terms of service|powered by'))
     group by 1),
 o as (select w.doc_id, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,

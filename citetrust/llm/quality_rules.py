@@ -12,6 +12,8 @@ WINDOW = 8  # words
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words in repeated windows
 MAX_LOST = 50  # percent of words in lines that fail
+NAVIGATION_CHARS = 40  # of a navigation line, at most
+BOILERPLATE_CHARS = 200  # a boilerplate line is shorter
 
 # Fixed words of navigation and boilerplate lines.
 NAVIGATION = ("home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous",
@@ -52,18 +54,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with words is noise: symbols after words, cells, shouting, navigation or boilerplate."""
+    """Whether a line with words is noise: symbols after words, cells, shouting, navigation or boilerplate.
+
+    Inside a lambda each mention of a step is worked out anew, so cheap conditions that few lines meet come first.
+    """
+    cells, shouts = count_of(line, "|"), count_of(line, "!")
     low = F.lower(F.trim(line))
-    chars = F.length(F.regexp_replace(line, SPACES, ""))
-    symbols = count_of(line, SYMBOLS)
-    words = F.size(words_of(line))
-    shouts = count_of(line, "!")
     return (
-        (symbols * 10 >= chars)
-        | ((count_of(line, "|") >= 3) & (count_of(line, "|") * 4 >= words))
-        | ((shouts >= 4) & (shouts * 2 >= words))
-        | low.isin(*NAVIGATION)
-        | F.greatest(*[F.contains(low, F.lit(b)) for b in BOILERPLATE]) & (words < 30)
+        (count_of(line, SYMBOLS) * 10 >= F.length(F.translate(line, SPACE_CHARS, "")))
+        | ((cells >= 3) & (cells * 4 >= F.size(words_of(line))))
+        | ((shouts >= 4) & (shouts * 2 >= F.size(words_of(line))))
+        | ((F.length(line) <= NAVIGATION_CHARS) & low.isin(*NAVIGATION))
+        | ((F.length(line) < BOILERPLATE_CHARS) & F.greatest(*[F.contains(low, F.lit(b)) for b in BOILERPLATE]))
     )
 
 
