@@ -34,7 +34,6 @@ def count_of(text: Column, characters: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of 8 words found twice or more; sorted window hashes tell which, none is a pair."""
     n = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
 
     def covered(h: Column) -> Column:
         order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -46,9 +45,14 @@ def repeated_words(words: Column) -> Column:
         steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.when(b > a, F.least(b - a, F.lit(WINDOW))))
         return F.aggregate(F.filter(steps, lambda x: x.isNotNull()), F.lit(WINDOW), lambda s, x: s + x)
 
-    # Each step is bound once, as the variable of a one-element transform.
+    # Each step is bound once, as the variable of a one-element transform; a word is hashed once, not in each window.
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    windows = F.transform(
+        F.array(hashed),
+        lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))),
+    )
     found = F.transform(
-        F.array(hashes), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))
+        windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))
     )
     return F.when(n >= 2, F.get(found, F.lit(0))).otherwise(F.lit(0))
 
@@ -61,9 +65,14 @@ def line_fails(line: Column) -> Column:
     cells, shouts = count_of(line, "|"), count_of(line, "!")
     low = F.lower(F.trim(line))
     return (
-        (count_of(line, SYMBOLS) * 10 >= F.length(F.translate(line, SPACE_CHARS, "")))
-        | ((cells >= 3) & (cells * 4 >= F.size(words_of(line))))
-        | ((shouts >= 4) & (shouts * 2 >= F.size(words_of(line))))
+        (
+            line.rlike(f"[{SYMBOLS}]")
+            & (
+                (count_of(line, SYMBOLS) * 10 >= F.length(F.translate(line, SPACE_CHARS, "")))
+                | ((cells >= 3) & (cells * 4 >= F.size(words_of(line))))
+            )
+        )
+        | (F.contains(line, F.lit("!")) & (shouts >= 4) & (shouts * 2 >= F.size(words_of(line))))
         | ((F.length(line) <= NAVIGATION_CHARS) & low.isin(*NAVIGATION))
         | ((F.length(line) < BOILERPLATE_CHARS) & F.greatest(*[F.contains(low, F.lit(b)) for b in BOILERPLATE]))
     )
