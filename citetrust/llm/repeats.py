@@ -23,9 +23,9 @@ from citetrust.llm.work import by_slices, slices, stored, utf8
 
 LENGTH = 50  # bytes of a repeat
 ANCHOR = 24  # bytes of an anchor
-BUCKET_ENTRIES = 1_500_000  # anchors of a bucket, about
+BUCKET_ENTRIES = 800_000  # anchors of a bucket, about
 RANGES = 8  # parts of a bucket that are looked at one after the other
-SUFFIX_BYTES = 2 << 20  # of surroundings that are sorted at once, about
+SUFFIX_BYTES = 1 << 20  # of surroundings that are sorted at once, about
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 SPANS = "id bigint, text_hash bigint, starts binary, ends binary"
