@@ -6,6 +6,9 @@ prefix. No corpus fits one suffix array, so suffixes meet by anchors: of the 24-
 with the smallest hash, which is the same wherever these 50 bytes stand. Documents send hashes of their anchors and
 of the bytes around them. Where an earlier document has the same surroundings, all 50-byte strings over that anchor
 are repeats; where only the anchor agrees, the bytes around it are fetched, and their suffixes are sorted.
+
+At the edges of what very many documents share, the surroundings of an anchor differ in each of them. Such anchors
+are counted beforehand; the 50-byte strings that they are the anchors of meet by their own hashes, one group each.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ LENGTH = 50  # bytes of a repeat
 ANCHOR = 24  # bytes of an anchor
 BUCKET_ENTRIES = 800_000  # anchors of a bucket, about
 RANGES = 8  # parts of a bucket that are looked at one after the other
-SUFFIX_BYTES = 1 << 20  # of surroundings that are sorted at once, about
+SUFFIX_BYTES = 1 << 20  # of surroundings that are sorted at once, about; an anchor with more of them is common
+SEEN = 4  # rows of an anchor in a part from which on they are counted
+COMMON_ANCHORS = 1 << 20  # that tasks are told of, at most
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 SPANS = "id bigint, text_hash bigint, starts binary, ends binary"
@@ -43,15 +48,17 @@ def sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, at: np.ndarray, roll: Rolling, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all texts, and the hash at each place.
+def anchors(
+    data: np.ndarray, at: np.ndarray, roll: Rolling, length: int, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of all texts, the hash at each place, and the least hash of the bytes from it on.
 
     A place is an anchor if its hash is the least (or one of the least) of some ``length`` bytes of its text.
     """
     hashes = roll.fixed(width)
     reach = length - width + 1
     if len(data) < length:
-        return np.zeros(0, np.int64), hashes
+        return np.zeros(0, np.int64), hashes, np.zeros(0, np.uint64)
     least = sliding(np.minimum, hashes, reach)
     valid = np.zeros(len(data) + 1, np.int32)
     fits = np.diff(at) >= length
@@ -59,7 +66,7 @@ def anchors(data: np.ndarray, at: np.ndarray, roll: Rolling, length: int, width:
     np.add.at(valid, at[1:][fits] - length + 1, -1)
     least[np.cumsum(valid[: len(least)]) == 0] = 0
     around = np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)])
-    return np.flatnonzero(sliding(np.maximum, around, reach) == hashes), hashes
+    return np.flatnonzero(sliding(np.maximum, around, reach) == hashes), hashes, least
 
 
 def pack48(x: np.ndarray) -> bytes:
@@ -110,79 +117,132 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _names(schema))
 
 
-def _anchor_blocks(length: int, width: int, buckets: int):
+class _Part:
+    """Anchors of the texts of a part (id, text_hash, text); of equal texts, those of the earliest."""
+
+    def __init__(self, part: pa.RecordBatch, length: int, width: int):
+        self.ids, self.text_hash = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, self.at = utf8(part.column(2))
+        self.roll = Rolling(data)
+        place, self.hashes, self.least = anchors(data, self.at, self.roll, length, width)
+        text = np.searchsorted(self.at, place, side="right") - 1
+        order = np.lexsort([self.ids, self.text_hash])
+        copy = np.zeros(len(self.ids), bool)
+        copy[order[1:]] = self.text_hash[order[1:]] == self.text_hash[order[:-1]]
+        keep = ~copy[text]
+        self.place, self.text = place[keep], text[keep]
+        self.before, self.behind = length - width, length
+
+    def surroundings(self, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, text, low, high, anchor, around) of anchors."""
+        low, high = np.maximum(place - self.before, self.at[text]), np.minimum(place + self.behind, self.at[text + 1])
+        anchor = mix(self.hashes[place])  # least hashes are small numbers; buckets need even ones
+        around = mix(self.roll.of(low, high) + (place - low).astype(np.uint64) * np.uint64(1 << 32) + anchor)
+        return place, text, low, high, anchor, around
+
+    def strings(self, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same of the strings of full length that these are the anchors of, once each, by their own hashes."""
+        back = np.arange(self.before + 1)
+        start = (place[:, None] - back).reshape(-1)
+        text, value = np.repeat(text, len(back)), np.repeat(self.hashes[place], len(back))
+        inside = np.flatnonzero((start >= self.at[text]) & (start + self.behind <= self.at[text + 1]))
+        inside = inside[self.least[start[inside]] == value[inside]]
+        start, once = np.unique(start[inside], return_index=True)
+        text, value = text[inside[once]], mix(value[inside[once]])
+        return start, text, start, start + self.behind, mix(self.roll.of(start, start + self.behind) + value), value
+
+    def sorted(self, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """``found`` in order of (anchor, around, owner), and whether an earlier text of the part has the same."""
+        owner, anchor, around = self.ids[found[1]], found[4], found[5]
+        order = np.lexsort([owner, around, anchor])
+        found, owner = tuple(x[order] for x in found), owner[order]
+        anchor, around = found[4], found[5]
+        same = np.append(np.zeros(min(len(order), 1), bool), (anchor[1:] == anchor[:-1]) & (around[1:] == around[:-1]))
+        return *found, owner > owner[np.flatnonzero(~same)][np.cumsum(~same) - 1]
+
+
+def _counted(length: int, width: int):
+    """(anchor, n): how many rows a part would send of each anchor of which it has SEEN or more, from the same rows."""
+
+    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
+        part = _Part(rows, length, width)
+        _, index, n = np.unique(part.hashes[part.place], return_inverse=True, return_counts=True)
+        often = n[index.reshape(-1)] >= SEEN
+        place, *_, settled = part.sorted(part.surroundings(part.place[often], part.text[often]))
+        value, n = np.unique(part.hashes[place[~settled]], return_counts=True)
+        often = n >= SEEN
+        return pa.RecordBatch.from_arrays(
+            [pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["anchor", "n"]
+        )
+
+    return by_slices("text", work)
+
+
+def _anchor_blocks(length: int, width: int, buckets: int, common: np.ndarray, string_buckets: int):
     """Blocks of anchors by bucket, of (id, text_hash, text).
 
     Of the texts of a part, only one of equal ones sends anchors. If several texts have the same anchor in the same
     surroundings, the earliest sends it and the others are settled here, so a common passage goes out once a part.
+    Instead of ``common`` anchors (their hashes, sorted), the strings that they are the anchors of are sent likewise,
+    to buckets of their own.
     """
-    before, behind = length - width, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, text_hash = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                data, at = utf8(part.column(2))
-                roll = Rolling(data)
-                place, hashes = anchors(data, at, roll, length, width)
-                text = np.searchsorted(at, place, side="right") - 1
-                order = np.lexsort([ids, text_hash])
-                copy = np.zeros(len(ids), bool)
-                copy[order[1:]] = text_hash[order[1:]] == text_hash[order[:-1]]
-                keep = ~copy[text]
-                place, text = place[keep], text[keep]
-                if not len(place):
-                    continue
-                low, high = np.maximum(place - before, at[text]), np.minimum(place + behind, at[text + 1])
-                anchor = mix(hashes[place])  # least hashes are small numbers; buckets need even ones
-                around = mix(roll.of(low, high) + (place - low).astype(np.uint64) * np.uint64(1 << 32) + anchor)
-                owner = ids[text]
-                order = np.lexsort([owner, around, anchor])
-                place, text, low, high, anchor, around, owner = (
-                    x[order] for x in (place, text, low, high, anchor, around, owner)
-                )
-                same = np.append(False, (anchor[1:] == anchor[:-1]) & (around[1:] == around[:-1]))
-                head = np.flatnonzero(~same)
-                settled = owner > owner[head][np.cumsum(~same) - 1]
-                out = []
-                if settled.any():
-                    k = text[settled]
-                    for t, s, e in span_rows(k, low[settled] - at[k], high[settled] - at[k]):
-                        out.append((-1 - t, None, None, None, None, s, e, ids[t].tobytes(), text_hash[t].tobytes()))
-                keep = ~settled
-                place, text, low, high, anchor, around = (
-                    x[keep] for x in (place, text, low, high, anchor, around)
+            for rows in slices(batch, "text"):
+                part = _Part(rows, length, width)
+                place, text = part.place, part.text
+                if len(common):
+                    value = part.hashes[place]
+                    is_common = common[np.minimum(np.searchsorted(common, value), len(common) - 1)] == value
+                    out = send(part, part.surroundings(place[~is_common], text[~is_common]), 0, buckets)
+                    out += send(part, part.strings(place[is_common], text[is_common]), buckets, string_buckets)
+                else:
+                    out = send(part, part.surroundings(place, text), 0, buckets)
+                if out:
+                    yield _rows(out, BLOCK)
+
+    def send(part: _Part, found: tuple[np.ndarray, ...], base: int, buckets: int) -> list[tuple]:
+        at, ids, text_hash = part.at, part.ids, part.text_hash
+        place, text, low, high, anchor, around, settled = part.sorted(found)
+        out = []
+        if settled.any():
+            k = text[settled]
+            for t, s, e in span_rows(k, low[settled] - at[k], high[settled] - at[k]):
+                out.append((-1 - t, None, None, None, None, s, e, ids[t].tobytes(), text_hash[t].tobytes()))
+        keep = ~settled
+        place, text, low, high, anchor, around = (x[keep] for x in (place, text, low, high, anchor, around))
+        bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own, index = np.unique(text[a:b], return_inverse=True)
+            out.append(
+                (
+                    base + int(bucket[a]),
+                    pack48(anchor[a:b]),
+                    pack48(around[a:b]),
+                    index.astype("<u4" if len(own) > 1 << 16 else "<u2").tobytes(),
+                    (place[a:b] - at[text[a:b]]).astype("<u4").tobytes(),
+                    (place[a:b] - low[a:b]).astype(np.uint8).tobytes(),
+                    (high[a:b] - place[a:b]).astype(np.uint8).tobytes(),
+                    ids[own].tobytes(),
+                    text_hash[own].tobytes(),
                 )
-                bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    own, index = np.unique(text[a:b], return_inverse=True)
-                    out.append(
-                        (
-                            int(bucket[a]),
-                            pack48(anchor[a:b]),
-                            pack48(around[a:b]),
-                            index.astype("<u4" if len(own) > 1 << 16 else "<u2").tobytes(),
-                            (place[a:b] - at[text[a:b]]).astype("<u4").tobytes(),
-                            (place[a:b] - low[a:b]).astype(np.uint8).tobytes(),
-                            (high[a:b] - place[a:b]).astype(np.uint8).tobytes(),
-                            ids[own].tobytes(),
-                            text_hash[own].tobytes(),
-                        )
-                    )
-                yield _rows(out, BLOCK)
+            )
+        return out
 
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(buckets: int):
     """From blocks in order of bucket: spans that are settled, and places whose surroundings have to be compared.
 
     The latter are anchors of which an earlier text has the same, but none in the same surroundings (targets), and
-    for each kind of surroundings of such an anchor its earliest text.
+    for each kind of surroundings of such an anchor its earliest text. In buckets from ``buckets`` on are strings, which
+    are settled as a whole.
     """
 
-    def settle(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+    def settle(blocks: list[dict], compare: bool) -> Iterator[pa.RecordBatch]:
         """A bucket in RANGES parts of its anchors, which are sorted in each block."""
         tops = [np.frombuffer(b["anchors"], "<u4", len(b["anchors"]) // 6) for b in blocks]
         low, high = min(int(t[0]) for t in tops), max(int(t[-1]) for t in tops)
@@ -199,9 +259,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [(b, c[k], c[k + 1], base[j], base[j + 1]) for j, (b, c) in enumerate(zip(blocks, cuts, strict=True))]
             parts = [p for p in parts if p[1] < p[2]]
             if parts:
-                yield settle_range(parts, ids, keys, number)
+                yield settle_range(parts, ids, keys, number, compare)
 
-    def settle_range(parts: list[tuple], ids: np.ndarray, keys: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    def settle_range(
+        parts: list[tuple], ids: np.ndarray, keys: np.ndarray, number: np.ndarray, compare: bool
+    ) -> pa.RecordBatch:
         anchor = np.concatenate([unpack48(b["anchors"], x, y) for b, x, y, _, _ in parts])
         around = np.concatenate([unpack48(b["surroundings"], x, y) for b, x, y, _, _ in parts])
         place = np.concatenate([np.frombuffer(b["place"], "<u4")[x:y] for b, x, y, _, _ in parts]).astype(np.int64)
@@ -224,7 +286,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earliest = np.minimum.reduceat(owner, np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
         kind_first = owner[np.flatnonzero(new_kind)][np.cumsum(new_kind) - 1]
         settled = owner > kind_first
-        target = ~settled & (owner > earliest)
+        target = ~settled & (owner > earliest) & compare
         wanted = np.bincount(np.cumsum(new_anchor) - 1, target) > 0
         source = ~settled & wanted[np.cumsum(new_anchor) - 1] & new_kind
         out = []
@@ -239,22 +301,25 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((int(keys[0, t]), int(keys[1, t]), np.int64(p).tobytes(), None, a, is_target))
         return _rows(out, FOUND)
 
-    bucket, held = None, []
-    names = _names(BLOCK)
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            block = dict(zip(names, row, strict=True))
-            if block["bucket"] < 0:
-                key = (int(np.frombuffer(block[c], np.int64)[0]) for c in ("ids", "hashes"))
-                yield _rows([(*key, block["lead"], block["tail"], None, None)], FOUND)
-                continue
-            if block["bucket"] != bucket:
-                if held:
-                    yield from settle(held)
-                bucket, held = block["bucket"], []
-            held.append(block)
-    if held:
-        yield from settle(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        names = _names(BLOCK)
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                block = dict(zip(names, row, strict=True))
+                if block["bucket"] < 0:
+                    key = (int(np.frombuffer(block[c], np.int64)[0]) for c in ("ids", "hashes"))
+                    yield _rows([(*key, block["lead"], block["tail"], None, None)], FOUND)
+                    continue
+                if block["bucket"] != bucket:
+                    if held:
+                        yield from settle(held, bucket < buckets)
+                    bucket, held = block["bucket"], []
+                held.append(block)
+        if held:
+            yield from settle(held, bucket < buckets)
+
+    return run
 
 
 def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -392,8 +457,10 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, width: int = ANCH
     copies = sizes.join(first, "digest").where("id > first").select(
         *KEYS, _number(F.lit(0)).alias("starts"), _number(F.col("n")).alias("ends")
     )
-    blocks = rows.mapInArrow(_anchor_blocks(length, width, buckets), BLOCK)
-    found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle, FOUND)
+    common, strings = _common_anchors(rows, total, length, width)
+    string_buckets = max(16, strings // BUCKET_ENTRIES)
+    blocks = rows.mapInArrow(_anchor_blocks(length, width, buckets, common, string_buckets), BLOCK)
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), FOUND)
     found = stored(found, "anchors")
     asked = found.where("anchor is not null").groupBy(*KEYS).agg(
         F.collect_list(F.struct(_from_number(F.col("starts")).alias("place"), "anchor", F.col("target").cast("bigint").alias("target")))
@@ -408,6 +475,19 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, width: int = ANCH
     return settled.unionByName(stored(compared, "compared")).unionByName(stored(copies, "copies"))
 
 
+def _common_anchors(rows: DataFrame, total: int, length: int, width: int) -> tuple[np.ndarray, int]:
+    """Hashes of anchors of which more rows would meet than SUFFIX_BYTES hold, and about how many strings they have.
+
+    An anchor that is not among them has at most that many rows, or one COMMON_ANCHORS-th of all anchors, and fewer
+    than SEEN of each part besides; so there are never more than COMMON_ANCHORS on the driver.
+    """
+    most = max(SUFFIX_BYTES // (2 * length - width), total // ((length - width + 2) // 2) // COMMON_ANCHORS)
+    counts = rows.mapInArrow(_counted(length, width), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    common = [(r["anchor"], r["n"]) for r in counts.where(F.col("n") > most).collect()]
+    hashes = np.sort(np.array([a for a, _ in common], np.int64).view(np.uint64))
+    return hashes, sum(n for _, n in common) * (length - width + 2) // 2
+
+
 def _number(x: Column) -> Column:
     """A number as the 8 bytes in which spans hold it (lowest byte first)."""
     digits = F.lpad(F.hex(x.cast("bigint")), 16, "0")

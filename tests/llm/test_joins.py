@@ -167,6 +167,26 @@ def test_repeats_in_many_buckets_and_parts(spark, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(plain_repeats(rows), key=key)
 
 
+def test_common_edges_are_split(spark, monkeypatch):
+    """A short line and a passage in a third of all documents: few rows are sorted at once, and results stay exact."""
+    monkeypatch.setattr(repeats, "SUFFIX_BYTES", 800)
+    most, plain = 800 // 76 + 3 * 3, repeats.suffix_ranks  # in three parts, up to three rows each are not counted
+
+    def bounded(data, at, depth):
+        assert len(at) - 1 <= most, f"{len(at) - 1} rows at once"
+        return plain(data, at, depth)
+
+    monkeypatch.setattr(repeats, "suffix_ranks", bounded)
+    rng = random.Random(5)
+    line, passage = "a line of thirty-six bytes, not more", sentence(rng, 40)
+    own = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 90)))
+    rows = [(k, own() + ("", line, passage)[k % 3] + own()) for k in range(240)]
+    rows += [(300, passage[:60]), (None, passage), (301, "-" * 200), (302, "-" * 90), (5, passage)]
+    rng.shuffle(rows)
+    got = repeats.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(plain_repeats(rows), key=key)
+
+
 def test_without_repeats_keeps_rows_and_columns(spark):
     docs = frame(spark, [(1, "é" * 40), (2, "a" + "é" * 40 + "b"), (3, None), (4, "short")])
     got = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
