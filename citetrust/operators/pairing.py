@@ -126,22 +126,42 @@ def at_ends(ends: DataFrame, texts: DataFrame, place: Sequence[str]) -> DataFram
     return wanted.join(texts.select(*place, "text"), list(place))
 
 
-def paired(ends: DataFrame) -> DataFrame:
-    """The two ends of each pair in one row again: (page_id, rev_id_ta, rev_id_tr, src_ta, src_tr)."""
+def paired(ends: DataFrame, wanted: DataFrame, place: Sequence[str]) -> DataFrame:
+    """The two ends of each pair in one row again: (page_id, rev_id_ta, rev_id_tr, src_ta, src_tr).
+
+    ``wanted`` are the ends whose texts were looked for. One that has a place and is not among ``ends`` is an error:
+    the texts are not those that the pairs were found in.
+    """
 
     def one(added: bool, column: str) -> Column:
         return F.any_value(F.when(F.col("ta") == added, F.col(column)), True)
 
+    def missing(added: bool) -> Column:
+        return ~F.bool_or((F.col("ta") == added) & F.col("_found"))
+
+    # Wanted ends come once more, so that a pair none of whose texts was found is a group, too.
+    placed = wanted.where(F.forall(F.array(*[F.col(c).isNotNull() for c in place]), lambda known: known))
+    kept = ["pair", "ta", "page_id", "rev_id"]
+    every = ends.select(*kept, "src", F.lit(True).alias("_found")).unionByName(
+        placed.select(*kept, F.lit(None).cast(ends.schema["src"].dataType).alias("src"), F.lit(False).alias("_found"))
+    )
+    lost = F.bool_or(~F.col("_found")) & (missing(True) | missing(False))
+
+    def whole(source: str) -> Column:
+        return F.when(F.col("_lost"), F.raise_error(F.lit("no text at the end of an episode"))).otherwise(F.col(source))
+
     return (
-        ends.groupBy("pair")
+        every.groupBy("pair")
         .agg(
             F.any_value("page_id").alias("page_id"),
             one(True, "rev_id").alias("rev_id_ta"),
             one(False, "rev_id").alias("rev_id_tr"),
             one(True, "src").alias("src_ta"),
             one(False, "src").alias("src_tr"),
+            lost.alias("_lost"),
         )
-        .drop("pair")
+        .withColumns({"src_ta": whole("src_ta"), "src_tr": whole("src_tr")})
+        .drop("pair", "_lost")
     )
 
 
@@ -149,9 +169,10 @@ def block_sources(
     found: DataFrame, texts: DataFrame, place: Sequence[str], suffixes: Iterable[str], scratch: str
 ) -> DataFrame:
     """Pairs of a block template with all sources that their two revisions cite; the ends are stored in ``scratch``."""
-    ends = at_ends(_stored(pair_ends(found, place), f"{scratch}/ends"), texts, place)
+    wanted = _stored(pair_ends(found, place), f"{scratch}/ends")
+    ends = at_ends(wanted, texts, place)
     sourced = ends.withColumn("src", extract_sources(F.col("text"), suffixes)).drop("text")
-    return with_closing_sources(paired(sourced))
+    return with_closing_sources(paired(sourced, wanted, place))
 
 
 def inline_sources_of(
@@ -161,9 +182,11 @@ def inline_sources_of(
 
     The two texts of a pair meet once; no group is larger than that.
     """
-    ends = at_ends(_stored(pair_ends(found, place), f"{scratch}/ends"), texts, place)
+    wanted = _stored(pair_ends(found, place), f"{scratch}/ends")
+    ends = at_ends(wanted, texts, place)
     marked = F.when(F.col("ta"), inline_sources(F.col("text"), template, suffixes))
-    pairs = paired(ends.withColumn("src", F.struct(marked.alias("src"), F.when(~F.col("ta"), F.col("text")).alias("text"))))
+    sourced = ends.withColumn("src", F.struct(marked.alias("src"), F.when(~F.col("ta"), F.col("text")).alias("text")))
+    pairs = paired(sourced, wanted, place)
     text = F.coalesce("src_tr.text", F.lit(""))
     still = F.filter("src_ta.src", lambda s: F.contains(text, s))
     kept = pairs.where(F.size("src_ta.src") > 0).select(

@@ -27,16 +27,30 @@ def _header_value(header: Column, tag: str) -> Column:
     return F.regexp_extract(header, rf"<{tag}>\s*([^<]*?)\s*</{tag}>", 1)
 
 
+def _fixed_splits(spark: SparkSession) -> SparkSession:
+    """A copy of the session in which every scan of the same files is cut in the same way.
+
+    Spark cuts files by settings and, unless ``spark.sql.files.minPartitionNum`` is set, by the number of cores that
+    are alive when a scan is planned. A scan keeps the session it was read with, so later changes don't reach it.
+    """
+    fixed = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    if fixed.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = fixed.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        fixed.conf.set("spark.sql.files.minPartitionNum", str(cores))
+    return fixed
+
+
 def read_dump(spark: SparkSession, folder: str, pattern: str = "*.bz2") -> DataFrame:
     """Revisions of all dump files in ``folder``, as they stand there.
 
     Columns: ``file``, ``block`` (start of the file split), ``seq`` (ascending inside a block), ``rev_id``,
     ``text``, and on the first revision of a page ``page`` (page_id, start: its ``seq``, main: whether the
     page is an article and not a redirect).
-    A revision that is not well-formed XML fails the read.
+    A revision that is not well-formed XML fails the read. The places (``block`` and ``seq``) of the returned DataFrame
+    are the same each time it is computed, whatever becomes of the cluster and the settings.
     """
     records = (
-        spark.read.option("lineSep", "</revision>")
+        _fixed_splits(spark).read.option("lineSep", "</revision>")
         .option("pathGlobFilter", pattern)
         .text(folder)
         .select(
@@ -103,11 +117,11 @@ def with_pages(rows: DataFrame) -> DataFrame:
     )
 
 
-def _dump_pairs(dump: DataFrame, template: str, scratch: str) -> DataFrame:
+def _dump_pairs(spark: SparkSession, dump: DataFrame, template: str, scratch: str) -> DataFrame:
     """Pair flagged dump rows, which are stored first."""
     marked = flags(dump, template)
     marked.write.parquet(f"{scratch}/flags")
-    rows = dump.sparkSession.read.schema(marked.schema).parquet(f"{scratch}/flags")
+    rows = spark.read.schema(marked.schema).parquet(f"{scratch}/flags")
     return pair_marked(with_pages(rows), ["file", "start", "page_id"], "block", ["block", "seq"])
 
 
@@ -126,7 +140,7 @@ def dump_block_pairs(
     """
     dump = read_dump(spark, folder, pattern)
     scratch = scratch or scratch_folder(spark)
-    found = _dump_pairs(dump, template, scratch)
+    found = _dump_pairs(spark, dump, template, scratch)
     return block_sources(found, dump, DUMP_PLACE, suffixes, scratch)
 
 
@@ -141,5 +155,5 @@ def dump_inline_pairs(
     """Pairs of an inline template from a dump folder."""
     dump = read_dump(spark, folder, pattern)
     scratch = scratch or scratch_folder(spark)
-    found = _dump_pairs(dump, template, scratch)
+    found = _dump_pairs(spark, dump, template, scratch)
     return inline_sources_of(found, dump, DUMP_PLACE, template, suffixes, scratch)

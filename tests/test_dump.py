@@ -156,6 +156,23 @@ def test_long_pages_over_file_splits(spark, tmp_path, split_files):
         assert f"http://{r.src_tr[0]}" in expected[r.page_id, r.rev_id_ta, r.rev_id_tr][1]
 
 
+def test_scans_of_a_dump_are_cut_alike(spark, tmp_path):
+    """The second scan is planned when other cores are alive and settings have changed."""
+    (tmp_path / "a.bz2").write_bytes(bz2.compress(f"<w>{''.join(random_pages(3, 100))}</w>".encode(), 1))
+    expected = dump_block_pairs(spark, str(tmp_path), "Doubtful", SHORT_SUFFIXES).collect()
+    saved = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        found = dump_block_pairs(spark, str(tmp_path), "Doubtful", SHORT_SUFFIXES)
+        spark.conf.set("spark.sql.files.minPartitionNum", "9")
+        assert sorted(found.collect()) == sorted(expected)
+    finally:
+        for key, value in saved.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert len(expected) > 100
+
+
 def test_inline(spark, tmp_path):
     flag = "{{Bad source|x}}"
     write(

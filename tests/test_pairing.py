@@ -149,6 +149,18 @@ def test_texts_are_dropped_before_they_are_shuffled(spark, tmp_path):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+@pytest.mark.parametrize("lost", [[1], [2], [1, 2]])
+def test_ends_without_text_are_an_error(spark, tmp_path, lost):
+    """Pairs don't vanish if the texts are not where they were found; a revision without page has no place."""
+    rows = table(spark, [(1, 1, 1, T + GOOD), (1, 2, 2, GOOD), (2, 3, 1, T), (2, 4, 2, GOOD), (None, 5, 1, T), (None, 6, 2, GOOD)])
+    found = pairing._table_pairs(rows, "Doubtful", str(tmp_path / "a"))
+    place = pairing.TABLE_PLACE
+    assert pairing.block_sources(found, rows, place, SHORT_SUFFIXES, str(tmp_path / "a")).count() == 2
+    fewer = rows.where(~F.col("rev_id").isin(lost))
+    with pytest.raises(Exception, match="no text at the end"):
+        pairing.block_sources(found, fewer, place, SHORT_SUFFIXES, str(tmp_path / "b")).count()
+
+
 def test_edges_of_a_page_with_sparse_positions_are_few(spark):
     """One long page, positions far apart: only the rows at the ends of ranges meet in the group of the page."""
     rows = [(1, k, k * 2**20, (T if k % 2 else "") + GOOD) for k in range(2000)]
