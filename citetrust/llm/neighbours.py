@@ -18,7 +18,7 @@ CHUNK_ROWS = 256  # queries at a time
 RADII = (0.3, 1.0, 1.5, 1.75, 2.0, 2.5, np.inf)
 THRESHOLD = 0.82  # share of projections in which a vector has to fall into the window
 SURE = 1.5  # a window of half-width R finds vectors up to the distance R / SURE
-BETA = 0.3  # share of a block that is verified at most, if it has enough neighbours
+BETA = 0.3  # share of a block from which on the rest is verified as a whole, too, which is cheaper than more windows
 
 
 class Block:
@@ -52,6 +52,14 @@ class Block:
         scores: list[list[np.ndarray]] = [[] for _ in query_ids]
         places: list[list[np.ndarray]] = [[] for _ in query_ids]
         left, zero, full = np.arange(len(query_ids)), [0] * m, [n] * m
+
+        def verify(q: int, found: np.ndarray) -> None:
+            done[q, found] = True
+            score = (self.vectors[found] * queries[q]).sum(1)
+            keep = self.ids[found] != query_ids[q]
+            scores[q].append(score[keep])
+            places[q].append(found[keep])
+
         for radius in RADII:
             if not len(left):
                 break
@@ -81,16 +89,14 @@ class Block:
                 else:
                     found = np.flatnonzero(~done[q])
                 low[q], high[q] = to_low[row], to_high[row]
-                done[q, found] = True
-                score = (self.vectors[found] * queries[q]).sum(1)
-                keep = self.ids[found] != query_ids[q]
-                scores[q].append(score[keep])
-                places[q].append(found[keep])
+                verify(q, found)
                 score = np.concatenate(scores[q])
                 if len(score) >= k:
                     worst = np.partition(score, len(score) - k)[len(score) - k] / (self.longest * lengths[q])
-                    near = np.sqrt(max(2 - 2 * worst, 0)) * SURE <= radius
-                    if near or (np.isfinite(radius) and len(score) >= k + BETA * n and n > 4 * k):
+                    if np.sqrt(max(2 - 2 * worst, 0)) * SURE <= radius:
+                        continue
+                    if len(score) >= k + BETA * n:
+                        verify(q, np.flatnonzero(~done[q]))
                         continue
                 going.append(q)
             left = np.array(going, np.int64)
@@ -148,9 +154,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, block_rows: int
     Vectors (and queries) that are null, zero, or hold null or non-finite numbers take no part, nor do rows without
     vec_id or with another number of components than most rows have. Ties go to the smaller vec_id. Of rows with the
     same vec_id one counts. All queries go to each block of vectors; a block's sorted projections are searched in
-    windows around the query that widen until the best ``k`` are surely within reach, and vectors that fall into
-    enough windows are verified. A block with few vectors is verified as a whole. Of each block and query, ``k`` rows
-    are shuffled.
+    windows around the query that widen until the best ``k`` are within reach of most projections, and vectors that fall into
+    enough windows are verified. If that are many and the best ``k`` are still not within reach, all others of the
+    block are verified, too. Of each block and query, ``k`` rows are shuffled.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

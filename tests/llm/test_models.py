@@ -186,6 +186,20 @@ def test_neighbours_recall(spark):
             assert len(best) == 20 and best == sorted(best, key=lambda b: (-b[1], b[0])) and q not in dict(best)
 
 
+def test_neighbours_of_uneven_lengths():
+    """Where lengths are skewed, what falls into windows first says little: a block is searched to its end then."""
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=(3000, 32)) * np.exp(rng.normal(0, 1, 3000))[:, None]).astype(np.float32)
+    wide, ids = vectors.astype(float), np.arange(3000)
+    block = neighbours.Block(ids, vectors, np.sqrt((wide * wide).sum(1)).max(), neighbours.directions(32))
+    query, found, _ = block.search(ids[:60], vectors[:60], 20)
+    scores = wide[:60] @ wide.T
+    scores[ids[:60], ids[:60]] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    hits = sum(len(np.intersect1d(found[query == q], best[q])) for q in range(60))
+    assert hits / (60 * 20) > 0.99
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(20 * k, [1.0, 0.5 * (k % 3)]) for k in range(6)] + [(7, [0.0, 0.0]), (8, None), (9, [1.0, None]), (None, [1.0, 1.0])]
     rows += [(11, [float("nan"), 1.0]), (12, [float("inf"), 1.0]), (13, [1.0]), (20, [1.0, 0.5]), (40, [1.0, 1.0]), (60, [1.0, 0.0])]
