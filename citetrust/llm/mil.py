@@ -15,6 +15,7 @@ from citetrust.llm.work import by_slices, held_out, utf8
 PASSAGE = 64  # words
 BUCKETS = 32  # of hashed words
 SAMPLE = 1000  # documents of each label that are learned from
+PASSAGES = 100_000  # passages of each label that are learned from
 HIDDEN, GATE = 24, 12
 STEPS, RATE, DECAY = 250, 0.02, 1e-4
 ACCEPT = 0.7
@@ -146,6 +147,8 @@ def fit(x: np.ndarray, to: np.ndarray, label: np.ndarray, weight: np.ndarray, se
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from at most ``sample`` documents of each label: those with the smallest hash of their id.
 
+    They are fewer, in this order, if they have more than PASSAGES passages; a document that alone has more is not
+    learned from. Of several rows with the same id, one counts, that with the smallest hash of its text.
     ``documents`` (doc_id, text), ``labels`` (doc_id, quality). Held-out ids are left out, so are null labels and ids
     with both labels. The sample's passages, of whole texts, go to the driver; the two labels are weighted by how
     often all labelled rows have them. None if a label has no document.
@@ -153,20 +156,39 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id")
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("doc_id").alias("place")
     picked = [
-        known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)
+        known.where(F.col("quality") == q).select("quality", place, "doc_id").orderBy("place", "doc_id").limit(sample)
+        for q in (0, 1)
     ]
-    chosen = {r["doc_id"]: r["quality"] for r in picked[0].unionByName(picked[1]).collect()}
+    picked = sorted(picked[0].unionByName(picked[1]).collect())
+
+    def count(part: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.maximum(-(-np.diff(spans(*utf8(part.column(2)))[2]) // PASSAGE), 1)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], ["doc_id", "text_hash", "n"])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows, to = passages(*utf8(part.column(1)))
+        rows, to = passages(*utf8(part.column(2)))
         cut = [rows[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(cut, pa.binary())], ["doc_id", "rows"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut, pa.binary())], ["doc_id", "text_hash", "rows"])
 
     # At most 2 * sample ids, as a literal set that the scan can filter by.
-    texts = documents.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text")
-    bags = texts.mapInArrow(by_slices("text", work), "doc_id bigint, rows binary").collect()
-    bags.sort(key=lambda r: (r["doc_id"], bytes(r["rows"])))
+    texts = documents.where(F.col("doc_id").isin([r["doc_id"] for r in picked]))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    counts = texts.mapInArrow(by_slices("text", count), "doc_id bigint, text_hash bigint, n bigint")
+    sizes = {r["doc_id"]: r["one"] for r in counts.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("one")).collect()}
+    chosen, taken = {}, [0, 0]
+    for quality, _, doc_id in picked:
+        n = sizes[doc_id]["n"] if doc_id in sizes else PASSAGES + 1
+        if n <= PASSAGES:
+            taken[quality] += n
+            if taken[quality] <= PASSAGES:
+                chosen[doc_id] = quality
+    texts = texts.where(F.col("doc_id").isin(list(chosen)) & F.col("text_hash").isin([sizes[k]["text_hash"] for k in chosen]))
+    # An id may have the text of another one, too; of its own rows the smallest hash counts.
+    bags = texts.mapInArrow(by_slices("text", work), "doc_id bigint, text_hash bigint, rows binary")
+    bags = bags.groupBy("doc_id").agg(F.min_by("rows", F.struct("text_hash", "rows")).alias("rows")).collect()
+    bags.sort(key=lambda r: r["doc_id"])
     label = np.array([chosen[r["doc_id"]] for r in bags], float)
     if not len(label) or label.min() == label.max():
         return None

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,21 @@ def test_classifier_takes_odd_rows(spark):
     assert mil.quality(frame(spark, []), labels, sample=10).count() == 0
 
 
+def test_classifier_learns_from_so_many_passages(spark, monkeypatch):
+    """Fewer documents in the order of their hash, one row of each, and none that is too long by itself."""
+    seen = []
+    monkeypatch.setattr(mil, "fit", lambda x, to, label, weight: seen.append((len(x), np.diff(to).tolist(), label.tolist())))
+    monkeypatch.setattr(mil, "PASSAGES", 6)
+    learnt = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2][:12]
+    rows = [(k, "word " * 64 * (50 if k == learnt[0] else 2)) for k in learnt] + [(learnt[5], "more words")] * 30
+    labels = spark.createDataFrame([(k, i % 2) for i, k in enumerate(learnt)], "doc_id bigint, quality int")
+    mil.learn(frame(spark, rows), labels, sample=20)
+    ((n, sizes, label),) = seen
+    assert n == sum(sizes) and max(sizes) <= 2 and sorted(set(label)) == [0.0, 1.0]
+    for quality in (0, 1):
+        assert 4 <= sum(s for s, v in zip(sizes, label, strict=True) if v == quality) <= 6
+
+
 def test_gradients_lower_the_loss():
     rng = np.random.default_rng(1)
     to = np.arange(0, 401, 4)
