@@ -26,6 +26,7 @@ TILE_SHINGLES = 1 << 19  # of all documents of one side of a tile, about
 TILE_ROWS = 512  # documents of one side of a tile, about
 MAP_ROWS = 8192  # the same, of a tile of bitmaps
 NUMBER = "_number_of_repeated_row"
+KEY = "_document_key"  # likewise
 
 
 def size_bands(percent: int, limit: int = 1 << 40) -> np.ndarray:
@@ -434,10 +435,22 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with all their columns, of each group of linked ones only the one with the smallest doc_id.
 
-    Of repeated rows one stays. Rows without doc_id can't be told apart and all stay.
+    Of repeated rows one stays. Rows with the same doc_id and different texts are different documents: they link only
+    if their texts do. Rows without doc_id can't be told apart and all stay.
     """
-    found = join(documents, width, percent)
-    first = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    known = documents.join(first, "doc_id", "left_semi").withColumn(NUMBER, number).where(F.col(NUMBER) == 1)
+    text_hash = F.xxhash64("text")
+    ids = documents.where("doc_id is not null").groupBy("doc_id").agg((F.min(text_hash) != F.max(text_hash)).alias("several"))
+    if ids.where("several").isEmpty():
+        found = join(documents, width, percent)
+        first = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(KEY)).distinct()
+        own = F.col("doc_id")
+    else:
+        # An id doesn't name a text: 64 bits of both do.
+        own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+        keys = documents.select(own.alias(KEY), "doc_id").where("doc_id is not null").distinct()
+        found = join(documents.select(own.alias("doc_id"), "text"), width, percent)
+        found = found.select(F.col("doc_id").alias(KEY), "component_id").distinct().join(keys, KEY)
+        first = found.groupBy("component_id").agg(F.min_by(KEY, F.struct("doc_id", KEY)).alias(KEY)).select(KEY)
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy(text_hash, "text"))
+    known = documents.withColumn(KEY, own).join(first, KEY, "left_semi").withColumn(NUMBER, number).where(F.col(NUMBER) == 1)
     return known.select(*documents.columns).unionByName(documents.where("doc_id is null"))

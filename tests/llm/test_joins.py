@@ -210,6 +210,14 @@ def test_one_of_each(spark):
     assert sorted(((r.doc_id or -1) for r in got.collect())) == [-1, 1, 5, 8]
 
 
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(4)
+    one, two, three = (sentence(rng, 80) for _ in range(3))
+    rows = [(4, one), (4, two), (4, two.replace("th", "TH")), (2, two + " more"), (9, one), (9, three), (None, one), (4, None), (4, one)]
+    got = ngram_join.one_of_each(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(4, one), (2, two + " more"), (9, three), (-1, one), (4, "")])
+
+
 def test_planted_copies_of_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
