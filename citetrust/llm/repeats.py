@@ -1,8 +1,7 @@
 """Removal of byte strings that an earlier document holds already.
 
 Whether the 50 bytes from some place on start in an earlier document, too, is what the longest-previous-factor array
-tells: in the order of suffixes, the nearest suffix of an earlier document before or after it shares the longest
-prefix. No corpus fits one suffix array, so suffixes meet by anchors: of the 24-byte strings in each 50 bytes the one
+would tell. No corpus fits one suffix array, and no more than 50 bytes matter, so suffixes meet by anchors: of the 24-byte strings in each 50 bytes the one
 with the smallest hash, which is the same wherever these 50 bytes stand. Documents send hashes of their anchors and
 of the bytes around them. Where an earlier document has the same surroundings, all 50-byte strings over that anchor
 are repeats; where only the anchor agrees, the bytes around it are fetched, and their suffixes are sorted.
@@ -343,8 +342,8 @@ def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 def earlier_matches(rank: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which suffixes share their whole depth with a suffix of an earlier owner in the same group.
 
-    In suffix order, equal ones by owner, the previous smaller owner is the first of the equal suffixes or shares
-    less than the depth, and the next smaller one always shares less: longest previous factors, cut at the depth.
+    That is grouping by equal ranks: the longest previous factor of such a suffix is at least the depth, and no
+    more of it is needed, so it is not computed.
     """
     order = np.lexsort([owner, rank, group])
     r, g, o = rank[order], group[order], owner[order]
