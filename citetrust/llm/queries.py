@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citetrust.llm import oracle
+from citetrust.llm import oracle, oracle_trees
 from citetrust.llm.bpe import encode_decode
+from citetrust.llm.html_text import extract
 from citetrust.llm.language import learn_and_identify
+from citetrust.llm.merkle import audit
 from citetrust.llm.mil import quality as mil_quality
 from citetrust.llm.neighbours import nearest
 from citetrust.llm.ngram_join import join
@@ -17,6 +19,7 @@ from citetrust.llm.quality_rules import quality as line_quality
 from citetrust.llm.repeats import remove_repeats
 from citetrust.llm.sharding import shards
 from citetrust.llm.url_filter import RULES, judge
+from citetrust.llm.trie import prefix_trie
 from citetrust.llm.work import table
 
 
@@ -62,6 +65,18 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +90,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_rules,
         op9_neighbours,
         op10_best_two_fit,
+        op11_merkle_manifest,
+        op12_html_extraction,
+        op13_prefix_trie,
     )
 }
-ORACLE = {"op1_ngram_join": oracle.NGRAM_JOIN, "op3_url_filter": oracle.URL_FILTER, "op8_line_rules": oracle.LINE_RULES}
+ORACLE = {
+    "op1_ngram_join": oracle.NGRAM_JOIN,
+    "op3_url_filter": oracle.URL_FILTER,
+    "op8_line_rules": oracle.LINE_RULES,
+    "op11_merkle_manifest": oracle_trees.merkle(),
+    "op13_prefix_trie": oracle_trees.trie(),
+}
