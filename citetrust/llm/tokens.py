@@ -137,7 +137,7 @@ class Encoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts ``data[at[k]:at[k + 1]]``, and where each text's begin."""
         low, start, end, odd = units(data, at)
-        hashes = Rolling(low).of(start, end)
+        hashes = Rolling(low).unlike(low, start, end)
         hashes[odd] = mix(hashes[odd])
         distinct, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()

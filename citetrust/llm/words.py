@@ -5,6 +5,8 @@ Words are runs of bytes other than space and 0x09-0x0D. All arithmetic on hashes
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -41,8 +43,16 @@ def powers(n: int) -> np.ndarray:
     return _powers[:, :n]
 
 
+LONG = 32  # bytes of a stretch from which on a polynomial does not decide equality
+
+
 class Rolling:
-    """Hashes of any stretches of ``data``; equal bytes give equal hashes wherever they stand."""
+    """Hashes of any stretches of ``data``; equal bytes give equal hashes wherever they stand.
+
+    A polynomial modulo 2^64 tells short stretches apart, but for long ones with a regular build (as of a word and the
+    same with two letters exchanged, doubled again and again) its lower bits are all zero, whatever the base is.
+    Where equality of stretches of any length is decided, ``unlike`` has to be used.
+    """
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
@@ -52,6 +62,14 @@ class Rolling:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD)
 
+    def unlike(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As ``of``, with 64 bits of a cryptographic digest for stretches of more than LONG bytes."""
+        hashes = self.of(start, end)
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            digest = hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest()
+            hashes[k] = int.from_bytes(digest, "little")
+        return hashes
+
     def fixed(self, width: int) -> np.ndarray:
         """Of every stretch of ``width`` bytes."""
         n = len(self.sums) - width
@@ -77,7 +95,7 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the index of each text's first word."""
     begin, end, first = spans(data, at)
-    return Rolling(data).of(begin, end), first
+    return Rolling(data).unlike(data, begin, end), first
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -123,3 +123,21 @@ def test_fillings_use_every_piece():
             used[size] += times
     assert used == counts
     assert sum(t for _, t in fillings) <= 1.01 * sum(s * n for s, n in counts.items()) / 512 + 1
+
+
+def test_long_words_are_told_apart(library, spark):
+    """Words whose polynomial hashes modulo 2^64 agree whatever the base is."""
+    rows = []
+    for k in range(8, 14):
+        one = "".join("ab"[bin(n).count("1") % 2] for n in range(1 << k))
+        rows += [(2 * k, one), (2 * k + 1, one.translate(str.maketrans("ab", "ba")))]
+    ids = {k: np.array(library.encode(t, add_special_tokens=False).ids, "<u4") for k, t in rows}
+    got = {r.doc_id: r.ids_sha256 for r in bpe.encode_decode(frame(spark, rows)).collect()}
+    assert got == {k: hashlib.sha256(v.tobytes()).hexdigest() for k, v in ids.items()}
+    of = tokens.Encoder(tokens.vocabulary())
+    found, at = of.encode(*utf8(pa.array([t for _, t in rows])))
+    for (k, _), a, b in zip(rows, at[:-1], at[1:], strict=True):
+        assert found[a:b].tolist() == ids[k].tolist()
+    for r in packing.pack_documents(frame(spark, rows)).collect():
+        whole = np.append(ids[r.doc_id], 1).astype("<u4")
+        assert r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].tobytes())
