@@ -35,12 +35,23 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     Each distinct (host, path) is expanded only into host suffixes and path prefixes of the shapes (number of labels,
     length of path) that rules have. These shapes are all that is collected: two small numbers for each kind of rule.
+    Expressions meet the rules by the first PREFIX digits of their digests alone, for which the rules are gathered in
+    one row each; the whole digest is confirmed in that row. Urls without a host take no part in the join.
     """
     rules = rules.select(
         F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")
     ).where("rule_host != '' and rule_path is not null and rule_verdict is not null").distinct()
     rules = rules.withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path")))
-    rules = rules.withColumn("rule_short", F.substring("rule_digest", 1, PREFIX))
+    length = (F.length("rule_host") + F.length("rule_path")).alias("length")
+    known = F.struct(
+        length,
+        F.length("rule_host").alias("host_length"),
+        F.col("rule_verdict").alias("verdict"),
+        F.concat("rule_host", "rule_path").alias("rule"),
+        F.col("rule_digest").alias("digest"),
+    )
+    short = F.substring("rule_digest", 1, PREFIX).alias("short")
+    listed = rules.groupBy(short).agg(F.collect_list(known).alias("rules"))
     labels = F.size(F.split("rule_host", "\\."))
     shapes = [tuple(r) for r in rules.select(labels, F.length("rule_path")).distinct().collect()]
 
@@ -60,18 +71,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         or [F.lit(None).cast("struct<suffix:string,prefix:string>")]
     )
     expanded = urls.select("host", "path", F.explode(F.filter(expressions, lambda x: x.isNotNull())).alias("e"))
-    expanded = expanded.select("host", "path", digest(F.col("e.suffix"), F.col("e.prefix")).alias("digest"))
-    hit = (F.substring("digest", 1, PREFIX) == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest"))
-    best = F.max(
-        F.struct(
-            (F.length("rule_host") + F.length("rule_path")).alias("length"),
-            F.length("rule_host").alias("host_length"),
-            F.col("rule_verdict").alias("verdict"),
-            F.concat("rule_host", "rule_path").alias("rule"),
-        )
-    )
-    hits = expanded.join(rules, hit).groupBy("host", "path").agg(best.alias("best"))
-    return read.join(hits, ["host", "path"], "left").select(
+    whole = digest(F.col("e.suffix"), F.col("e.prefix"))
+    expanded = expanded.select("host", "path", whole.alias("digest"), F.substring(whole, 1, PREFIX).alias("short"))
+    confirmed = F.filter("rules", lambda rule: rule["digest"] == F.col("digest"))
+    met = expanded.join(listed, "short").select("host", "path", F.array_max(confirmed).alias("best")).where("best is not null")
+    hits = met.groupBy("host", "path").agg(F.max("best").alias("best"))
+    judged = read.where("host != ''").join(hits, ["host", "path"], "left")
+    return judged.unionByName(read.where("host = ''"), allowMissingColumns=True).select(
         "page_id",
         "host",
         "path",
