@@ -1,10 +1,11 @@
 """Removal of byte strings that an earlier document holds already.
 
 Whether the 50 bytes from some place on start in an earlier document, too, is what the longest-previous-factor array
-would tell. No corpus fits one suffix array, and no more than 50 bytes matter, so suffixes meet by anchors: of the 24-byte strings in each 50 bytes the one
-with the smallest hash, which is the same wherever these 50 bytes stand. Documents send hashes of their anchors and
-of the bytes around them. Where an earlier document has the same surroundings, all 50-byte strings over that anchor
-are repeats; where only the anchor agrees, the bytes around it are fetched, and their suffixes are sorted.
+tells. No corpus fits one suffix array, and no more than 50 bytes matter, so suffixes meet by anchors: of the 24-byte
+strings in each 50 bytes the one with the smallest hash, which is the same wherever these 50 bytes stand. Documents
+send hashes of their anchors and of the bytes around them. Where an earlier document has the same surroundings, all
+50-byte strings over that anchor are repeats; where only the anchor agrees, the bytes around it are fetched, their
+suffixes are sorted, and the nearest smaller owners in suffix order give the longest previous factors.
 
 At the edges of what very many documents share, the surroundings of an anchor differ in each of them. Such anchors
 are counted beforehand; the 50-byte strings that they are the anchors of meet by their own hashes, one group each.
@@ -28,8 +29,8 @@ ANCHOR = 24  # bytes of an anchor
 BUCKET_ENTRIES = 800_000  # anchors of a bucket, about
 RANGES = 8  # parts of a bucket that are looked at one after the other
 SUFFIX_BYTES = 1 << 20  # of surroundings that are sorted at once, about; an anchor with more of them is common
-SEEN = 4  # rows of an anchor in a part from which on they are counted
-COMMON_ANCHORS = 1 << 20  # that tasks are told of, at most
+SAMPLE = 16  # texts are counted where their hash modulo this is 0
+SLOT_BITS = 24  # common anchors are told to tasks as one of so many bits each: 2 MB at any size of the corpus
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 SPANS = "id bigint, text_hash bigint, starts binary, ends binary"
@@ -160,18 +161,20 @@ class _Part:
         return *found, owner > owner[np.flatnonzero(~same)][np.cumsum(~same) - 1]
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """The bit that stands for an anchor, by its hash."""
+    return (mix(hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _counted(length: int, width: int):
-    """(anchor, n): how many rows a part would send of each anchor of which it has SEEN or more, from the same rows."""
+    """(anchor, slot, n): how many rows a part would send of each anchor, from the same rows."""
 
     def work(rows: pa.RecordBatch) -> pa.RecordBatch:
         part = _Part(rows, length, width)
-        _, index, n = np.unique(part.hashes[part.place], return_inverse=True, return_counts=True)
-        often = n[index.reshape(-1)] >= SEEN
-        place, *_, settled = part.sorted(part.surroundings(part.place[often], part.text[often]))
+        place, *_, settled = part.sorted(part.surroundings(part.place, part.text))
         value, n = np.unique(part.hashes[place[~settled]], return_counts=True)
-        often = n >= SEEN
         return pa.RecordBatch.from_arrays(
-            [pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["anchor", "n"]
+            [pa.array(value.view(np.int64)), pa.array(_slots(value)), pa.array(n.astype(np.int64))], ["anchor", "slot", "n"]
         )
 
     return by_slices("text", work)
@@ -182,8 +185,8 @@ def _anchor_blocks(length: int, width: int, buckets: int, common: np.ndarray, st
 
     Of the texts of a part, only one of equal ones sends anchors. If several texts have the same anchor in the same
     surroundings, the earliest sends it and the others are settled here, so a common passage goes out once a part.
-    Instead of ``common`` anchors (their hashes, sorted), the strings that they are the anchors of are sent likewise,
-    to buckets of their own.
+    Instead of ``common`` anchors (bits of their slots), the strings that they are the anchors of are sent likewise,
+    to buckets of their own. An anchor that only shares its slot with a common one is sent that way, too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +195,8 @@ def _anchor_blocks(length: int, width: int, buckets: int, common: np.ndarray, st
                 part = _Part(rows, length, width)
                 place, text = part.place, part.text
                 if len(common):
-                    value = part.hashes[place]
-                    is_common = common[np.minimum(np.searchsorted(common, value), len(common) - 1)] == value
+                    slot = _slots(part.hashes[place])
+                    is_common = common[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
                     out = send(part, part.surroundings(place[~is_common], text[~is_common]), 0, buckets)
                     out += send(part, part.strings(place[is_common], text[is_common]), buckets, string_buckets)
                 else:
@@ -321,35 +324,100 @@ def _settle(buckets: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of the texts by their first ``depth`` bytes; equal ranks share these bytes.
+def suffix_levels(data: np.ndarray, at: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes of the texts by their first bytes, for a few widths up to ``depth``: (width, ranks).
 
-    By doubling: the order by 2k bytes comes from the order by k bytes here and k bytes further on. Suffixes that end
-    earlier come first.
+    Equal ranks share these bytes. By doubling: the order by 2k bytes comes from the order by k bytes here and k bytes
+    further on. The first ranks are of as many bytes as fit one number. Suffixes that end earlier come first.
     """
     end = np.repeat(at[1:], np.diff(at))
     here = np.arange(len(data))
-    rank, done = data.astype(np.int64) + 1, 1
+    wide = min(depth, 7)
+    first = data.astype(np.int64) + 1
+    value = first.copy()
+    for k in range(1, wide):
+        value *= 257
+        value[: len(data) - k] += np.where(here[: len(data) - k] + k < end[: len(data) - k], first[k:], 0)
+    rank, done = np.unique(value, return_inverse=True)[1].reshape(-1) + 1, wide
+    levels = [(done, rank)]
     while done < depth:
         step = min(done, depth - done)
         there = here + step
         second = np.where(there < end, rank[np.minimum(there, len(rank) - 1)], 0)
         rank = np.unique(rank * (int(rank.max()) + 1) + second, return_inverse=True)[1].reshape(-1) + 1
         done += step
-    return rank
+        levels.append((done, rank))
+    return levels
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes by their first ``depth`` bytes."""
+    return suffix_levels(data, at, depth)[-1][1]
 
 
-def earlier_matches(rank: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which suffixes share their whole depth with a suffix of an earlier owner in the same group.
+def previous_smaller(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Index of the last smaller value before each one, not before ``begin``; -1 if there is none.
 
-    That is grouping by equal ranks: the longest previous factor of such a suffix is at least the depth, and no
-    more of it is needed, so it is not computed.
+    By least values of the last 1, 2, 4, ... places: as many as are not smaller are stepped over, largest steps first.
     """
+    place = np.arange(len(value))
+    least = [value]
+    longest = int((place - begin).max()) if len(value) else 0
+    while 1 << len(least) <= longest:
+        wider, half = least[-1].copy(), 1 << (len(least) - 1)
+        np.minimum(wider[half:], least[-1][:-half], out=wider[half:])
+        least.append(wider)
+    at = place - 1
+    for k in reversed(range(len(least))):
+        over = (at - (1 << k) + 1 >= begin) & (least[k][at] >= value)
+        at -= over.astype(np.int64) << k
+    return np.where(at >= begin, at, -1)
+
+
+def common_bytes(
+    levels: list[tuple[int, np.ndarray]], data: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray
+) -> np.ndarray:
+    """How many first bytes suffixes at ``one`` and ``two``, which end at ``end``, have in common, up to the last width."""
+    found = np.zeros(len(one), np.int64)
+    room = np.minimum(end[one] - one, end[two] - two)
+    steps = [(w, r) for w, r in reversed(levels)] + [(1, data)] * (levels[0][0] - 1)
+    for width, rank in steps:
+        there = np.flatnonzero((found + width <= levels[-1][0]) & (found + width <= room))
+        same = rank[one[there] + found[there]] == rank[two[there] + found[there]]
+        found[there[same]] += width
+    return found
+
+
+def longest_previous_factors(
+    levels: list[tuple[int, np.ndarray]],
+    data: np.ndarray,
+    at: np.ndarray,
+    place: np.ndarray,
+    group: np.ndarray,
+    owner: np.ndarray,
+    asked: np.ndarray,
+) -> np.ndarray:
+    """For each of the suffixes at ``place``: how much of it also starts in the same group with a smaller owner.
+
+    The suffixes of a group are put in suffix order. Of all with a smaller owner, the nearest before and the nearest
+    behind have most in common with a suffix; the longer of the two is its longest previous factor (up to the last
+    width). Only those that are ``asked`` for get one, others 0.
+    """
+    rank = levels[-1][1][place]
     order = np.lexsort([owner, rank, group])
-    r, g, o = rank[order], group[order], owner[order]
-    first = np.append(True, (r[1:] != r[:-1]) | (g[1:] != g[:-1]))
-    out = np.zeros(len(rank), bool)
-    out[order] = o > o[np.flatnonzero(first)][np.cumsum(first) - 1]
+    number = np.unique(owner, return_inverse=True)[1].reshape(-1).astype(np.int32)[order]
+    edge = np.append(True, group[order][1:] != group[order][:-1])
+    begin = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+    last = np.append(np.flatnonzero(edge)[1:], len(order))[np.cumsum(edge) - 1]
+    before = previous_smaller(number, begin)
+    behind = previous_smaller(number[::-1], len(order) - last[::-1])[::-1]
+    behind = np.where(behind >= 0, len(order) - 1 - behind, -1)
+    end = np.repeat(at[1:], np.diff(at))
+    out = np.zeros(len(place), np.int64)
+    for near in (before, behind):
+        k = np.flatnonzero((near >= 0) & asked[order])
+        one, two = order[k], order[near[k]]
+        out[one] = np.maximum(out[one], common_bytes(levels, data, end, place[one], place[two]))
     return out
 
 
@@ -406,14 +474,15 @@ def _compare(length: int):
             to = np.zeros(len(k) + 1, np.int64)
             np.cumsum(n, out=to[1:])
             own = data[np.repeat(at[k] - to[:-1], n) + np.arange(to[-1])]
-            rank = suffix_ranks(own, to, length)
+            levels = suffix_levels(own, to, length)
             row = np.repeat(np.arange(len(k)), n)
             start = np.arange(len(own)) - to[row]
             full = np.flatnonzero(start + length <= n[row])
             row, start = row[full], start[full]
             # Suffixes of a group meet if they start equally far before their anchor.
             group = np.unique(anchor[k], return_inverse=True)[1].reshape(-1)[row] * (length + 1) + lead[k][row] - start
-            hit = earlier_matches(rank[full], group, ids[k][row]) & (target[k][row] > 0)
+            factors = longest_previous_factors(levels, own, to, full, group, ids[k][row], target[k][row] > 0)
+            hit = factors >= length
             row, start = row[hit], start[hit]
             key, _, number = np.unique(
                 np.stack([ids[k], hashes[k]]), axis=1, return_index=True, return_inverse=True
@@ -456,7 +525,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, width: int = ANCH
     copies = sizes.join(first, "digest").where("id > first").select(
         *KEYS, _number(F.lit(0)).alias("starts"), _number(F.col("n")).alias("ends")
     )
-    common, strings = _common_anchors(rows, total, length, width)
+    common, strings = _common_anchors(rows, length, width)
     string_buckets = max(16, strings // BUCKET_ENTRIES)
     blocks = rows.mapInArrow(_anchor_blocks(length, width, buckets, common, string_buckets), BLOCK)
     found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), FOUND)
@@ -474,17 +543,25 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, width: int = ANCH
     return settled.unionByName(stored(compared, "compared")).unionByName(stored(copies, "copies"))
 
 
-def _common_anchors(rows: DataFrame, total: int, length: int, width: int) -> tuple[np.ndarray, int]:
-    """Hashes of anchors of which more rows would meet than SUFFIX_BYTES hold, and about how many strings they have.
+def _common_anchors(rows: DataFrame, length: int, width: int) -> tuple[np.ndarray, int]:
+    """Bits of the slots of anchors of which more rows would meet than SUFFIX_BYTES hold, and about how many strings
+    they have.
 
-    An anchor that is not among them has at most that many rows, or one COMMON_ANCHORS-th of all anchors, and fewer
-    than SEEN of each part besides; so there are never more than COMMON_ANCHORS on the driver.
+    Counted are texts whose hash is 0 modulo SAMPLE, so that counts are estimates; they decide how strings meet, not
+    which are repeats. The bound is the same at any size of the corpus, and so is the number of bits: 2^SLOT_BITS, of
+    which words of 32 come to the driver (2^19 rows at most). A slot that several anchors share makes all of them common.
     """
-    most = max(SUFFIX_BYTES // (2 * length - width), total // ((length - width + 2) // 2) // COMMON_ANCHORS)
-    counts = rows.mapInArrow(_counted(length, width), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
-    common = [(r["anchor"], r["n"]) for r in counts.where(F.col("n") > most).collect()]
-    hashes = np.sort(np.array([a for a, _ in common], np.int64).view(np.uint64))
-    return hashes, sum(n for _, n in common) * (length - width + 2) // 2
+    most = max(1, SUFFIX_BYTES // (2 * length - width) // SAMPLE)
+    sample = rows.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0)
+    counts = sample.mapInArrow(_counted(length, width), "anchor bigint, slot bigint, n bigint")
+    counts = counts.groupBy("anchor", "slot").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    one = F.expr("shiftleft(1L, cast(slot % 32 as int))")
+    words = counts.groupBy(F.floor(F.col("slot") / 32).alias("word")).agg(F.bit_or(one).alias("bits"), F.sum("n").alias("n")).collect()
+    if not words:
+        return np.zeros(0, np.uint8), 0
+    common = np.zeros(1 << (SLOT_BITS - 5), "<u4")
+    common[[w["word"] for w in words]] = np.array([w["bits"] for w in words], np.int64).astype(np.uint32)
+    return common.view(np.uint8), sum(w["n"] for w in words) * SAMPLE * (length - width + 2) // 2
 
 
 def _number(x: Column) -> Column:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -170,13 +171,14 @@ def test_repeats_in_many_buckets_and_parts(spark, monkeypatch):
 def test_common_edges_are_split(spark, monkeypatch):
     """A short line and a passage in a third of all documents: few rows are sorted at once, and results stay exact."""
     monkeypatch.setattr(repeats, "SUFFIX_BYTES", 800)
-    most, plain = 800 // 76 + 3 * 3, repeats.suffix_ranks  # in three parts, up to three rows each are not counted
+    monkeypatch.setattr(repeats, "SAMPLE", 1)  # counts are exact then
+    most, plain = 800 // 76, repeats.suffix_levels
 
     def bounded(data, at, depth):
         assert len(at) - 1 <= most, f"{len(at) - 1} rows at once"
         return plain(data, at, depth)
 
-    monkeypatch.setattr(repeats, "suffix_ranks", bounded)
+    monkeypatch.setattr(repeats, "suffix_levels", bounded)
     rng = random.Random(5)
     line, passage = "a line of thirty-six bytes, not more", sentence(rng, 40)
     own = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 90)))
@@ -224,3 +226,47 @@ def test_planted_copies_of_the_tables(spark):
     got = ngram_join.join(docs, 5, 80).collect()
     assert sorted(map(tuple, got)) == sorted(plain_join(rows, 5, 80))
     assert repeats.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == sum(r[2] for r in plain_repeats(rows))
+
+
+def test_longest_previous_factors():
+    """Against the plain definition: the longest start of a suffix that begins in an earlier text of the group, too."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(30)] + ["", "abab" * 9]
+    data, at = utf8(pa.array(texts))
+    for depth in (3, 9, 20):
+        levels = repeats.suffix_levels(data, at, depth)
+        text = np.repeat(np.arange(len(texts)), np.diff(at))
+        owner = np.array([rng.randrange(12) for _ in texts])[text]
+        group = np.array([rng.randrange(3) for _ in data])
+        place = np.arange(len(data))
+        got = repeats.longest_previous_factors(levels, data, at, place, group, owner, np.ones(len(data), bool))
+        raw = data.tobytes().decode()
+        cut = [raw[k : min(k + depth, at[t + 1])] for k, t in enumerate(text)]
+        for k in place:
+            others = [cut[j] for j in place if group[j] == group[k] and owner[j] < owner[k]]
+            assert got[k] == max((len(os.path.commonprefix([cut[k], o])) for o in others), default=0)
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300):
+        value, edge = rng.integers(0, 9, n), rng.random(n) < 0.05
+        edge[:1] = True
+        begin = np.flatnonzero(edge)[np.cumsum(edge) - 1] if n else np.zeros(0, np.int64)
+        got = repeats.previous_smaller(value, begin)
+        want = [max((j for j in range(begin[k], k) if value[j] < value[k]), default=-1) for k in range(n)]
+        assert got.tolist() == want
+
+
+def thue_morse(letters: int) -> tuple[str, str]:
+    """Two words whose polynomial hashes modulo 2^64 agree for long lengths, whatever the base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(letters))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_are_told_apart(spark):
+    rows = [(10 * k + j, f"{word} x y") for k in range(8, 14) for j, word in enumerate(thue_morse(1 << k))]
+    rows += [(1000 + k, text) for k, text in rows[:2]]
+    got = {r.doc_id: r for r in ngram_join.join(frame(spark, rows), width=3, percent=90).collect()}
+    for k, text in rows:
+        assert got[k].component_id == min(j for j, other in rows if other == text)
