@@ -12,26 +12,29 @@ from pyspark.sql import functions as F
 
 from citetrust.session import scratch_folder
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 2 << 20
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # shuffle files go when the table is written
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),  # for a worker, whatever the length of texts
+}
+SLICE_BYTES = 1 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again.
 
-    This cuts the lineage, survives lost executors, and lets Spark delete the shuffle files of the write.
+    This cuts the lineage, survives lost executors, and lets Spark delete the shuffle files of the write. What the
+    write sends to Python workers goes in batches of a few MB.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
     try:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
