@@ -28,12 +28,15 @@ def _header_value(header: Column, tag: str) -> Column:
 
 
 def _fixed_splits(spark: SparkSession) -> SparkSession:
-    """A copy of the session in which every scan of the same files is cut in the same way.
+    """A session with the same settings in which every scan of the same files is cut in the same way.
 
     Spark cuts files by settings and, unless ``spark.sql.files.minPartitionNum`` is set, by the number of cores that
     are alive when a scan is planned. A scan keeps the session it was read with, so later changes don't reach it.
     """
-    fixed = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    fixed = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if fixed.conf.isModifiable(key):
+            fixed.conf.set(key, value)
     if fixed.conf.get("spark.sql.files.minPartitionNum", None) is None:
         cores = fixed.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
         fixed.conf.set("spark.sql.files.minPartitionNum", str(cores))
