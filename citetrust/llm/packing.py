@@ -144,7 +144,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     places = spark.createDataFrame(
         rows, "length bigint, from_number bigint, to_number bigint, first_sequence bigint, offsets array<bigint>"
     )
-    # The fillings of a length, in order; a piece finds its own by binary search in the array of first numbers.
+    # The fillings of a length, in order; a piece finds its own by going through their first numbers.
     places = places.groupBy("length").agg(
         F.sort_array(F.collect_list(F.struct("from_number", "first_sequence", "offsets"))).alias("places")
     )
