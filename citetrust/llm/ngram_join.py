@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citetrust.llm.components import components
+from citetrust.llm.components import components, stars
 from citetrust.llm.words import mix, shingle_sets
 from citetrust.llm.work import binary, by_slices, slices, stored, utf8
 
@@ -158,7 +158,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature, ids = signature[order], ids[order]
         first = np.append(True, signature[1:] != signature[:-1]) if len(signature) else np.zeros(0, bool)
         leader = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(ids) else ids
-        pairs = np.unique(np.stack([leader, ids])[:, leader != ids], axis=1)
+        pairs = stars(leader, ids)
         signature, ids = signature[first], ids[first]
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -265,7 +265,7 @@ def tile_links(rows: list[bytes], side: np.ndarray, percent: int) -> Iterator[tu
 def _tiles(
     links: Callable[[list[bytes], np.ndarray, int], Iterator[tuple[int, np.ndarray]]], percent: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each tile (rows in order of tile): a spanning forest of its links as (a, b, 0), and each row's number of
+    """Of each tile (rows in order of tile): its links as stars around smallest ids (a, b, 0), and each row's number of
     linked documents, copies included, as (a, a, number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,9 @@ def _tiles(
                     x, y = find(k), find(other)
                     if x != y:
                         root[x] = y
-                        edges.append((ids[k], ids[other], 0))
+                        edges.append((ids[k], ids[other]))
+            low, high = stars(*np.array(edges, np.int64).reshape(-1, 2).T)
+            edges = [(*e, 0) for e in zip(low.tolist(), high.tolist(), strict=True)]
             edges += [(ids[k], ids[k], int(number[k])) for k in np.flatnonzero(number).tolist()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([e[j] for e in edges], pa.int64()) for j in range(3)], ["a", "b", "n_links"]

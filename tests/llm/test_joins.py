@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citetrust.llm import ngram_join, repeats
-from citetrust.llm.components import components
+from citetrust.llm.components import components, stars
 from citetrust.llm.words import Rolling, shingle_sets
 from citetrust.llm.work import utf8
 from texts import frame, odd_rows, sentence
@@ -128,6 +128,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_stars_hang_every_node_on_the_smallest_it_reaches(seed):
+    random = np.random.default_rng(seed)
+    a, b = random.integers(-30, 30, (2, int(random.integers(0, 80)))) * 7
+    root = {int(x): int(x) for x in [*a, *b]}
+    for _ in root:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+    low, node = stars(a, b)
+    assert sorted(zip(low.tolist(), node.tolist(), strict=True)) == sorted((r, x) for x, r in root.items() if r != x)
+
+
 def plain_repeats(rows: list[tuple], length: int = 50) -> list[tuple]:
     later = 1 << 62
     first: dict[bytes, int] = {}
