@@ -61,6 +61,68 @@ def test_gradients_lower_the_loss():
     assert np.mean((model.score(x, to) > 0.5) == label) > 0.95
 
 
+def plain_score(model, rows):
+    """Score of one document from the features of its passages, passage by passage."""
+    w = model.weights
+    hidden, weights = [], []
+    for row in rows:
+        h = np.tanh((row - model.mean) / model.scale @ w["W"] + w["b"])
+        gate = 1 / (1 + np.exp(-(h @ w["U"])))
+        hidden.append(h)
+        weights.append(np.exp(np.sum(np.tanh(h @ w["V"]) * gate * w["a"])))
+    z = sum(share * h for share, h in zip(weights, hidden, strict=True)) / sum(weights)
+    return float(1 / (1 + np.exp(-(z @ w["c"] + w["d"][0]))))
+
+
+def bags(seed, documents=12):
+    random = np.random.default_rng(seed)
+    to = np.append(0, np.cumsum(random.integers(1, 6, documents)))
+    return random.normal(0, 1, (to[-1], mil.FEATURES)), to, (np.arange(documents) % 3 == 0).astype(float)
+
+
+def test_classifier_scores_as_plain_attention(spark):
+    x, to, label = bags(1)
+    model = mil.fit(x, to, label, np.ones(len(label)))
+    plain = [plain_score(model, x[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
+    assert np.allclose(model.score(x, to), plain)
+    texts = ["", None, "one", "Some words, said twice. " * 90, "é | # 7\n" * 200]
+    got = {r.doc_id: r.score for r in mil.score(frame(spark, list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        rows, _ = mil.passages(raw, np.array([0, len(raw)]))
+        assert len(rows) == max(-(-len((text or "").split()) // mil.PASSAGE), 1)
+        assert got[k] == pytest.approx(plain_score(model, rows.astype(np.float64)))
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_first_step_goes_down_every_numeric_slope(monkeypatch, seed):
+    """Adam's first step changes each weight by the rate, against the sign of its slope."""
+    x, to, label = bags(seed)
+    share = np.arange(1, len(label) + 1) / np.arange(1, len(label) + 1).sum()
+
+    def loss(model):
+        found = np.array([plain_score(model, x[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)])
+        decay = sum((v * v).sum() for v in model.weights.values()) * mil.DECAY / 2
+        return decay - (share * np.where(label == 1, np.log(found), np.log(1 - found))).sum()
+
+    monkeypatch.setattr(mil, "STEPS", 0)
+    start = mil.fit(x, to, label, share)
+    monkeypatch.setattr(mil, "STEPS", 1)
+    moved = mil.fit(x, to, label, share)
+    compared = 0
+    for key, values in start.weights.items():
+        for at in np.random.default_rng(seed).integers(0, values.size, 12).tolist():
+            here, slope = values.flat[at], 0.0
+            for sign in (1, -1):
+                values.flat[at] = here + sign * 1e-5
+                slope += sign * loss(start) / 2e-5
+            values.flat[at] = here
+            if abs(slope) > 1e-6:
+                assert moved.weights[key].flat[at] - here == pytest.approx(-mil.RATE * np.sign(slope), rel=1e-2)
+                compared += 1
+    assert compared > 50
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = {r.doc_id: r.lang for r in docs.collect()}
