@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import __spark_entry__
 import corpus_pipeline
@@ -312,6 +313,34 @@ def test_shards_split_only_where_they_must(spark, limit):
     assert sharding.shards(frame(spark, []), limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [60, 700, 1 << 20])
+def test_shards_as_a_plain_directory(spark, limit):
+    """The same buckets as a directory that splits one bucket at a time, row by row, on hashes of its own."""
+    random_ = random.Random(5)
+    rows = [(k if k % 7 else None, "x" * random_.choice([0, 3, 40, 200]) + str(k)) for k in range(300)] + [(900, None), (901, "")]
+
+    def bits(doc_id, text):  # of doc_id, carried on over the text; nulls leave the hash as it is
+        value = 42
+        for part in (doc_id, text):
+            if part is not None:
+                raw = part.to_bytes(8, "little") if isinstance(part, int) else part.encode()
+                value = xxhash.xxh64_intdigest(raw, seed=value)
+        return f"{value:064b}"
+
+    size = lambda bucket: sum(len((t or "").encode()) for _, t in bucket)
+    depth = max(0, (size(rows) // limit).bit_length() - 4)
+    buckets: dict[str, list] = {}
+    for row in rows:
+        buckets.setdefault(bits(*row)[:depth], []).append(row)
+    while large := [p for p, bucket in buckets.items() if size(bucket) > limit and len(bucket) > 1]:
+        prefix = large[0]
+        for row in buckets.pop(prefix):
+            buckets.setdefault(bits(*row)[: len(prefix) + 1], []).append(row)
+    want = sorted((prefix, k or -1, len((t or "").encode())) for prefix, bucket in buckets.items() for k, t in bucket)
+    got = sharding.shards(frame(spark, rows), limit).collect()
+    assert sorted((r.shard, r.doc_id or -1, r.n_bytes) for r in got) == want
+
+
 def test_shards_are_written(spark, tmp_path):
     rows = odd_rows()
     sharding.write_shards(frame(spark, rows), str(tmp_path / "out"), 3000)
