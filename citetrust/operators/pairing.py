@@ -117,51 +117,36 @@ def pair_ends(found: DataFrame, place: Sequence[str]) -> DataFrame:
 
 
 def at_ends(ends: DataFrame, texts: DataFrame, place: Sequence[str]) -> DataFrame:
-    """``ends`` with their ``text``, found by place.
+    """``ends`` that have a place, with their ``text``, found by place.
 
-    Spark chooses the join by the size of the stored ends. If that is no broadcast, a runtime filter on the places
-    drops most texts where they are read; Spark makes one only from a scan with a condition, hence the one on ``ta``.
+    An end without a row in ``texts`` is an error: these are not the texts that the pairs were found in. A runtime
+    filter on the places of the stored ends drops most texts where they are read; Spark makes one only from a scan
+    with a condition, hence the one on ``ta``.
     """
-    wanted = ends.where(F.col("ta").isin(True, False))
-    return wanted.join(texts.select(*place, "text"), list(place))
+    known = F.forall(F.array(*[F.col(c).isNotNull() for c in place]), lambda c: c)
+    wanted = ends.where(F.col("ta").isin(True, False) & known)
+    read = wanted.join(texts.select(*place, F.struct("text").alias("_read")), list(place), "left")
+    lost = F.raise_error(F.lit("no text at the end of an episode")).cast("string")
+    text = F.when(F.col("_read").isNull(), lost).otherwise(F.col("_read.text"))
+    return read.withColumn("text", text).drop("_read")
 
 
-def paired(ends: DataFrame, wanted: DataFrame, place: Sequence[str]) -> DataFrame:
-    """The two ends of each pair in one row again: (page_id, rev_id_ta, rev_id_tr, src_ta, src_tr).
-
-    ``wanted`` are the ends whose texts were looked for. One that has a place and is not among ``ends`` is an error:
-    the texts are not those that the pairs were found in.
-    """
+def paired(ends: DataFrame) -> DataFrame:
+    """The two ends of each pair in one row again: (page_id, rev_id_ta, rev_id_tr, src_ta, src_tr)."""
 
     def one(added: bool, column: str) -> Column:
         return F.any_value(F.when(F.col("ta") == added, F.col(column)), True)
 
-    def missing(added: bool) -> Column:
-        return ~F.bool_or((F.col("ta") == added) & F.col("_found"))
-
-    # Wanted ends come once more, so that a pair none of whose texts was found is a group, too.
-    placed = wanted.where(F.forall(F.array(*[F.col(c).isNotNull() for c in place]), lambda known: known))
-    kept = ["pair", "ta", "page_id", "rev_id"]
-    every = ends.select(*kept, "src", F.lit(True).alias("_found")).unionByName(
-        placed.select(*kept, F.lit(None).cast(ends.schema["src"].dataType).alias("src"), F.lit(False).alias("_found"))
-    )
-    lost = F.bool_or(~F.col("_found")) & (missing(True) | missing(False))
-
-    def whole(source: str) -> Column:
-        return F.when(F.col("_lost"), F.raise_error(F.lit("no text at the end of an episode"))).otherwise(F.col(source))
-
     return (
-        every.groupBy("pair")
+        ends.groupBy("pair")
         .agg(
             F.any_value("page_id").alias("page_id"),
             one(True, "rev_id").alias("rev_id_ta"),
             one(False, "rev_id").alias("rev_id_tr"),
             one(True, "src").alias("src_ta"),
             one(False, "src").alias("src_tr"),
-            lost.alias("_lost"),
         )
-        .withColumns({"src_ta": whole("src_ta"), "src_tr": whole("src_tr")})
-        .drop("pair", "_lost")
+        .drop("pair")
     )
 
 
@@ -172,7 +157,7 @@ def block_sources(
     wanted = _stored(pair_ends(found, place), f"{scratch}/ends")
     ends = at_ends(wanted, texts, place)
     sourced = ends.withColumn("src", extract_sources(F.col("text"), suffixes)).drop("text")
-    return with_closing_sources(paired(sourced, wanted, place))
+    return with_closing_sources(paired(sourced))
 
 
 def inline_sources_of(
@@ -186,7 +171,7 @@ def inline_sources_of(
     ends = at_ends(wanted, texts, place)
     marked = F.when(F.col("ta"), inline_sources(F.col("text"), template, suffixes))
     sourced = ends.withColumn("src", F.struct(marked.alias("src"), F.when(~F.col("ta"), F.col("text")).alias("text")))
-    pairs = paired(sourced, wanted, place)
+    pairs = paired(sourced)
     text = F.coalesce("src_tr.text", F.lit(""))
     still = F.filter("src_ta.src", lambda s: F.contains(text, s))
     kept = pairs.where(F.size("src_ta.src") > 0).select(

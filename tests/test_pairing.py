@@ -149,6 +149,22 @@ def test_texts_are_dropped_before_they_are_shuffled(spark, tmp_path):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_each_end_is_shuffled_once_to_meet_its_pair(spark, tmp_path):
+    """The exchange by pair carries two rows for each pair, and texts are no part of it."""
+    table(spark, [(1, k, k, T if k % 2 else GOOD) for k in range(50)]).write.parquet(str(tmp_path / "t"))
+    revisions = spark.read.parquet(str(tmp_path / "t"))
+    found = pairing._table_pairs(revisions, "Doubtful", str(tmp_path / "s"))
+    wanted = pairing._stored(pairing.pair_ends(found, pairing.TABLE_PLACE), str(tmp_path / "e"))
+    ends = pairing.at_ends(wanted, revisions, pairing.TABLE_PLACE)
+    sourced = ends.withColumn("src", pairing.extract_sources(F.col("text"), SHORT_SUFFIXES)).drop("text")
+    assert sourced.count() == wanted.count() == 2 * 24
+    pairs = pairing.paired(sourced)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and pairs.count() == 24
+    by_pair = [n for n in explained(spark, pairs) if ") Exchange" in n.splitlines()[0] and "pair#" in n.split("Arguments")[-1]]
+    assert len(by_pair) == 1 and "text" not in by_pair[0]
+
+
 @pytest.mark.parametrize("lost", [[1], [2], [1, 2]])
 def test_ends_without_text_are_an_error(spark, tmp_path, lost):
     """Pairs don't vanish if the texts are not where they were found; a revision without page has no place."""
