@@ -47,8 +47,11 @@ v as (select doc_id, i, array_to_string(words[i:i + 7], ' ') as win
 c as (select distinct doc_id, unnest(range(i, i + 8)) as place
     from (select doc_id, i, count(*) over (partition by doc_id, win) as n from v) where n > 1),
 r as (select doc_id, count(*) as n_repeat_words from c group by 1),
-l as (select doc_id, unnest(lines) as line from w),
-m as (select doc_id, line, lower(trim(line, ' ')) as low, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) as chars,
+l as (select doc_id, lines[i] as line, lines[i - 1] as before, lines[i + 1] as after
+    from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from w)),
+h as (select line from (select line, before, after, count(*) as n from l where length(line) < 200 group by all)
+    group by line having count(*) >= 20 and count(*) * 1000 >= (select count(*) from documents) and count(*) * 2 >= sum(n)),
+m as (select doc_id, line, line in (select line from h) as common, lower(trim(line, ' ')) as low, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) as chars,
     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols, length(regexp_replace(line, '[^|]', '', 'g')) as cells,
     length(regexp_replace(line, '[^!]', '', 'g')) as shouts,
     len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n from l),
@@ -56,6 +59,8 @@ f as (select doc_id, sum(n) as lost from m where symbols * 10 >= chars or (cells
     or (shouts >= 4 and shouts * 2 >= n)
     or length(line) <= 40 and low in ('home', 'menu', 'search', 'login', 'log in', 'sign in', 'sign up', 'register', 'next', 'previous',
         'back to top', 'read more', 'skip to content', 'share', 'print', 'contact', 'about', 'sitemap')
+    or common
+    or (length(line) < 200 and not regexp_matches(line, '[.!?…。！？]["'')\]}»”’]*[\x20\x09-\x0D]*\z'))
     or (length(line) < 200 and regexp_matches(low, 'javascript is disabled|enable javascript|lorem ipsum|all rights reserved|cookie policy|privacy policy|terms of use|terms of service|powered by'))
     group by 1),
 o as (select w.doc_id, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,

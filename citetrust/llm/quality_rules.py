@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citetrust.llm.work import stored
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -13,7 +15,11 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words in repeated windows
 MAX_LOST = 50  # percent of words in lines that fail
 NAVIGATION_CHARS = 40  # of a navigation line, at most
-BOILERPLATE_CHARS = 200  # a boilerplate line is shorter
+BOILERPLATE_CHARS = 200  # a boilerplate line, or one that lacks its end, is shorter
+# What a line of prose ends with, before closing quotes and brackets.
+SENTENCE_END = "[.!?\u2026\u3002\uff01\uff1f][\"')\\]}\u00bb\u201d\u2019]*[\\x20\\x09-\\x0D]*\\z"
+MIN_PLACES = 20  # different neighbours of a line that a table repeats
+DOCUMENTS_A_PLACE = 1000  # and one of these for each so many documents
 
 # Fixed words of navigation and boilerplate lines.
 NAVIGATION = ("home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous",
@@ -58,14 +64,17 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with words is noise: symbols after words, cells, shouting, navigation or boilerplate.
+    """Whether a line with words is noise: no end, symbols after words, cells, shouting, navigation or boilerplate.
 
+    A short line fails if it doesn't end as a sentence does; a long one may lack its last stop.
     Inside a lambda each mention of a step is worked out anew, so cheap conditions that few lines meet come first.
     """
     cells, shouts = count_of(line, "|"), count_of(line, "!")
     low = F.lower(F.trim(line))
+    short = F.length(line) < BOILERPLATE_CHARS
     return (
-        (
+        (short & ~line.rlike(SENTENCE_END))
+        | (
             line.rlike(f"[{SYMBOLS}]")
             & (
                 (count_of(line, SYMBOLS) * 10 >= F.length(F.translate(line, SPACE_CHARS, "")))
@@ -74,39 +83,83 @@ def line_fails(line: Column) -> Column:
         )
         | (F.contains(line, F.lit("!")) & (shouts >= 4) & (shouts * 2 >= F.size(words_of(line))))
         | ((F.length(line) <= NAVIGATION_CHARS) & low.isin(*NAVIGATION))
-        | ((F.length(line) < BOILERPLATE_CHARS) & F.greatest(*[F.contains(low, F.lit(b)) for b in BOILERPLATE]))
+        | (short & F.greatest(*[F.contains(low, F.lit(b)) for b in BOILERPLATE]))
+    )
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def short_lines(split: DataFrame) -> DataFrame:
+    """Short lines that don't fail by themselves: (line: digest, place: hash of both neighbours, key, pos, n words)."""
+
+    def described(line: Column, i: Column) -> Column:
+        before, after = (F.coalesce(F.get("lines", i + step), F.lit("\n")) for step in (-1, 1))
+        return F.struct(line.alias("text"), F.xxhash64(before, after).alias("place"), i.alias("pos"))
+
+    def judged(x: Column) -> Column:
+        return (F.length(x["text"]) < BOILERPLATE_CHARS) & ~line_fails(x["text"])
+
+    return split.select("key", F.inline(F.filter(F.transform("lines", described), judged))).select(
+        digest(F.col("text")).alias("line"), "place", "key", "pos", F.size(words_of(F.col("text"))).alias("n")
     )
 
 
+def common_lines(lines: DataFrame, documents: int) -> DataFrame:
+    """Lines that a table of so many documents repeats in place after place: (line).
+
+    A line is boilerplate if it has at least 20 different pairs of neighbours and one for each 1,000 documents, and
+    mostly new ones: a text that is copied takes its neighbours along, so lines of copies and near copies, and
+    inner lines of passages, are not. Occurrences are added up in each task first. As the number of places grows with the table, there
+    are no more such lines than 1,000 times the short lines of an average document, whatever the size.
+    """
+    places = lines.groupBy("line", "place").agg(F.count("*").alias("n"))
+    counted = places.groupBy("line").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
+    enough = (F.col("places") >= MIN_PLACES) & (F.col("places") * DOCUMENTS_A_PLACE >= documents)
+    return counted.where(enough & (F.col("places") * 2 >= F.col("n"))).select("line")
+
+
 def quality(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words).
 
-    Lines are judged first and removed if they fail; a document is then rejected if more than half of its words are
-    gone. A null or empty text has no words, fails the base rule and is not kept. Null ids stay null, repeated rows
-    are judged each, other columns are not read, an empty table gives none. One scan, no shuffle, no Python.
+    Lines are judged first, by themselves and by how the table repeats them, and removed if they fail; a document is
+    then rejected if more than half of its words are gone. A null or empty text has no words, fails the base rule and
+    is not kept. Null ids stay null, repeated rows are judged each and count each, other columns are not read, an empty
+    table gives none. Digests of short lines are stored below ``spark.checkpoint.dir`` and grouped; texts are read
+    twice and never shuffled. No Python.
     """
     text = F.coalesce("text", F.lit(""))
     # Arrays of words are computed once, below the projection that counts them.
     split = documents.select("doc_id", text.alias("text")).select(
         "doc_id",
         "text",
+        digest(F.col("text")).alias("key"),
         words_of(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
     )
+    lines = stored(short_lines(split), "lines")
+    # A line of one text is the same in all copies of the text.
+    repeated = lines.join(common_lines(lines, documents.count()), "line").dropDuplicates(["key", "pos"])
+    by_table = repeated.groupBy("key").agg(F.sum("n").alias("_by_table"))
     lost = F.aggregate(
         F.filter("lines", line_fails), F.lit(0), lambda n, line: n + F.size(words_of(line))
     )
     counted = split.select(
         "doc_id",
+        "key",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.translate("text", SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("bigint").alias("n_repeat_words"),
-        lost.cast("bigint").alias("n_lost_words"),
+        lost.cast("bigint").alias("_by_itself"),
+    )
+    judged = counted.join(by_table, "key", "left").withColumn(
+        "n_lost_words", F.col("_by_itself") + F.coalesce("_by_table", F.lit(0))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).select(
+    return judged.withColumn("base_failed", failed).select(
         "doc_id",
         "n_words",
         "word_chars",

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -210,6 +211,36 @@ def test_line_rules_judge_lines_first(spark):
     assert kept[1] == (True, 0) and kept[2] == (True, 4) and not kept[3][0] and not kept[4][0] and not kept[5][0]
 
 
+def test_line_rules_on_how_lines_end(spark):
+    rng = random.Random(4)
+    line = lambda end: " ".join(f"word{rng.randrange(900)}" for _ in range(9)) + end
+    ends = [".", "!", "?", "\u2026", "\u3002", '."', "?)", ".\u00bb \t"]
+    rows = [(1, "\n".join(map(line, ends))), (2, "\n".join(map(line, ["", ",", ":", " -", ")", ". a", ".", "."]))),
+            (3, " ".join(line("") for _ in range(6)))]
+    found = {r.doc_id: (r.kept, r.n_lost_words) for r in quality_rules.quality(frame(spark, rows)).collect()}
+    # Line 4 of text 2 has a word more, and so has line 6; the long line of text 3 may lack its end.
+    assert found == {1: (True, 0), 2: (False, 56), 3: (True, 0)}
+
+
+def test_line_rules_on_lines_that_a_table_repeats(spark):
+    """What many different texts repeat is lost; lines of copies and near copies, and inner lines of passages, are not."""
+    rng = random.Random(5)
+    line = lambda: " ".join(f"word{rng.randrange(9000)}" for _ in range(8)) + "."
+    notice, copy, passage = "All texts by us.", "\n".join(line() for _ in range(4)), "\n".join(line() for _ in range(5))
+    rows = [(k, f"{line()}\n{notice}\n{line()}\n{line()}") for k in range(30)]  # 4 of 28 words
+    rows += [(100 + k, copy) for k in range(200)] + [(None, copy), (100, copy)]
+    rows += [(400 + k, f"{copy}\n{line()}") for k in range(30)]  # near copies
+    rows += [(500 + k, f"{line()}\n{passage}\n{line()}") for k in range(30)]
+    rows += [(600, "\n".join([line()] + [notice] * 8 + [line(), line()]))] * 2  # 32 of 56 words, in both rows
+    docs = frame(spark, rows).withColumn("line", F.lit("x")).withColumn("n", F.lit(1))
+    got = [(r.doc_id, r.kept, r.n_lost_words) for r in quality_rules.quality(docs.repartition(7)).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    # The middle lines of a passage keep their neighbours; its first and last line meet new ones.
+    expected = [(k, True, 4) for k in range(30)] + [(100 + k, True, 0) for k in range(200)] + [(None, True, 0), (100, True, 0)]
+    expected += [(400 + k, True, 0) for k in range(30)] + [(500 + k, True, 16) for k in range(30)] + [(600, False, 32)] * 2
+    assert sorted(got, key=order) == sorted(expected, key=order)
+
+
 def test_url_rules(spark):
     rng = random.Random(3)
     urls = [None, "", "no scheme", "http://", "http://ORG", "https://a.org/x?y://z", "x://example.org/en/12#f", "http://.org/",
