@@ -23,41 +23,48 @@ LETTER[ord("a") : ord("z") + 1] = True
 LETTER[0x80:] = True
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """``data`` without the case of ASCII and Latin letters."""
+    low = LOWER[data]
+    upper = np.zeros(len(low), bool)
+    upper[1:] = (low[:-1] == 0xC3) & UPPER_LATIN[low[1:]]
+    low[upper] += 0x20
+    return low
+
+
+def kinds(padded: np.ndarray, starts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of 1, 2 and 3 bytes that begin among the first ``starts`` bytes, and where."""
+    solid = padded != 0x20
+    one = np.flatnonzero(solid[:starts])
+    found = [(padded[one] | 1 << 8, one)]
+    two = np.flatnonzero((solid[:-1] | solid[1:])[:starts])
+    found.append((padded[two] << 8 | padded[two + 1] | 1 << 16, two))
+    if len(padded) >= 3:
+        three = np.flatnonzero(solid[1:-1][:starts])
+        found.append((padded[three] << 16 | padded[three + 1] << 8 | padded[three + 2] | 1 << 24, three))
+    return found
+
+
 def ngrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of 1 to 3 bytes within words, with a blank at both ends of a word, and where each text's begin.
 
     Words are runs of letters; letters are a-z, after dropping the case of ASCII and Latin letters, and all bytes
     from 0x80 on. An n-gram is its bytes as one number, with a bit for its length above them.
     """
-    low = LOWER[data]
-    upper = np.zeros(len(low), bool)
-    upper[1:] = (low[:-1] == 0xC3) & UPPER_LATIN[low[1:]]
-    low[upper] += 0x20
+    low = folded(data)
     letter = LETTER[low]
     # A blank goes before each text and after the last; other bytes that aren't letters are blanks, too.
     place = np.arange(len(low)) + np.repeat(np.arange(1, len(at)), np.diff(at))
     padded = np.full(len(low) + len(at), 0x20, np.int32)
     padded[place[letter]] = low[letter]
-    solid = padded != 0x20
-    n = len(padded)
     edge = at + np.arange(len(at))
-    made, wheres = [], []
-    one = np.flatnonzero(solid)
-    made.append(padded[one] | 1 << 8)
-    wheres.append(one)
-    two = np.flatnonzero(solid[:-1] | solid[1:])
-    made.append(padded[two] << 8 | padded[two + 1] | 1 << 16)
-    wheres.append(two)
-    if n >= 3:
-        three = np.flatnonzero(solid[1:-1])
-        made.append(padded[three] << 16 | padded[three + 1] << 8 | padded[three + 2] | 1 << 24)
-        wheres.append(three)
+    found = kinds(padded, len(padded))
     # Each kind is in the order of texts; put the kinds of a text side by side.
-    bounds = [np.searchsorted(w, edge) for w in wheres]
+    bounds = [np.searchsorted(where, edge) for _, where in found]
     total = sum(bounds)
     out = np.empty(int(total[-1]), np.int32)
     before = total.copy()
-    for codes, b in zip(made, bounds, strict=True):
+    for (codes, _), b in zip(found, bounds, strict=True):
         sizes = np.diff(b)
         to = np.repeat(before[:-1] - b[:-1], sizes) + np.arange(len(codes))
         out[to] = codes
@@ -65,6 +72,37 @@ def ngrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
+Counts = tuple[np.ndarray, np.ndarray]  # n-grams in order, and how often each comes
+
+
+def added(a: Counts | None, b: Counts) -> Counts:
+    if a is None:
+        return b
+    codes, index = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return codes, np.bincount(index, np.concatenate([a[1], b[1]])).astype(np.int64)
+
+
+def counted(data: np.ndarray, size: int) -> Counts:
+    """The n-grams of one text, however long, counted ``size`` bytes at a time.
+
+    A part takes the two bytes behind it along, so that each n-gram counts once, where it begins. Besides the text this
+    needs memory for one part and for the different n-grams, of which letters form less than 4 million.
+    """
+    n = len(data) + 2  # with a blank at both ends
+    sums = None
+    for begin in range(0, n, size):
+        end = min(begin + size, n)
+        behind = min(end + 2, n)
+        first, last = max(begin - 1, 0), min(behind - 1, len(data))
+        lead = min(first, 1)  # the case of a byte depends on the one before it
+        low = folded(data[first - lead : last])[lead:]
+        padded = np.full(behind - begin, 0x20, np.int32)
+        padded[first + 1 - begin : last + 1 - begin] = np.where(LETTER[low], low, 0x20)
+        codes = np.concatenate([c for c, _ in kinds(padded, end - begin)])
+        sums = added(sums, np.unique(codes, return_counts=True))
+    return sums
+
+
 def most_frequent(codes: np.ndarray, at: np.ndarray, ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams of each text, the smaller number first among equals, and where each text's begin."""
     found, begin = [], [0]
@@ -79,6 +117,15 @@ def most_frequent(codes: np.ndarray, at: np.ndarray, ranks: int = RANKS) -> tupl
     return (np.concatenate(found) if found else codes[:0]), np.array(begin)
 
 
+def profiles_of(data: np.ndarray, at: np.ndarray, ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of each text and where each text's begin; a long text is counted in parts."""
+    if len(at) == 2 and len(data) > PART_BYTES:
+        codes, often = counted(data, PART_BYTES)
+        top = codes[np.argsort(-often, kind="stable")[:ranks]]
+        return top, np.array([0, len(top)])
+    return most_frequent(*ngrams(data, at), ranks)
+
+
 def learn_profiles(labelled: DataFrame, ranks: int = RANKS) -> dict[str, list[int]]:
     """The profile of each language in ``labelled`` (text, lang): its most frequent n-grams over all its texts.
 
@@ -86,19 +133,19 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS) -> dict[str, list[in
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[str, Counts] = {}
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
-                codes, at = ngrams(*utf8(part.column(0)))
+                data, at = utf8(part.column(0))
+                if part.num_rows == 1 and len(data) > PART_BYTES:
+                    lang = part.column(1)[0].as_py()
+                    sums[lang] = added(sums.get(lang), counted(data, PART_BYTES))
+                    continue
+                codes, at = ngrams(data, at)
                 langs = np.array(part.column(1).to_pylist(), object)
                 text = np.repeat(np.arange(part.num_rows), np.diff(at))
                 for lang in set(langs.tolist()):
-                    own, n = np.unique(codes[(langs == lang)[text]], return_counts=True)
-                    if lang in sums:
-                        old, m = sums[lang]
-                        own, index = np.unique(np.concatenate([old, own]), return_inverse=True)
-                        n = np.bincount(index, np.concatenate([m, n])).astype(np.int64)
-                    sums[lang] = own, n
+                    sums[lang] = added(sums.get(lang), np.unique(codes[(langs == lang)[text]], return_counts=True))
         for lang, (own, n) in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(own), pa.string()), pa.array(own, pa.int32()), pa.array(n, pa.int64())],
@@ -136,10 +183,11 @@ def predict(texts: pa.Array, profiles: dict[str, list[int]], ranks: int = RANKS)
     """The predicted language of each text, and its score."""
     names = sorted(profiles)
     data, at = utf8(texts)
-    top, begin = most_frequent(*ngrams(data, at), ranks)
-    plain = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(LETTER[LOWER[data]] & (data < 0x80), out=plain[1:])
-    letters = plain[at[1:]] > plain[at[:-1]]
+    top, begin = profiles_of(data, at, ranks)
+    letters = np.zeros(len(texts), bool)
+    for a in range(0, len(data), PART_BYTES):
+        plain = a + np.flatnonzero((LETTER[LOWER[data[a : a + PART_BYTES]]]) & (data[a : a + PART_BYTES] < 0x80))
+        letters |= np.diff(np.searchsorted(plain, at)) > 0
     for k in np.flatnonzero(~letters).tolist():
         letters[k] = at[k + 1] > at[k] and has_letter(texts[k].as_py())
     size = np.diff(begin)
@@ -157,7 +205,8 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], ranks: int =
 
     ``score`` is 1 for a text ranked as the profile is, 0 for one without any of its n-grams. Equally near languages:
     the first by name. A null text, one without a letter, or no profile at all gives ``und`` and 0. Null ids stay
-    null, repeated rows are judged each, other columns are not read. One scan, no shuffle.
+    null, repeated rows are judged each, other columns are not read. One scan, no shuffle. A text over 1 MB is counted
+    in parts: it takes a worker its own bytes and a bounded rest.
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:

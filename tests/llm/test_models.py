@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -176,6 +177,55 @@ def test_language_by_plain_profiles(spark):
     assert {r.lang_pred for r in language.learn_and_identify(docs.where("lang is null")).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_ngrams_of_a_text_in_parts(monkeypatch, size):
+    """Counted in parts, a text has the n-grams that it has as a whole, also if parts end in words and letters."""
+    rng = random.Random(size)
+    for text in ["", "a", "É", " ", "ab", "Éa", "日本語", *("".join(rng.choice("aÉ ß日-B\n") for _ in range(90)) for _ in range(20))]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        codes, _ = language.ngrams(data, np.array([0, len(data)]))
+        own, often = np.unique(codes, return_counts=True)
+        got = language.counted(data, size)
+        assert got[0].tolist() == own.tolist() and got[1].tolist() == often.tolist()
+        whole = language.profiles_of(data, np.array([0, len(data)]))
+        with monkeypatch.context() as patch:
+            patch.setattr(language, "PART_BYTES", size)
+            parts = language.profiles_of(data, np.array([0, len(data)]))
+        assert [x.tolist() for x in parts] == [x.tolist() for x in whole]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdeé ", "日本語"])
+def test_language_of_a_very_long_text_in_bounded_memory(alphabet):
+    """64 MB; once with words, once without any blank. Repeating a part doesn't change the ranks inside it."""
+    rng = random.Random(3)
+    part = "".join(rng.choice(alphabet) for _ in range(30000))
+    part += " " if " " in alphabet else part[:2]
+    times = (64 << 20) // len(part.encode()) + 1
+    data = np.frombuffer(part.encode() * times, np.uint8)
+    at = np.array([0, len(data)])
+    tracemalloc.start()
+    top, begin = language.profiles_of(data, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20 and begin.tolist() == [0, len(top)]
+    if " " in alphabet:
+        small = np.frombuffer(part.encode(), np.uint8)
+        assert top.tolist() == language.profiles_of(small, np.array([0, len(small)]))[0].tolist()
+
+
+def test_language_of_long_texts_in_spark(spark):
+    """Long rows learn and are judged as their parts put together would be; parts of 1 MB meet in one row."""
+    rng = random.Random(8)
+    texts = [(k, " ".join(rng.choice(w) for _ in range(420000)), lang) for k, (lang, w) in
+             enumerate([("aa", ["Élan", "été", "où"]), ("bb", ["the", "of", "it's"])])]
+    assert all(len(t.encode()) > language.PART_BYTES for _, t, _ in texts)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    profiles = language.learn_profiles(docs)
+    assert profiles == {lang: language.most_frequent(*language.ngrams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))[0].tolist()
+                        for _, t, lang in texts}
+    assert [tuple(r)[1:] for r in language.identify(docs, profiles).orderBy("doc_id").collect()] == [("aa", 1.0), ("bb", 1.0)]
+
+
 def plain_rules(text: str | None) -> tuple:
     words = (text or "").encode().split()
     windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
