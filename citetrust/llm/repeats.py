@@ -18,17 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citetrust.llm.words import Rolling, mix
-from citetrust.llm.work import by_slices, slices, stored, utf8
+from citetrust.llm.work import by_slices, slices, small_batches, stored, utf8
 
 LENGTH = 50  # bytes of a repeat
 ANCHOR = 24  # bytes of an anchor
 BUCKET_ENTRIES = 800_000  # anchors of a bucket, about
 RANGES = 8  # parts of a bucket that are looked at one after the other
 SUFFIX_BYTES = 1 << 20  # of surroundings that are sorted at once, about; an anchor with more of them is common
+SORT_BYTES = 1 << 18  # of surroundings that are sorted at once if their anchors allow it: what stays in a core's cache
 SAMPLE = 16  # texts are counted where their hash modulo this is 0
 SLOT_BITS = 24  # common anchors are told to tasks as one of so many bits each: 2 MB at any size of the corpus
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
@@ -88,14 +90,75 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.append(np.flatnonzero(first)[1:] - 1, len(ends) - 1)]
 
 
-def span_rows(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """(owner, starts, ends) for each owner in ``owner``, merged."""
-    order = np.argsort(owner, kind="stable")
+def bits_of(x: np.ndarray) -> int:
+    """How many bits the largest of these numbers (none below 0) takes."""
+    return int(x.max()).bit_length() if len(x) else 0
+
+
+def packed_order(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by ``keys`` (numbers from 0 on, the first key counts most).
+
+    If the keys and a place fit 64 bits, numbers of both are sorted, which is much faster than to sort places by keys.
+    """
+    n = len(keys[0])
+    widths = [bits_of(k) for k in keys]
+    places = max(n - 1, 0).bit_length()
+    if sum(widths) + places > 64:
+        return np.lexsort(keys[::-1])
+    packed = np.zeros(n, np.uint64)
+    for key, width in zip(keys, widths, strict=True):
+        packed = packed << np.uint64(width) | key.astype(np.uint64)
+    packed = packed << np.uint64(places) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << places) - 1)).astype(np.int64)
+
+
+def hash_order(anchor: np.ndarray, around: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order by (anchor, around, owner) of 64-bit hashes: by the anchors' upper bits, then what agrees in these."""
+    if not len(anchor):
+        return np.zeros(0, np.int64)
+    above = anchor - anchor.min()
+    drop = max(0, bits_of(above) + (len(anchor) - 1).bit_length() - 64)
+    above >>= np.uint64(drop)
+    order = packed_order(above)
+    above = above[order]
+    same = above[1:] == above[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    part = order[tied]
+    order[tied] = part[np.lexsort([owner[part], around[part], anchor[part]])]
+    return order
+
+
+def distinct_keys(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of id and text hash, and the number of each row's pair among them."""
+    order = np.lexsort([hashes, ids])
+    one, two = ids[order], hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return one[new], two[new], number
+
+
+def chunks(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Numbers as binary values, of the numbers from each place in ``cut`` to the next."""
+    raw = pa.py_buffer(np.ascontiguousarray(values, "<i8"))
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 8).astype(np.int32)), raw])
+
+
+def span_rows(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(owners, their starts, their ends): the spans of each owner in ``owner`` (numbers from 0 on), as ``runs`` merges them."""
+    order = packed_order(owner, starts)
     owner, starts, ends = owner[order], starts[order], ends[order]
+    # One owner's spans lie behind all of the owner before.
+    shift = owner * (int(ends.max()) + 1 if len(ends) else 0)
+    starts, ends = starts + shift, np.maximum.accumulate(ends + shift)
+    first = np.ones(len(owner), bool)
+    first[1:] = starts[1:] > ends[:-1]
+    last = np.append(first[1:], np.ones(min(len(owner), 1), bool))
+    starts, ends, owner = (starts - shift)[first], (ends - shift)[last], owner[first]
     cut = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        s, e = runs(starts[a:b], ends[a:b])
-        yield int(owner[a]), s.astype("<i8").tobytes(), e.astype("<i8").tobytes()
+    return owner[cut[:-1]], chunks(starts, cut), chunks(ends, cut)
 
 
 # Rows between the steps: a block of anchors (bucket >= 0), or spans of one text that are settled (bucket < 0).
@@ -103,7 +166,7 @@ BLOCK = (
     "bucket bigint, anchors binary, surroundings binary, text binary, place binary, lead binary, tail binary, "
     "ids binary, hashes binary"
 )
-FOUND = "id bigint, text_hash bigint, starts binary, ends binary, anchor bigint, target boolean"
+FOUND = "id bigint, text_hash bigint, starts binary, ends binary, place bigint, anchor bigint, target bigint"
 
 
 def _names(schema: str) -> list[str]:
@@ -111,12 +174,29 @@ def _names(schema: str) -> list[str]:
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.split(", ")]
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _names(schema))
 
 
+def _spans(ids: np.ndarray, hashes: np.ndarray, starts: pa.Array, ends: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), starts, ends], _names(SPANS))
+
+
+def _found(spans: pa.RecordBatch) -> pa.RecordBatch:
+    """Spans that are settled as rows of FOUND."""
+    return pa.RecordBatch.from_arrays([*spans.columns, *[pa.nulls(spans.num_rows, pa.int64())] * 3], _names(FOUND))
+
+
+def _asked(ids: np.ndarray, hashes: np.ndarray, *asked: np.ndarray) -> pa.RecordBatch:
+    """(place, anchor, target) to compare as rows of FOUND."""
+    none = [pa.nulls(len(ids), pa.binary())] * 2
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(hashes), *none, *[pa.array(x.astype(np.int64)) for x in asked]], _names(FOUND)
+    )
+
+
 class _Part:
     """Anchors of the texts of a part (id, text_hash, text); of equal texts, those of the earliest."""
 
@@ -154,7 +234,7 @@ class _Part:
     def sorted(self, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """``found`` in order of (anchor, around, owner), and whether an earlier text of the part has the same."""
         owner, anchor, around = self.ids[found[1]], found[4], found[5]
-        order = np.lexsort([owner, around, anchor])
+        order = hash_order(anchor, around, owner)
         found, owner = tuple(x[order] for x in found), owner[order]
         anchor, around = found[4], found[5]
         same = np.append(np.zeros(min(len(order), 1), bool), (anchor[1:] == anchor[:-1]) & (around[1:] == around[:-1]))
@@ -210,7 +290,8 @@ def _anchor_blocks(length: int, width: int, buckets: int, common: np.ndarray, st
         out = []
         if settled.any():
             k = text[settled]
-            for t, s, e in span_rows(k, low[settled] - at[k], high[settled] - at[k]):
+            rows = span_rows(k, low[settled] - at[k], high[settled] - at[k])
+            for t, s, e in zip(rows[0].tolist(), rows[1].to_pylist(), rows[2].to_pylist(), strict=True):
                 out.append((-1 - t, None, None, None, None, s, e, ids[t].tobytes(), text_hash[t].tobytes()))
         keep = ~settled
         place, text, low, high, anchor, around = (x[keep] for x in (place, text, low, high, anchor, around))
@@ -255,17 +336,16 @@ def _settle(buckets: int):
         base = np.cumsum([0, *map(len, ids)]).tolist()
         ids, hashes = np.concatenate(ids), np.concatenate(hashes)
         # One number for each text, though several blocks may have it.
-        keys, number = np.unique(np.stack([ids, hashes]), axis=1, return_inverse=True)
-        number = number.reshape(-1)
+        *keys, number = distinct_keys(ids, hashes)
         for k in range(RANGES):
             parts = [(b, c[k], c[k + 1], base[j], base[j + 1]) for j, (b, c) in enumerate(zip(blocks, cuts, strict=True))]
             parts = [p for p in parts if p[1] < p[2]]
             if parts:
-                yield settle_range(parts, ids, keys, number, compare)
+                yield from settle_range(parts, ids, keys, number, compare)
 
     def settle_range(
-        parts: list[tuple], ids: np.ndarray, keys: np.ndarray, number: np.ndarray, compare: bool
-    ) -> pa.RecordBatch:
+        parts: list[tuple], ids: np.ndarray, keys: list[np.ndarray], number: np.ndarray, compare: bool
+    ) -> Iterator[pa.RecordBatch]:
         anchor = np.concatenate([unpack48(b["anchors"], x, y) for b, x, y, _, _ in parts])
         around = np.concatenate([unpack48(b["surroundings"], x, y) for b, x, y, _, _ in parts])
         place = np.concatenate([np.frombuffer(b["place"], "<u4")[x:y] for b, x, y, _, _ in parts]).astype(np.int64)
@@ -279,7 +359,7 @@ def _settle(buckets: int):
             ]
         )
         owner = ids[text]
-        order = np.lexsort([owner, around, anchor])
+        order = hash_order(anchor, around, owner)
         anchor, around, place, lead, tail, text, owner = (
             x[order] for x in (anchor, around, place, lead, tail, text, owner)
         )
@@ -291,17 +371,12 @@ def _settle(buckets: int):
         target = ~settled & (owner > earliest) & compare
         wanted = np.bincount(np.cumsum(new_anchor) - 1, target) > 0
         source = ~settled & wanted[np.cumsum(new_anchor) - 1] & new_kind
-        out = []
         k = number[text]
         at = place[settled]
-        for t, s, e in span_rows(k[settled], at - lead[settled], at + tail[settled]):
-            out.append((int(keys[0, t]), int(keys[1, t]), s, e, None, None))
+        t, starts, ends = span_rows(k[settled], at - lead[settled], at + tail[settled])
+        yield _found(_spans(keys[0][t], keys[1][t], starts, ends))
         ask = np.flatnonzero(target | source)
-        for t, p, a, is_target in zip(
-            k[ask].tolist(), place[ask].tolist(), anchor[ask].astype(np.int64).tolist(), target[ask].tolist(), strict=True
-        ):
-            out.append((int(keys[0, t]), int(keys[1, t]), np.int64(p).tobytes(), None, a, is_target))
-        return _rows(out, FOUND)
+        yield _asked(keys[0][k[ask]], keys[1][k[ask]], place[ask], anchor[ask].view(np.int64), target[ask])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -311,7 +386,7 @@ def _settle(buckets: int):
                 block = dict(zip(names, row, strict=True))
                 if block["bucket"] < 0:
                     key = (int(np.frombuffer(block[c], np.int64)[0]) for c in ("ids", "hashes"))
-                    yield _rows([(*key, block["lead"], block["tail"], None, None)], FOUND)
+                    yield _found(_rows([(*key, block["lead"], block["tail"])], SPANS))
                     continue
                 if block["bucket"] != bucket:
                     if held:
@@ -324,6 +399,15 @@ def _settle(buckets: int):
     return run
 
 
+def ranked(value: np.ndarray) -> np.ndarray:
+    """Ranks of ``value`` from 1 on; equal ones share a rank."""
+    order = packed_order(value)
+    there = value[order]
+    rank = np.empty(len(value), np.int64)
+    rank[order] = np.cumsum(np.append(np.ones(min(len(value), 1), bool), there[1:] != there[:-1]))
+    return rank
+
+
 def suffix_levels(data: np.ndarray, at: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
     """Ranks of all suffixes of the texts by their first bytes, for a few widths up to ``depth``: (width, ranks).
 
@@ -332,19 +416,19 @@ def suffix_levels(data: np.ndarray, at: np.ndarray, depth: int) -> list[tuple[in
     """
     end = np.repeat(at[1:], np.diff(at))
     here = np.arange(len(data))
-    wide = min(depth, 7)
+    wide = min(depth, 5)  # with the place of a suffix still one number, see packed_order
     first = data.astype(np.int64) + 1
     value = first.copy()
     for k in range(1, wide):
         value *= 257
         value[: len(data) - k] += np.where(here[: len(data) - k] + k < end[: len(data) - k], first[k:], 0)
-    rank, done = np.unique(value, return_inverse=True)[1].reshape(-1) + 1, wide
+    rank, done = ranked(value), wide
     levels = [(done, rank)]
     while done < depth:
         step = min(done, depth - done)
         there = here + step
         second = np.where(there < end, rank[np.minimum(there, len(rank) - 1)], 0)
-        rank = np.unique(rank * (int(rank.max()) + 1) + second, return_inverse=True)[1].reshape(-1) + 1
+        rank = ranked(rank * (int(rank.max()) + 1) + second)
         done += step
         levels.append((done, rank))
     return levels
@@ -404,8 +488,9 @@ def longest_previous_factors(
     width). Only those that are ``asked`` for get one, others 0.
     """
     rank = levels[-1][1][place]
-    order = np.lexsort([owner, rank, group])
-    number = np.unique(owner, return_inverse=True)[1].reshape(-1).astype(np.int32)[order]
+    number = np.unique(owner, return_inverse=True)[1].reshape(-1)
+    order = packed_order(group, rank, number)
+    number = number.astype(np.int32)[order]
     edge = np.append(True, group[order][1:] != group[order][:-1])
     begin = np.flatnonzero(edge)[np.cumsum(edge) - 1]
     last = np.append(np.flatnonzero(edge)[1:], len(order))[np.cumsum(edge) - 1]
@@ -429,8 +514,8 @@ def _surroundings(length: int, width: int, buckets: int):
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = utf8(part.column(2))
-        counts = np.array([len(x) for x in part.column(3).to_pylist()], np.int64)
-        flat = [np.array([v for x in part.column(k).to_pylist() for v in x], np.int64) for k in (3, 4, 5)]
+        counts = pc.list_value_length(part.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = [part.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4, 5)]
         text = np.repeat(np.arange(part.num_rows), counts)
         place = flat[0] + at[text]
         low, high = np.maximum(place - length + width, at[text]), np.minimum(place + length, at[text + 1])
@@ -461,13 +546,14 @@ def _compare(length: int):
         at = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=at[1:])
         order = np.argsort(anchor, kind="stable")
-        # Whole groups of anchors, as many as fit SUFFIX_BYTES.
+        # Whole groups of anchors, as many as fit.
+        most = min(SORT_BYTES, SUFFIX_BYTES)
         sums = np.cumsum(size[order])
         edge = np.append(np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[0]] - 1)), len(order))
         begin = 0
         while begin < len(edge) - 1:
             base = sums[edge[begin] - 1] if edge[begin] else 0
-            end = max(begin + 1, int(np.searchsorted(sums[edge[1:] - 1], base + SUFFIX_BYTES)))
+            end = max(begin + 1, int(np.searchsorted(sums[edge[1:] - 1], base + most)))
             k = order[edge[begin] : edge[end]]
             begin = end
             n = size[k]
@@ -484,14 +570,10 @@ def _compare(length: int):
             factors = longest_previous_factors(levels, own, to, full, group, ids[k][row], target[k][row] > 0)
             hit = factors >= length
             row, start = row[hit], start[hit]
-            key, _, number = np.unique(
-                np.stack([ids[k], hashes[k]]), axis=1, return_index=True, return_inverse=True
-            )
+            *key, number = distinct_keys(ids[k], hashes[k])
             begin_at = place[k][row] - lead[k][row] + start
-            yield _rows(
-                [(int(key[0, t]), int(key[1, t]), s, e)
-                 for t, s, e in span_rows(number.reshape(-1)[row], begin_at, begin_at + length)], SPANS
-            )
+            t, starts, ends = span_rows(number[row], begin_at, begin_at + length)
+            yield _spans(key[0][t], key[1][t], starts, ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -531,8 +613,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, width: int = ANCH
     found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), FOUND)
     found = stored(found, "anchors")
     asked = found.where("anchor is not null").groupBy(*KEYS).agg(
-        F.collect_list(F.struct(_from_number(F.col("starts")).alias("place"), "anchor", F.col("target").cast("bigint").alias("target")))
-        .alias("asked")
+        F.collect_list(F.struct("place", "anchor", "target")).alias("asked")
     )
     asked = rows.join(asked, KEYS).select(
         *KEYS, "text", F.col("asked.place"), F.col("asked.anchor"), F.col("asked.target")
@@ -556,7 +637,9 @@ def _common_anchors(rows: DataFrame, length: int, width: int) -> tuple[np.ndarra
     counts = sample.mapInArrow(_counted(length, width), "anchor bigint, slot bigint, n bigint")
     counts = counts.groupBy("anchor", "slot").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     one = F.expr("shiftleft(1L, cast(slot % 32 as int))")
-    words = counts.groupBy(F.floor(F.col("slot") / 32).alias("word")).agg(F.bit_or(one).alias("bits"), F.sum("n").alias("n")).collect()
+    words = counts.groupBy(F.floor(F.col("slot") / 32).alias("word")).agg(F.bit_or(one).alias("bits"), F.sum("n").alias("n"))
+    with small_batches(rows.sparkSession):
+        words = words.collect()
     if not words:
         return np.zeros(0, np.uint8), 0
     common = np.zeros(1 << (SLOT_BITS - 5), "<u4")
@@ -570,11 +653,6 @@ def _number(x: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
 
 
-def _from_number(x: Column) -> Column:
-    h = F.hex(x)
-    return F.conv(F.concat(*[F.substring(h, 15 - 2 * k, 2) for k in range(8)]), 16, 10).cast("bigint")
-
-
 def _with_spans(documents: DataFrame, length: int, width: int) -> DataFrame:
     """``documents`` with (STARTS, ENDS), arrays of binary pieces, null where nothing is repeated."""
     spans = repeated_spans(documents, length, width).groupBy(*KEYS).agg(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrust.session import scratch_folder
@@ -17,6 +18,20 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),  # for a worker, whatever the length of texts
 }
 SLICE_BYTES = 1 << 20
+SMALL_SLICE_BYTES = 1 << 18  # where texts are judged one by one, so that slices save nothing but calls
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold for what runs inside; afterwards the session is as before."""
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    try:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,14 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}"
-    before = {key: spark.conf.get(key, None) for key in SETTINGS}
-    try:
-        for key, value in SETTINGS.items():
-            spark.conf.set(key, value)
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

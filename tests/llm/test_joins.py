@@ -282,3 +282,32 @@ def test_long_words_are_told_apart(spark):
     got = {r.doc_id: r for r in ngram_join.join(frame(spark, rows), width=3, percent=90).collect()}
     for k, text in rows:
         assert got[k].component_id == min(j for j, other in rows if other == text)
+
+
+def test_orders_and_spans_without_loops():
+    """Against numpy's own sort and the plain merge, also where keys don't fit 64 bits or there is nothing to sort."""
+    rng = np.random.default_rng(6)
+    for n, most in ((0, 5), (1, 5), (400, 9), (400, 1 << 62)):
+        keys = [rng.integers(0, most, n) for _ in range(3)]
+        assert repeats.packed_order(*keys).tolist() == np.lexsort(keys[::-1]).tolist()
+        hashes = [k.astype(np.uint64) * np.uint64(1 + 2 * (most < 10)) for k in keys[:2]]
+        assert repeats.hash_order(*hashes, keys[2]).tolist() == np.lexsort([keys[2], *hashes[::-1]]).tolist()
+        starts = rng.integers(0, 60, n)
+        owner, ends = keys[0] % 7, starts + rng.integers(1, 9, n)
+        found = repeats.span_rows(owner, starts, ends)
+        assert found[0].tolist() == sorted(set(owner.tolist()))
+        for t, s, e in zip(found[0], *(x.to_pylist() for x in found[1:]), strict=True):
+            want = repeats.runs(starts[owner == t], ends[owner == t])
+            assert [np.frombuffer(x, "<i8").tolist() for x in (s, e)] == [x.tolist() for x in want]
+
+
+def test_few_suffixes_are_sorted_at_once(monkeypatch):
+    """Anchors of 4 rows each: what is sorted together stays within a core's cache (it was 1 MB before)."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abcdefgh", k=76)) for _ in range(1 << 12)] * 2
+    n, plain, sizes = len(texts), repeats.suffix_levels, []
+    lists = [[k // 4 for k in range(n)], list(range(n)), list(range(n)), [26] * n, [26] * n, [1] * n, [76] * n]
+    row = (0, *[np.array(x, np.int64).tobytes() for x in lists], b"".join(texts))
+    monkeypatch.setattr(repeats, "suffix_levels", lambda data, at, depth: sizes.append(len(data)) or plain(data, at, depth))
+    list(repeats._compare(50)(iter([repeats._rows([row], repeats.AROUND)])))
+    assert sum(sizes) == 76 * n and max(sizes) <= 1 << 18
