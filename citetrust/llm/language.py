@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from citetrust.llm.tokens import UPPER_LATIN
 from citetrust.llm.words import LOWER
-from citetrust.llm.work import by_slices, held_out, slices, utf8
+from citetrust.llm.work import SMALL_SLICE_BYTES, by_slices, held_out, slices, small_batches, utf8
 
-PART_BYTES = 1 << 20  # of text at a time; its n-grams take some 60 times as much
+PART_BYTES = SMALL_SLICE_BYTES  # of text at a time; its n-grams take some 60 times as much
 RANKS = 300  # n-grams of a profile
 UNKNOWN = "und"
 LEAST = 0.1  # score of a text that is taken to be in its language
@@ -157,7 +157,9 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS) -> dict[str, list[in
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= ranks)
     profiles: dict[str, list[int]] = {}
-    for row in best.orderBy("lang", "rank").collect():
+    with small_batches(labelled.sparkSession):
+        rows = best.orderBy("lang", "rank").collect()
+    for row in rows:
         profiles.setdefault(row["lang"], []).append(row["code"])
     return profiles
 
@@ -205,7 +207,7 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], ranks: int =
 
     ``score`` is 1 for a text ranked as the profile is, 0 for one without any of its n-grams. Equally near languages:
     the first by name. A null text, one without a letter, or no profile at all gives ``und`` and 0. Null ids stay
-    null, repeated rows are judged each, other columns are not read. One scan, no shuffle. A text over 1 MB is counted
+    null, repeated rows are judged each, other columns are not read. One scan, no shuffle. A text over 256 KB is counted
     in parts: it takes a worker its own bytes and a bounded rest.
     """
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citetrust.llm.words import Rolling, spans
-from citetrust.llm.work import by_slices, held_out, utf8
+from citetrust.llm.work import SMALL_SLICE_BYTES, by_slices, held_out, utf8
 
 PASSAGE = 64  # words
 BUCKETS = 32  # of hashed words
@@ -175,7 +175,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     # At most 2 * sample ids, as a literal set that the scan can filter by.
     texts = documents.where(F.col("doc_id").isin([r["doc_id"] for r in picked]))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    counts = texts.mapInArrow(by_slices("text", count), "doc_id bigint, text_hash bigint, n bigint")
+    counts = texts.mapInArrow(by_slices("text", count, SMALL_SLICE_BYTES), "doc_id bigint, text_hash bigint, n bigint")
     sizes = {r["doc_id"]: r["one"] for r in counts.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("one")).collect()}
     chosen, taken = {}, [0, 0]
     for quality, _, doc_id in picked:
@@ -186,7 +186,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
                 chosen[doc_id] = quality
     texts = texts.where(F.col("doc_id").isin(list(chosen)) & F.col("text_hash").isin([sizes[k]["text_hash"] for k in chosen]))
     # An id may have the text of another one, too; of its own rows the smallest hash counts.
-    bags = texts.mapInArrow(by_slices("text", work), "doc_id bigint, text_hash bigint, rows binary")
+    bags = texts.mapInArrow(by_slices("text", work, SMALL_SLICE_BYTES), "doc_id bigint, text_hash bigint, rows binary")
     bags = bags.groupBy("doc_id").agg(F.min_by("rows", F.struct("text_hash", "rows")).alias("rows")).collect()
     bags.sort(key=lambda r: r["doc_id"])
     label = np.array([chosen[r["doc_id"]] for r in bags], float)
@@ -211,7 +211,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
         found = model.score(rows.astype(np.float64), to) if model else np.full(part.num_rows, 0.5)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(by_slices("text", work, 1 << 20), "doc_id bigint, score double")
+    return documents.select("doc_id", "text").mapInArrow(by_slices("text", work, SMALL_SLICE_BYTES), "doc_id bigint, score double")
 
 
 def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -235,4 +235,4 @@ def accepted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, acce
         rows, to = passages(*utf8(part.column(text)))
         return part.filter(pa.array(model.score(rows.astype(np.float64), to) >= accept))
 
-    return documents.mapInArrow(by_slices("text", work, 1 << 20), documents.schema)
+    return documents.mapInArrow(by_slices("text", work, SMALL_SLICE_BYTES), documents.schema)

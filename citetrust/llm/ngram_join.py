@@ -22,6 +22,7 @@ from citetrust.llm.words import mix, shingle_sets
 from citetrust.llm.work import binary, by_slices, slices, stored, utf8
 
 BUCKET_ENTRIES = 2_000_000  # signatures of a bucket, about
+RANGES = 8  # parts of a bucket that are looked at one after the other
 TILE_SHINGLES = 1 << 19  # of all documents of one side of a tile, about
 TILE_ROWS = 512  # documents of one side of a tile, about
 MAP_ROWS = 8192  # the same, of a tile of bitmaps
@@ -144,6 +145,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges between documents that share a signature, from blocks in order of bucket.
 
     Each signature keeps one document, so a common one takes no more memory than a rare one; others are linked to it.
+    A bucket is sorted in RANGES parts of its signatures; the stars of the parts are joined to those of the bucket.
     """
     bucket, signature, ids = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -154,12 +156,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature = np.concatenate([signature, *[s for s, _ in waiting]])
         ids = np.concatenate([ids, *[i for _, i in waiting]])
         waiting, held = [], 0
-        order = np.argsort(signature, kind="stable")
-        signature, ids = signature[order], ids[order]
-        first = np.append(True, signature[1:] != signature[:-1]) if len(signature) else np.zeros(0, bool)
-        leader = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(ids) else ids
-        pairs = stars(leader, ids)
-        signature, ids = signature[first], ids[first]
+        low, above = (int(signature.min()), int(signature.max()) + 1) if len(signature) else (0, 0)
+        edges = [low + (above - low) * k // RANGES for k in range(RANGES + 1)]
+        kept, parts = [], []
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            if begin == end:
+                continue
+            here = np.flatnonzero((signature >= np.uint64(begin)) & (signature <= np.uint64(end - 1)))
+            here = here[np.argsort(signature[here], kind="stable")]
+            own, doc = signature[here], ids[here]
+            first = np.ones(len(here), bool)
+            first[1:] = own[1:] != own[:-1]
+            leader = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+            apart = leader != doc
+            parts.append(stars(leader[apart], doc[apart]))
+            kept.append((own[first], doc[first]))
+        signature = np.concatenate([np.zeros(0, np.uint64), *[s for s, _ in kept]])
+        ids = np.concatenate([np.zeros(0, np.int64), *[d for _, d in kept]])
+        pairs = stars(*(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     for batch in batches:

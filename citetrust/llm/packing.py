@@ -48,7 +48,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, length: int = LE
         )
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return documents.select("doc_id", "text").mapInArrow(by_slices("text", work, 2 << 20), schema)
+    return documents.select("doc_id", "text").mapInArrow(by_slices("text", work, 1 << 19), schema)
 
 
 def largest_up_to(count: np.ndarray) -> np.ndarray:

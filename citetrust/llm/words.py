@@ -34,12 +34,12 @@ _powers = np.ones((2, 1), np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of BASE and of its inverse; the most that were asked for are kept."""
+    """The first ``n`` powers of BASE and of its inverse; as many as the next power of two and one are kept."""
     global _powers
     if _powers.shape[1] < n:
-        made = np.ones((2, max(n, 1 << 21)), np.uint64)
+        made = np.ones((2, (1 << max(n - 2, (1 << 18) - 1).bit_length()) + 1), np.uint64)
         made[:, 1:] = [[BASE], [INVERSE]]
-        _powers = np.cumprod(made, axis=1, dtype=np.uint64)
+        _powers = np.cumprod(made, axis=1, dtype=np.uint64, out=made)
     return _powers[:, :n]
 
 

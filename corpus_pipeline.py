@@ -1,6 +1,8 @@
 """A training corpus from ``documents``: filtering, near-duplicate and repeat removal, packing.
 
-Every stage works on all rows that the stage before kept, and all but the last return the columns of documents.
+Every stage works on all rows that the stage before kept, and all but the last return the columns of documents. These
+write their result as Parquet and read it again; what a stage sends to Python workers so goes in batches of a few MB
+(see ``stored``), whoever calls it.
 """
 
 from __future__ import annotations
@@ -13,22 +15,23 @@ from citetrust.llm.work import stored, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the multiple-instance classifier, learned from ``labels``, accepts."""
-    return mil.accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    kept = mil.accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return stored(kept, "quality-classifier")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
-    return language.understood(docs)
+    return stored(language.understood(docs), "language-id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles link at a Jaccard index of 0.8 or more."""
-    return ngram_join.one_of_each(docs, width=5, percent=80)
+    return stored(ngram_join.one_of_each(docs, width=5, percent=80), "ngram-join")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without what an earlier one holds in 50 bytes or more; ``n_chars`` follows the text."""
-    return repeats.without_repeats(docs)
+    return stored(repeats.without_repeats(docs), "suffix-dedup")
 
 
 def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +52,6 @@ ORACLE_SQL = None  # no stage can be said in SQL; tests hold each against a plai
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``, each one's result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, name.replace(" ", "-"))
     return docs

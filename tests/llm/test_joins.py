@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -311,3 +312,27 @@ def test_few_suffixes_are_sorted_at_once(monkeypatch):
     monkeypatch.setattr(repeats, "suffix_levels", lambda data, at, depth: sizes.append(len(data)) or plain(data, at, depth))
     list(repeats._compare(50)(iter([repeats._rows([row], repeats.AROUND)])))
     assert sum(sizes) == 76 * n and max(sizes) <= 1 << 18
+
+
+def test_shared_signatures_in_bounded_memory():
+    """A bucket of two million signatures, half of them shared, of which sorting all at once took 270 MB."""
+    rng = np.random.default_rng(2)
+    n, blocks = 1 << 21, 64
+    signature = rng.integers(0, n, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7)
+    ids = rng.integers(0, 1 << 40, n)
+    cut = zip(np.split(signature, blocks), np.split(ids, blocks), strict=True)
+    rows = [(7, s.tobytes(), d.tobytes()) for s, d in cut]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["bucket", "signatures", "ids"]) for row in rows
+    ]
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(ngram_join._shared(iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.argsort(signature, kind="stable")
+    first = np.append(True, np.diff(signature[order]) > 0)
+    leader = ids[order][first][np.cumsum(first) - 1]
+    low, high = stars(leader, ids[order])
+    got = stars(found["a"].to_numpy(), found["b"].to_numpy())
+    assert got[0].tolist() == low.tolist() and got[1].tolist() == high.tolist()
+    assert peak < 220 << 20

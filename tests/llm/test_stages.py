@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
 from citetrust.llm import language, mil, ngram_join, repeats
+from citetrust.llm.work import utf8
 from texts import frame, odd_rows
 
 
@@ -27,3 +36,45 @@ def test_stages_return_rows_of_their_input(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
     for kept in (mil.accepted(docs, labels, sample=10), language.understood(docs)):
         assert {tuple(r) for r in kept.collect()} <= before
+
+
+def test_stages_are_written_in_small_batches(spark, capsys):
+    """What a caller does with a stage runs no Python worker with batches of any size: the rows are stored already."""
+    rows = [(k, f"{k} the text of the document and that of {'another' * (k % 3)}") for k in range(60)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    with tempfile.TemporaryDirectory() as folder:
+        labels.write.parquet(f"{folder}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            docs.explain()
+            assert "MapInArrow" not in capsys.readouterr().out and docs.columns == frame(spark, []).columns
+
+
+@pytest.mark.parametrize("operator", ["language", "quality"])
+def test_workers_judge_texts_in_bounded_memory(operator):
+    """4 MB of texts in one batch; slices of 1 MB took over 60 MB."""
+    held = []
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, schema):
+            held.append(work)
+
+    text = "the of and tion ande " * 100
+    n = (4 << 20) // len(text)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([text] * n)], ["doc_id", "text"])
+    one = batch.slice(0, 3)
+    if operator == "language":
+        language.identify(Frame(), {"en": list(range(97, 120))})
+    else:
+        x, to = mil.passages(*utf8(one.column(1)))
+        mil.score(Frame(), mil.fit(x.astype(float), to, np.array([0.0, 1, 1]), np.ones(3)))
+    list(held[0](iter([one])))
+    tracemalloc.start()
+    assert sum(out.num_rows for out in held[0](iter([batch]))) == n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
