@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from citetrust.llm.components import components, stars
 from citetrust.llm.words import mix, shingle_sets
-from citetrust.llm.work import binary, by_slices, slices, stored, utf8
+from citetrust.llm.work import binary, by_slices, slices, stored, stored_alone, utf8
 
 BUCKET_ENTRIES = 2_000_000  # signatures of a bucket, about
 RANGES = 8  # parts of a bucket that are looked at one after the other
@@ -452,21 +452,26 @@ def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     """``documents`` with all their columns, of each group of linked ones only the one with the smallest doc_id.
 
     Of repeated rows one stays. Rows with the same doc_id and different texts are different documents: they link only
-    if their texts do. Rows without doc_id can't be told apart and all stay.
+    if their texts do. Rows without doc_id can't be told apart and all stay. Keys of the rows that stay are stored;
+    texts are not, and nothing else that the join stores is left.
     """
+    spark = documents.sparkSession
     text_hash = F.xxhash64("text")
     ids = documents.where("doc_id is not null").groupBy("doc_id").agg((F.min(text_hash) != F.max(text_hash)).alias("several"))
-    if ids.where("several").isEmpty():
-        found = join(documents, width, percent)
-        first = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(KEY)).distinct()
-        own = F.col("doc_id")
-    else:
-        # An id doesn't name a text: 64 bits of both do.
-        own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    # If an id doesn't name a text, 64 bits of both do.
+    several = not ids.where("several").isEmpty()
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")) if several else F.col("doc_id")
+
+    def first_keys() -> DataFrame:
+        if not several:
+            found = join(documents, width, percent)
+            return found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(KEY)).distinct()
         keys = documents.select(own.alias(KEY), "doc_id").where("doc_id is not null").distinct()
         found = join(documents.select(own.alias("doc_id"), "text"), width, percent)
         found = found.select(F.col("doc_id").alias(KEY), "component_id").distinct().join(keys, KEY)
-        first = found.groupBy("component_id").agg(F.min_by(KEY, F.struct("doc_id", KEY)).alias(KEY)).select(KEY)
+        return found.groupBy("component_id").agg(F.min_by(KEY, F.struct("doc_id", KEY)).alias(KEY)).select(KEY)
+
+    first = stored_alone(spark, first_keys, "first")
     number = F.row_number().over(Window.partitionBy(KEY).orderBy(text_hash, "text"))
     known = documents.withColumn(KEY, own).join(first, KEY, "left_semi").withColumn(NUMBER, number).where(F.col(NUMBER) == 1)
     return known.select(*documents.columns).unionByName(documents.where("doc_id is null"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrust.session import scratch_folder
+from citetrust.session import remove, scratch_folder
 
 SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # shuffle files go when the table is written
@@ -19,6 +20,7 @@ SETTINGS = {
 }
 SLICE_BYTES = 1 << 20
 SMALL_SLICE_BYTES = 1 << 18  # where texts are judged one by one, so that slices save nothing but calls
+FOLDERS: ContextVar[list[str] | None] = ContextVar("FOLDERS", default=None)  # of tables stored inside ``removed``
 
 
 @contextmanager
@@ -41,10 +43,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     write sends to Python workers goes in batches of a few MB.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{name}"
+    folder = scratch_folder(spark)
+    if (folders := FOLDERS.get()) is not None:
+        folders.append(folder)
     with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def removed(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are ``stored`` inside are removed at the end; those whose folders were taken from the list stay."""
+    folders: list[str] = []
+    token = FOLDERS.set(folders)
+    try:
+        yield folders
+    finally:
+        FOLDERS.reset(token)
+        for folder in folders:
+            remove(spark, folder)
+
+
+def stored_alone(spark: SparkSession, made: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``made`` returns, ``stored``. Tables that it stores on the way are removed: only the result reads them."""
+    with removed(spark) as folders:
+        df = stored(made(), name)
+        last = folders.pop()
+    if (folders := FOLDERS.get()) is not None:
+        folders.append(last)
+    return df
 
 
 def table(spark, sf_dir: str, name: str, *columns: str) -> DataFrame:

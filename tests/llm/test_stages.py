@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import tempfile
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,64 @@ def test_stages_are_written_in_small_batches(spark, capsys):
             assert "MapInArrow" not in capsys.readouterr().out and docs.columns == frame(spark, []).columns
 
 
+def held(spark) -> dict[str, int]:
+    """Bytes of each file below the shared folder."""
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return {str(f): f.stat().st_size for f in top.rglob("*") if f.is_file()}
+
+
+def random_texts(n: int) -> list[tuple[int, str]]:
+    """Texts that no compression makes small."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9)))
+    return [(k, " ".join(word() for _ in range(900))) for k in range(n)]
+
+
+def test_stages_leave_texts_on_disk_once(spark):
+    """Stages that choose rows store keys, and suffix dedup its result: not its spans and anchors."""
+    rows = random_texts(60)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    with tempfile.TemporaryDirectory() as folder:
+        labels.write.parquet(f"{folder}/labels.parquet")
+        frame(spark, rows).write.parquet(f"{folder}/0")
+        size = sum(f.stat().st_size for f in Path(folder, "0").glob("*.parquet"))
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            before = held(spark)
+            kept = stage(spark, spark.read.parquet(f"{folder}/{k}"), folder)
+            left = {f: n for f, n in held(spark).items() if f not in before}
+            assert sum(left.values()) < (1.2 * size if name == "suffix-array dedup" else 0.2 * size), name
+            assert len({Path(f).parent for f in left}) == 1
+            kept.write.parquet(f"{folder}/{k + 1}")
+            assert kept.count() > 0
+
+
+def test_pipeline_removes_what_it_stored(spark):
+    """Of a whole run the pieces stay, which its result reads."""
+    rows = random_texts(20)
+    rows += [(None, rows[3][1]), (None, None), rows[4], (30, None), (31, "")]
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
+        frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        before = held(spark)
+        result = corpus_pipeline.run(spark, folder)
+        left = [f for f in held(spark) if f not in before]
+        assert left and {Path(f).parent.name for f in left} == {"pieces"}
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, folder)
+        key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        assert sorted(map(str, result.select(key).collect())) == sorted(map(str, docs.select(key).collect()))
+
+
+def test_a_choice_keeps_rows_as_often_as_they_come(spark):
+    docs = frame(spark, [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (None, None), (2, None), (3, "a")])
+    some = frame(spark, [(1, "a"), (None, "a"), (None, "a"), (None, None), (3, "b")])
+    got = corpus_pipeline.chosen(docs, lambda: some, "some")
+    assert got.columns == docs.columns
+    kept = sorted(str((r.doc_id, r.text)) for r in got.collect())
+    assert kept == sorted(map(str, [(1, "a"), (1, "a"), (None, "a"), (None, "a"), (None, None)]))
+
+
 @pytest.mark.parametrize("operator", ["language", "quality"])
 def test_workers_judge_texts_in_bounded_memory(operator):
     """4 MB of texts in one batch; slices of 1 MB took over 60 MB."""
